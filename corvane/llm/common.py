@@ -15,6 +15,8 @@ LOWER_AZ = str.maketrans(UPPER, LOWER)
 
 #: Keys with more than 1/HOT_SHARE of the rows are joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
+#: So many rows at most may meet in one task without being split.
+TASK_ROWS = 20_000
 #: Arrow batches hold at most this many rows, as a row may be a very long text.
 BATCH_ROWS = 500
 
@@ -43,6 +45,8 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, tota
     rows by broadcast, so no task receives a hot key; the others are
     shuffled. Both sides should be stored, as the left is read twice.
     """
+    if total <= TASK_ROWS:
+        return left.join(right, on, how)
     limit = max(total // HOT_SHARE, 1)
     hot = right.filter(F.col(weight) > limit)
     if not hot.limit(1).count():

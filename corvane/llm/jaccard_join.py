@@ -41,12 +41,12 @@ from pyspark.sql import functions as F
 from ..session import Stored
 from .common import bounded_batches, hot_join, if_small
 from .components import components
-from .shingles import shingle_set
+from .shingles import shingle_sets
 
 FREQUENT_BOUND = 1 << 20
 #: A token occurring this often within a block of texts is a candidate for the frequent class.
 BLOCK_COUNT = 12
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Index keys with two or more members, broadcast up to this number (16 bytes each), joined by shuffle beyond.
 KEYS_BROADCAST = 1_500_000
 #: Least bits of a parity sketch; larger sets get half a bit per member, rounded up to a power of two.
@@ -101,8 +101,7 @@ def frequent_tokens(texts: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches):
             sets = {}
-            for t in block:
-                s = shingle_set(t, k)
+            for s in shingle_sets(block, k):
                 if len(s):
                     sets.setdefault(_signature(s), s)
             if not sets:
@@ -179,8 +178,7 @@ def index_rows(texts: DataFrame, frequent: np.ndarray, k: int, num: int, den: in
             first: dict[tuple[int, int], int] = {}
             sets: list[np.ndarray | None] = []
             n, s1, s2 = [], [], []
-            for row, t in enumerate(block):
-                s = shingle_set(t, k)
+            for row, s in enumerate(shingle_sets(block, k)):
                 a, b = _signature(s) if len(s) else (None, None)
                 n.append(len(s))
                 s1.append(a)
@@ -238,7 +236,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, num:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vals = [shingle_set(t, k).tobytes() for t in b.column(1).to_pylist()]
+            vals = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vals, pa.binary())], names=["id", "set"])
 
     # a repeated row is one set
@@ -270,9 +268,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     flat = nodes.select("id", "n", "rare", F.explode("keys").alias("key"))
     # counting collapses a common key in the map tasks; single keys, nearly all, end here
     keys = Stored(flat.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "jaccard-keys").df
-    n_flat = flat.count() if keys.limit(1).count() else 0
     few = keys.count() <= KEYS_BROADCAST
-    shared = flat.join(F.broadcast(keys), "key") if few else hot_join(flat, keys, ["key"], "c", n_flat)
+    shared = flat.join(F.broadcast(keys), "key") if few else hot_join(flat, keys, ["key"], "c", flat.count())
     shared = Stored(shared.select("key", "id", "n", "rare", "c"), "jaccard-shared").df
     lead = shared.groupBy("key").agg(F.min(F.struct("rare", "id", "n")).alias("l"), F.count(F.lit(1)).alias("c"))
     lead = Stored(lead.select("key", "c", F.col("l.id").alias("lead"), F.col("l.n").alias("nb"), (F.col("l.n") - F.col("l.rare")).alias("fb")), "jaccard-leaders").df

@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes log-count ratios as feature scales of a linear support vector machine.
 
-Features are indicators of hashed n-grams: bytes (1 to 4), byte classes (3 to
-5), words (1 and 2), and the pattern of words that repeat one of the two
+Features are indicators of hashed n-grams: bytes (1 and 3), byte classes
+(4), words (1 and 2), and the pattern of words that repeat one of the two
 words before (3). An indicator is scaled by its class log-count ratio, rows
 are scaled to length 1, and a hinge-loss model with L2 penalty is fitted by
 dual coordinate descent. A logistic curve fitted on a part kept out of the
@@ -73,9 +73,9 @@ def features(text: str | None, flags: np.ndarray) -> np.ndarray:
         part = text[at : at + SEGMENT]
         b = np.frombuffer(part.encode("utf-8", "surrogatepass"), np.uint8)
         wide, cls = b.astype(np.uint32), _CLASS[b].astype(np.uint32)
-        for n in (1, 2, 3, 4):
+        for n in (1, 3):
             _grams(wide, n, n, flags)
-        for n in (3, 4, 5):
+        for n in (4,):
             _grams(cls, n, 10 + n, flags)
         w = word_hashes(part, fold=False)
         if len(w):

@@ -41,7 +41,7 @@ from .common import bounded_batches
 MARK = "▁"
 MODEL_BYTES = 16 << 20
 #: Remembered segments and neighbour conditions of a process.
-SEGMENTS, PAIRS = 150_000, 400_000
+SEGMENTS, PAIRS = 400_000, 400_000
 
 
 def load_model(path: str) -> bytes:
@@ -113,6 +113,9 @@ class Transducer:
             else:
                 self.out.append(b"")
         self.piece = {i: p for p, i in self.ids.items()}
+        # every prefix of a piece, with the piece's id where it is one
+        self.trie: dict[str, int] = {p[:n]: -1 for p in self.ids for n in range(1, len(p))}
+        self.trie.update(self.ids)
         self.longest = max(map(len, self.ids), default=1)
         self.chars = frozenset(c for c in self.ids if len(c) == 1)
         # may a text be cut before a mark, and on both sides of a line end?
@@ -121,6 +124,8 @@ class Transducer:
         self.worst = min(self.score, default=0.0) - 10.0
         self._segments: dict[str, tuple[int, ...]] = {}
         self._pairs: dict[int, bool] = {}
+        self._prefix: dict[int, int] = {}
+        self._built: dict[int, tuple[list[float], list[str], list[str]]] = {}
         self.line = tuple(self._fallback("\n")) if "\n" not in self.ids else (self.ids["\n"],)
 
     def normalize(self, text: str) -> str:
@@ -149,43 +154,115 @@ class Transducer:
             part[at : at + 2] = [part[at] + part[at + 1]]
         return part
 
+    def _steps(self, t: int) -> tuple[list[float], list[str], list[str]]:
+        """Merges that build a piece in order: their scores, and the piece at the left and at the right edge before each and at the end."""
+        known = self._built.get(t)
+        if known is None:
+            part, scores = list(self.piece[t]), []
+            left, right = [part[0]], [part[-1]]
+            while len(part) > 1:
+                best, at = None, -1
+                for i in range(len(part) - 1):
+                    j = self.ids.get(part[i] + part[i + 1])
+                    if j is not None and (best is None or self.score[j] > best):
+                        best, at = self.score[j], i
+                if best is None:
+                    break
+                part[at : at + 2] = [part[at] + part[at + 1]]
+                scores.append(best)
+                left.append(part[0])
+                right.append(part[-1])
+            known = self._built[t] = (scores, left, right)
+        return known
+
     def _agree(self, a: int, b: int) -> bool:
-        """Whether two pieces may stand side by side in a merge model."""
+        """Whether two pieces may stand side by side in a merge model.
+
+        Both pieces are built merge by merge, the better next merge first, the
+        left one among equals; they agree if no merge across their border is
+        ever the best.
+        """
         k = a * len(self.score) + b
         known = self._pairs.get(k)
         if known is None:
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            x, y = self.piece[a], self.piece[b]
-            known = self._pairs[k] = self.merged(x + y) == [x, y]
+            (sa, _, ra), (sb, lb, _) = self._steps(a), self._steps(b)
+            ids, score, i, j = self.ids, self.score, 0, 0
+            low = float("-inf")
+            known = ra[-1] == self.piece[a] and lb[-1] == self.piece[b]
+            while known:
+                x = ids.get(ra[i] + lb[j])
+                across = low if x is None else score[x]
+                na = sa[i] if i < len(sa) else None
+                y = sb[j] if j < len(sb) else None
+                if na is not None and (y is None or na >= y) and na >= across:
+                    i += 1
+                elif x is not None and (y is None or across >= y):
+                    known = False
+                elif y is not None:
+                    j += 1
+                else:
+                    break
+            self._pairs[k] = known
         return known
 
+    def _whole(self, t: int) -> bool:
+        """Whether merging a piece's text gives the piece."""
+        return self._steps(t)[1][-1] == self.piece[t]
+
+    def _shorter(self, t: int) -> int:
+        """Longest piece that is a proper prefix of a piece, -1 if none."""
+        known = self._prefix.get(t)
+        if known is None:
+            p = self.piece[t]
+            known = self._prefix[t] = next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), -1)
+        return known
+
+    def _search(self, s: str) -> list[int]:
+        """The complete path of finite weight: arcs weigh 0 or infinity, so the search goes depth first, long pieces first.
+
+        A position from which no path reached the end is not entered again, as
+        at most one finite path leads to each position.
+        """
+        ids, agree, n, arcs = self.ids, self._agree, len(s), self.trie.get
+        path: list[int] = []
+        dead: set[int] = set()
+        pos = 0
+        while True:
+            t, top, end = -1, 0, pos + 1
+            while end <= n:
+                x = arcs(s[pos:end])
+                if x is None:
+                    break
+                if x >= 0:
+                    t, top = x, end - pos
+                end += 1
+            while True:
+                if pos + top not in dead and (agree(path[-1], t) if path else self._whole(t)):
+                    path.append(t)
+                    pos += top
+                    if pos == n:
+                        return path
+                    break
+                t = self._shorter(t)
+                while t < 0:
+                    dead.add(pos)
+                    if not path:
+                        return [ids[p] for p in self.merged(s)]
+                    t = path.pop()
+                    pos -= len(self.piece[t])
+                    t = self._shorter(t)
+                top = len(self.piece[t])
+
     def _run(self, s: str) -> list[int]:
         """Shortest path over a run of characters that all have a piece; states are (position, last piece)."""
         ids, n, longest = self.ids, len(s), self.longest
-        whole = ids.get(s)
         if self.bpe:
-            if whole is not None and self.merged(s) == [s]:
+            whole = ids.get(s)
+            if whole is not None and self._whole(whole):
                 return [whole]
-            last: list[int] = [-1] * (n + 1)
-            back = [0] * (n + 1)
-            for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    if start and last[start] < 0:
-                        continue
-                    t = ids.get(s[start:end])
-                    if t is None:
-                        continue
-                    if (self._agree(last[start], t)) if start else (end - start == 1 or self.merged(s[start:end]) == [s[start:end]]):
-                        last[end], back[end] = t, start
-                        break
-            if last[n] < 0:
-                return [ids[p] for p in self.merged(s)]
-            out = []
-            while n:
-                out.append(last[n])
-                n = back[n]
-            return out[::-1]
+            return self._search(s)
         inf = float("inf")
         cost, arc = [0.0] + [inf] * n, [(0, 0)] * (n + 1)
         for end in range(1, n + 1):
