@@ -16,8 +16,9 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    scored = quality_classifier.score(docs, catalog.quality_model(docs, spark, sf_dir), out="_score")
-    return scored.filter(F.col("_score") >= catalog.QUALITY_FROM).drop("_score")
+    packed = docs.select(F.struct(*docs.columns).alias("_all"), "text")
+    scored = quality_classifier.score(packed, catalog.quality_model(docs, spark, sf_dir))
+    return scored.filter(F.col("score") >= catalog.QUALITY_FROM).select("_all.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

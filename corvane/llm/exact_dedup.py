@@ -65,12 +65,13 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", larges
     copies = found.df.filter("not kept").select(F.col(key).alias("_id"), F.col("text_sha256").alias("_s")).distinct()
     same = found.df.filter("kept").select(F.col(key).alias("_id"), F.col("text_sha256").alias("_s"))
     drop = copies.join(same, (copies["_id"].eqNullSafe(same["_id"])) & (copies["_s"] == same["_s"]), "left_anti")
-    marked = docs.withColumn("_s", F.sha2(_normal(text, fold), 256))
-    kept = _without(marked, Stored(drop, "exact-drops").df, key)
+    # rows travel as one column, so that no column of theirs can clash
+    marked = docs.select(F.struct(*docs.columns).alias("_all"), F.col(key).alias("_id"), F.sha2(_normal(text, fold), 256).alias("_s"))
+    kept = _without(marked, Stored(drop, "exact-drops").df)
     again = found.df.groupBy(key, "text_sha256").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").limit(1).count()
-    return (kept.dropDuplicates([key, "_s"]) if again else kept).drop("_s")
+    return (kept.dropDuplicates(["_id", "_s"]) if again else kept).select("_all.*")
 
 
-def _without(marked: DataFrame, drop: DataFrame, key: str) -> DataFrame:
+def _without(marked: DataFrame, drop: DataFrame) -> DataFrame:
     gone = if_small(drop, HASHES_BROADCAST).withColumnsRenamed({"_id": "_gone_id", "_s": "_gone_s"})
-    return marked.join(gone, F.col(key).eqNullSafe(F.col("_gone_id")) & (F.col("_s") == F.col("_gone_s")), "left_anti")
+    return marked.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_s") == F.col("_gone_s")), "left_anti")

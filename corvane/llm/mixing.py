@@ -156,11 +156,12 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """The mixed corpus: every row as often as it is taken, with its columns. Texts are not shuffled while sources are few."""
     keyed, src, total, small = decide(sizes(docs, key, source, text), weights, cap)
-    cols = docs.columns
-    marked = docs.withColumn("_k", source_key(source)).withColumn("_size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint"))
+    # rows travel as one column, so that no column of theirs can clash
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+    marked = docs.select(F.struct(*docs.columns).alias("_all"), F.col(key).alias("_id"), source_key(source).alias("_k"), size.alias("_size"))
     joined = _to_sources(marked, src.select("_k", "_docs", "_f", "_copies", "_rules"), total, small)
     p = F.least(F.greatest(F.col("_f"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    u = uniform(F.col(key))
+    u = uniform(F.col("_id"))
     q = (u / (1 - u)) / (p / (1 - p))
     n = taken_copies(q / (1 + q), F.col("_size")).cast("int")
-    return joined.withColumn("_n", n).filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*cols)
+    return joined.withColumn("_n", n).filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_all.*")

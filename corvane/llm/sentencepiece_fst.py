@@ -369,12 +369,12 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
 def decode(tokens: DataFrame, model: bytes, ids: str = "ids", out: str = "text") -> DataFrame:
     """All columns and the decoded text."""
     shared = tokens.sparkSession.sparkContext.broadcast(model)
-    at = tokens.columns.index(ids)
+    at, names = tokens.columns.index(ids), [*tokens.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Transducer(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t.decode(x or []) for x in b.column(at).to_pylist()], pa.string())], names=[*tokens.columns, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t.decode(x or []) for x in b.column(at).to_pylist()], pa.string())], names=names)
 
     schema = ", ".join(f"`{c}` {k}" for c, k in tokens.dtypes)
     return tokens.mapInArrow(run, f"{schema}, `{out}` string")
