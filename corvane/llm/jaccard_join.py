@@ -45,10 +45,12 @@ from .shingles import shingle_sets
 
 FREQUENT_BOUND = 1 << 20
 #: A token occurring this often within a block of texts is a candidate for the frequent class.
-BLOCK_COUNT = 12
+BLOCK_COUNT = 3
 BLOCK_BYTES = 16 << 20
 #: Index keys with two or more members, broadcast up to this number (16 bytes each), joined by shuffle beyond.
 KEYS_BROADCAST = 1_500_000
+#: Nodes (id, size, sketch: about 100 bytes) broadcast up to this number, joined by shuffle beyond.
+NODES_BROADCAST = 400_000
 #: Least bits of a parity sketch; larger sets get half a bit per member, rounded up to a power of two.
 SKETCH_BITS = 512
 
@@ -218,7 +220,9 @@ def _fits(num: int, den: int):
 def _prune(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that their parity sketches leave possible: |x delta y| <= (n_a + n_b) (1 - t) / (1 + t)."""
     side = lambda t: nodes.select(F.col("id").alias(t), F.col("n").alias(f"n_{t}"), F.col("sketch").alias(f"k_{t}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "k_a", "k_b")
+    few = nodes.count() <= NODES_BROADCAST
+    hint = F.broadcast if few else (lambda x: x)
+    joined = pairs.join(hint(side("a")), "a").join(hint(side("b")), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "k_a", "k_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
