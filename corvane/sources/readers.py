@@ -20,6 +20,11 @@ def _strings(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def _filled(df: DataFrame) -> DataFrame:
+    """Empty cells as ""; the reader gives NULL for them."""
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+
+
 def read_tsv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, sep: str = "\t", quote: str = '"') -> DataFrame:
     """Delimited text with a header, every cell a string, empty cells kept as "".
 
@@ -32,7 +37,7 @@ def read_tsv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
         raise ValueError(f"no header in {path}")
     names = [c.strip(quote) for c in header[0][0].split(sep)]
     df = spark.read.schema(_strings(names)).csv(path, sep=sep, header=True, quote=quote, nullValue="\0", emptyValue="", enforceSchema=False)
-    return assert_columns(df, exact=columns or ())
+    return assert_columns(_filled(df), exact=columns or ())
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -42,7 +47,7 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
 def read_sample_tables(spark: SparkSession, root: str, samples: Sequence[str], columns: Sequence[str], name: str = "*.tsv.gz") -> DataFrame:
     """Per-sample gzip tables ``root/<sample>/<name>``; only the folders of the wanted samples are opened."""
     paths = [f"{root}/{s}/{name}" for s in sorted(samples)]
-    return spark.read.schema(_strings(columns)).csv(paths, sep="\t", header=True, nullValue="\0", emptyValue="", mode="FAILFAST", enforceSchema=False)
+    return _filled(spark.read.schema(_strings(columns)).csv(paths, sep="\t", header=True, nullValue="\0", emptyValue="", mode="FAILFAST", enforceSchema=False))
 
 
 def read_fasta(spark: SparkSession, path: str, rna: bool | None = None, unique: bool = False) -> DataFrame:
