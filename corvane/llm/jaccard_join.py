@@ -47,11 +47,11 @@ FREQUENT_BOUND = 1 << 20
 #: A token occurring this often within a block of texts is a candidate for the frequent class.
 BLOCK_COUNT = 3
 BLOCK_BYTES = 16 << 20
-#: Index keys with two or more members, broadcast up to this number (16 bytes each), joined by shuffle beyond.
-KEYS_BROADCAST = 1_500_000
+#: A text is verified with about this many partners in one group.
+GROUP_PAIRS = 64
 #: Nodes (id, size, sketch: about 100 bytes) broadcast up to this number, joined by shuffle beyond.
 NODES_BROADCAST = 400_000
-#: Least bits of a parity sketch; larger sets get half a bit per member, rounded up to a power of two.
+#: Least bits of a parity sketch; larger sets get a bit per member, rounded up to a power of two.
 SKETCH_BITS = 512
 
 
@@ -82,7 +82,7 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 def sketch(s: np.ndarray) -> bytes:
     """Parity of the set's members in each cell: cells that differ bound the symmetric difference from below."""
-    bits = max(SKETCH_BITS, 1 << max(0, len(s) // 2 - 1).bit_length())
+    bits = max(SKETCH_BITS, 1 << max(0, len(s) - 1).bit_length())
     cells = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
 
@@ -219,6 +219,7 @@ def _fits(num: int, den: int):
 
 def _prune(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that their parity sketches leave possible: |x delta y| <= (n_a + n_b) (1 - t) / (1 + t)."""
+    nodes = nodes.dropDuplicates(["id"])
     side = lambda t: nodes.select(F.col("id").alias(t), F.col("n").alias(f"n_{t}"), F.col("sketch").alias(f"k_{t}"))
     few = nodes.count() <= NODES_BROADCAST
     hint = F.broadcast if few else (lambda x: x)
@@ -234,29 +235,43 @@ def _prune(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, num: int, den: int) -> DataFrame:
-    """Pairs whose sets reach the similarity. Only texts that take part are read into sets; each side is joined once."""
-    wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    some = docs.select(F.col(key).alias("_id"), F.col(text).alias("_t")).join(if_small(wanted, 1_000_000), "_id", "left_semi")
+    """Pairs whose sets reach the similarity.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vals = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vals, pa.binary())], names=["id", "set"])
-
-    # a repeated row is one set
-    stored = Stored(some.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"]), "jaccard-sets").df
-    joined = pairs.join(stored.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(stored.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    A group is a text a with up to about GROUP_PAIRS of its partners; texts
+    travel to their groups in one shuffle, and a task holds one set at a time
+    beside the current one, so a text with any number of partners is spread.
+    """
+    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_d"))
+    dealt = hot_join(pairs, degree, ["a"], "_d", pairs.count())
+    dealt = dealt.select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("_d") / GROUP_PAIRS).cast("long"))).alias("g"))
+    dealt = Stored(dealt, "jaccard-dealt")
+    roles = dealt.df.select("g", F.col("a").alias("_id"), "a", F.lit(0).alias("role")).distinct().unionByName(dealt.df.select("g", F.col("b").alias("_id"), "a", F.lit(1).alias("role")))
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t")).join(if_small(roles, 1_000_000), "_id")
+    rows = rows.select("g", "a", "role", F.col("_id").alias("b"), "_t").repartition("g").sortWithinPartitions("g", "a", "role")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(den * shared >= num * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+        current, lead = None, []
+        for batch in batches:
+            g, a, role, b = (batch.column(i).to_pylist() for i in range(4))
+            out_a, out_b = [], []
+            for row, s in enumerate(shingle_sets(batch.column(4).to_pylist(), k)):
+                if (g[row], a[row]) != current:
+                    current, lead = (g[row], a[row]), []
+                if role[row] == 0:
+                    # a repeated row is one set
+                    if not any(np.array_equal(s, x) for x in lead):
+                        lead.append(s)
+                elif any(_similar(s, x, num, den) for x in lead):
+                    out_a.append(a[row])
+                    out_b.append(b[row])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(check, "a long, b long")
+
+
+def _similar(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
+    shared = len(np.intersect1d(p, q, assume_unique=True))
+    return den * shared >= num * (len(p) + len(q) - shared)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -265,59 +280,66 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     bounded_batches(spark)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     frequent = frequent_tokens(texts.select(F.col("id"), "t"), k)
-    index = Stored(index_rows(texts, frequent, k, num, den), "jaccard-index").df
-    total = index.count()
-    by_set = Stored(index.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")), "jaccard-sets").df
-    nodes = index.filter("keys is not null").select("id", "n", "s1", "s2", "rare", "sketch", "keys")
+    index = Stored(index_rows(texts, frequent, k, num, den), "jaccard-index")
+    light = Stored(index.df.select("id", "n", "s1", "s2"), "jaccard-light").df
+    total = light.count()
+    by_set = Stored(light.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")), "jaccard-sets").df
+    nodes = index.df.filter("keys is not null")
+    small = Stored(nodes.select("id", "n", "s1", "s2", "sketch").dropDuplicates(["id", "s1", "s2"]), "jaccard-nodes")
     flat = nodes.select("id", "n", "rare", F.explode("keys").alias("key"))
     # counting collapses a common key in the map tasks; single keys, nearly all, end here
-    keys = Stored(flat.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "jaccard-keys").df
-    few = keys.count() <= KEYS_BROADCAST
-    shared = flat.join(F.broadcast(keys), "key") if few else hot_join(flat, keys, ["key"], "c", flat.count())
-    shared = Stored(shared.select("key", "id", "n", "rare", "c"), "jaccard-shared").df
-    lead = shared.groupBy("key").agg(F.min(F.struct("rare", "id", "n")).alias("l"), F.count(F.lit(1)).alias("c"))
-    lead = Stored(lead.select("key", "c", F.col("l.id").alias("lead"), F.col("l.n").alias("nb"), (F.col("l.n") - F.col("l.rare")).alias("fb")), "jaccard-leaders").df
-    led = hot_join(shared.select("key", "id", F.col("n").alias("na"), (F.col("n") - F.col("rare")).alias("fa")), lead, ["key"], "c", max(shared.count(), 1))
-    small = Stored(nodes.select("id", "n", "sketch").dropDuplicates(["id"]), "jaccard-nodes").df
+    keys = Stored(flat.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "jaccard-keys")
+    rows = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    shared = Stored(hot_join(flat, keys.df, ["key"], "c", rows).select("key", "id", "n", "rare", "c"), "jaccard-shared")
+    index.drop()
+    keys.drop()
+    lead = shared.df.groupBy("key").agg(F.min(F.struct("rare", "id", "n")).alias("l"), F.count(F.lit(1)).alias("c"))
+    lead = Stored(lead.select("key", "c", F.col("l.id").alias("lead"), F.col("l.n").alias("nb"), (F.col("l.n") - F.col("l.rare")).alias("fb")), "jaccard-leaders")
+    led = hot_join(shared.df.select("key", "id", F.col("n").alias("na"), (F.col("n") - F.col("rare")).alias("fa")), lead.df, ["key"], "c", max(shared.df.count(), 1))
     stars = led.filter((F.col("id") != F.col("lead")) & _fits(num, den)).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    first = Stored(_prune(Stored(stars, "jaccard-stars").df, small, num, den), "jaccard-likely").df
-    edges = Stored(_verify(first, docs, key, text, k, num, den), "jaccard-edges").df
+    stars = Stored(stars, "jaccard-stars")
+    lead.drop()
+    first = Stored(_prune(stars.df, small.df, num, den), "jaccard-likely").df
     # blocks that met the same set are linked by content
-    copies = nodes.select("id", "s1", "s2").join(by_set, ["s1", "s2"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    edges = Stored(edges.unionByName(copies), "jaccard-edges-1").df
+    copies = small.df.select("id", "s1", "s2").join(by_set, ["s1", "s2"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    edges = Stored(_verify(first, docs, key, text, k, num, den).unionByName(copies), "jaccard-edges").df
     cc = Stored(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-classes").df
-    more = _between_classes(shared, cc, small, num, den, first)
-    found = Stored(_verify(Stored(more, "jaccard-between").df, docs, key, text, k, num, den), "jaccard-edges-2").df
+    between = Stored(_between_classes(shared, cc, small.df, num, den, first), "jaccard-between")
+    small.drop()
+    found = Stored(_verify(between.df, docs, key, text, k, num, den), "jaccard-edges-2").df
     if found.limit(1).count():
         cc = Stored(components(edges.unionByName(found).select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-classes-2").df
     label = by_set.join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "_n", F.coalesce("component", "rep").alias("_class"))
     label = Stored(label, "jaccard-labels").df
-    light = index.select("id", "n", "s1", "s2")
     empty = light.filter("n = 0").select("id", "n", F.lit(1).cast("long").alias("_n"), F.col("id").alias("_class"))
     full = hot_join(light.filter("n > 0"), label, ["s1", "s2"], "_n", total).select("id", "n", "_n", "_class")
     out = full.unionByName(empty)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("_n").alias("copies"), F.col("_class").alias("component_id"))
 
 
-def _between_classes(shared: DataFrame, cc: DataFrame, nodes: DataFrame, num: int, den: int, done: DataFrame) -> DataFrame:
-    """Possible pairs of different classes that share a key and were not verified before.
+def _between_classes(shared: Stored, cc: DataFrame, nodes: DataFrame, num: int, den: int, done: DataFrame) -> DataFrame:
+    """Possible pairs of different classes that share a key and were not verified before; drops ``shared``.
 
     Keys inside one class drop out first. In every other key the members of
     its largest class form one side only, so that class is never paired with
     itself; the join applies the bounds before a pair becomes a row.
     """
-    named = shared.join(cc, shared["id"] == cc["node"], "left").select("key", "id", "n", (F.col("n") - F.col("rare")).alias("f"), F.coalesce("component", "id").alias("class"))
-    named = Stored(named, "jaccard-named").df
-    mixed = named.groupBy("key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).filter("_lo < _hi").select("key")
-    rows = Stored(named.join(if_small(Stored(mixed, "jaccard-mixed").df, KEYS_BROADCAST), "key", "left_semi"), "jaccard-open").df
-    largest = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("class", F.struct("c", "class")).alias("_main"), F.sum("c").alias("_c"))
-    rows = hot_join(rows, Stored(largest, "jaccard-main").df, ["key"], "_c", max(rows.count(), 1))
-    rows = Stored(rows.withColumn("minor", F.col("class") != F.col("_main")).drop("_main", "_c"), "jaccard-sides").df
+    named = shared.df.join(if_small(cc, NODES_BROADCAST), F.col("id") == cc["node"], "left").select("key", "id", "n", (F.col("n") - F.col("rare")).alias("f"), F.coalesce("component", "id").alias("class"))
+    named = Stored(named, "jaccard-named")
+    shared.drop()
+    by_class = named.df.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by_class.groupBy("key").agg(F.max_by("class", F.struct("c", "class")).alias("_main"), F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_classes")).filter("_classes > 1")
+    mixed = Stored(mixed.drop("_classes"), "jaccard-mixed")
+    rows = hot_join(named.df, mixed.df, ["key"], "_c", max(named.df.count(), 1))
+    sides = Stored(rows.withColumn("minor", F.col("class") != F.col("_main")).drop("_main", "_c"), "jaccard-sides")
+    named.drop()
+    rows = sides.df
     a = rows.filter("minor").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("class").alias("ca"))
     b = rows.select(F.col("key").alias("_key"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("class").alias("cb"), F.col("minor").alias("mb"))
     apart_ = (F.col("ca") != F.col("cb")) & (~F.col("mb") | (F.col("a") < F.col("b")))
     pairs = a.join(b, (F.col("key") == F.col("_key")) & apart_ & _fits(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     fresh = Stored(pairs, "jaccard-cross").df.join(done, ["a", "b"], "left_anti")
+    sides.drop()
     return _prune(fresh, nodes, num, den)
 
 
