@@ -49,7 +49,9 @@ BLOCK_COUNT = 3
 BLOCK_BYTES = 16 << 20
 #: A text is verified with about this many partners in one group.
 GROUP_PAIRS = 64
-#: Nodes (id, size, sketch: about 100 bytes) broadcast up to this number, joined by shuffle beyond.
+#: Rows that name the texts to verify (32 bytes each), broadcast up to this number, joined by shuffle beyond.
+ROLES_BROADCAST = 200_000
+#: Classes (16 bytes a node), broadcast up to this number of nodes, joined by shuffle beyond.
 NODES_BROADCAST = 400_000
 #: Least bits of a parity sketch; larger sets get a bit per member, rounded up to a power of two.
 SKETCH_BITS = 512
@@ -217,58 +219,77 @@ def _fits(num: int, den: int):
     return by_size & ((F.col("key").bitwiseAND(1) == 0) | by_frequent)
 
 
-def _prune(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that their parity sketches leave possible: |x delta y| <= (n_a + n_b) (1 - t) / (1 + t)."""
-    nodes = nodes.dropDuplicates(["id"])
-    side = lambda t: nodes.select(F.col("id").alias(t), F.col("n").alias(f"n_{t}"), F.col("sketch").alias(f"k_{t}"))
-    few = nodes.count() <= NODES_BROADCAST
-    hint = F.broadcast if few else (lambda x: x)
-    joined = pairs.join(hint(side("a")), "a").join(hint(side("b")), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "k_a", "k_b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, x, y = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
-            keep = [apart(p, q) * (den + num) <= m * (den - num) for m, p, q in zip(n, x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _groups(pairs: DataFrame) -> DataFrame:
+    """(g, a, _id, role): the rows that a comparison of pairs (a, b) needs, role 0 for the text that leads group g.
 
-    return joined.mapInArrow(check, "a long, b long")
+    The end with more partners leads; beyond about GROUP_PAIRS partners it
+    leads several groups, so that no group grows with the number of partners.
+    """
+    ends = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e")))
+    degree = Stored(ends.groupBy("e").agg(F.count(F.lit(1)).alias("d")), "jaccard-degrees").df
+    total = pairs.count()
+    named = hot_join(pairs, degree.select(F.col("e").alias("a"), F.col("d").alias("da")), ["a"], "da", total)
+    named = hot_join(named, degree.select(F.col("e").alias("b"), F.col("d").alias("db")), ["b"], "db", total)
+    x, y = F.struct(F.col("da").alias("d"), F.col("a").alias("e")), F.struct(F.col("db").alias("d"), F.col("b").alias("e"))
+    led = named.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), F.ceil(F.col("x.d") / GROUP_PAIRS).cast("long").alias("parts"))
+    dealt = Stored(led.select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("g")), "jaccard-dealt").df
+    return dealt.select("g", "a", F.col("a").alias("_id"), F.lit(0).alias("role")).distinct().unionByName(dealt.select("g", "a", F.col("b").alias("_id"), F.lit(1).alias("role")))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, num: int, den: int) -> DataFrame:
-    """Pairs whose sets reach the similarity.
+def _compare(rows: DataFrame, decode, passes) -> DataFrame:
+    """Pairs (a, b) that pass, from rows (g, a, role, b, columns to decode); a task holds a leader beside the current batch.
 
-    A group is a text a with up to about GROUP_PAIRS of its partners; texts
-    travel to their groups in one shuffle, and a task holds one set at a time
-    beside the current one, so a text with any number of partners is spread.
+    A repeated id with other content leads its group once for each content.
     """
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_d"))
-    dealt = hot_join(pairs, degree, ["a"], "_d", pairs.count())
-    dealt = dealt.select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("_d") / GROUP_PAIRS).cast("long"))).alias("g"))
-    dealt = Stored(dealt, "jaccard-dealt")
-    roles = dealt.df.select("g", F.col("a").alias("_id"), "a", F.lit(0).alias("role")).distinct().unionByName(dealt.df.select("g", F.col("b").alias("_id"), "a", F.lit(1).alias("role")))
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t")).join(if_small(roles, 1_000_000), "_id")
-    rows = rows.select("g", "a", "role", F.col("_id").alias("b"), "_t").repartition("g").sortWithinPartitions("g", "a", "role")
+    rows = rows.repartition("g").sortWithinPartitions("g", "a", "role")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, lead = None, []
         for batch in batches:
             g, a, role, b = (batch.column(i).to_pylist() for i in range(4))
             out_a, out_b = [], []
-            for row, s in enumerate(shingle_sets(batch.column(4).to_pylist(), k)):
+            for row, s in enumerate(decode(batch)):
                 if (g[row], a[row]) != current:
                     current, lead = (g[row], a[row]), []
                 if role[row] == 0:
-                    # a repeated row is one set
-                    if not any(np.array_equal(s, x) for x in lead):
+                    if not any(_same(s[-1], x[-1]) for x in lead):
                         lead.append(s)
-                elif any(_similar(s, x, num, den) for x in lead):
-                    out_a.append(a[row])
-                    out_b.append(b[row])
+                elif any(passes(s, x) for x in lead):
+                    out_a.append(min(a[row], b[row]))
+                    out_b.append(max(a[row], b[row]))
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(check, "a long, b long")
 
 
+def _prune(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that their parity sketches leave possible: |x delta y| <= (n_a + n_b) (1 - t) / (1 + t)."""
+    rows = _groups(pairs).join(nodes, F.col("_id") == nodes["id"]).select("g", "a", "role", F.col("_id").alias("b"), "n", "sketch")
+
+    def decode(batch: pa.RecordBatch) -> list[tuple]:
+        return list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
+
+    def passes(x: tuple, y: tuple) -> bool:
+        return apart(x[1], y[1]) * (den + num) <= (x[0] + y[0]) * (den - num)
+
+    return _compare(rows, decode, passes)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, num: int, den: int) -> DataFrame:
+    """Pairs whose sets reach the similarity; the texts travel to their groups in one shuffle."""
+    roles = Stored(_groups(pairs), "jaccard-roles").df
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t")).join(if_small(roles, ROLES_BROADCAST), "_id")
+
+    def decode(batch: pa.RecordBatch) -> list[tuple]:
+        return [(s,) for s in shingle_sets(batch.column(4).to_pylist(), k)]
+
+    return _compare(rows.select("g", "a", "role", F.col("_id").alias("b"), "_t"), decode, lambda x, y: _similar(x[0], y[0], num, den))
+
+
+def _same(x, y) -> bool:
+    return x == y if isinstance(x, bytes) else np.array_equal(x, y)
+
+
 def _similar(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
     shared = len(np.intersect1d(p, q, assume_unique=True))
     return den * shared >= num * (len(p) + len(q) - shared)
