@@ -13,7 +13,7 @@ is indexed for its own band and the next), which keeps the combinations in
 proportion to the set.
 
 Frequent tokens are those seen often within a block of texts and at least
-1/2**20 of all tokens in total, so at most 2**20 of them are broadcast; which
+1/2**22 of all tokens in total, so at most 2**22 of them (32 MB) are broadcast; which
 tokens these are affects cost only, never the result.
 
 Sets of equal content are one node. Candidates of an index key are verified
@@ -43,10 +43,10 @@ from .common import bounded_batches, hot_join, if_small
 from .components import components
 from .shingles import shingle_sets
 
-FREQUENT_BOUND = 1 << 20
+FREQUENT_BOUND = 1 << 22
 #: A token occurring this often within a block of texts is a candidate for the frequent class.
 BLOCK_COUNT = 3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: A text is verified with about this many partners in one group.
 GROUP_PAIRS = 64
 #: Rows that name the texts to verify (32 bytes each), broadcast up to this number, joined by shuffle beyond.
@@ -117,6 +117,7 @@ def frequent_tokens(texts: DataFrame, k: int) -> np.ndarray:
             c = np.concatenate([counts[hot], [0]]).astype(np.int64)
             size = np.zeros(len(t), np.int64)
             size[-1] = len(every)
+            del sets, every, tokens, counts, s
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c), pa.array(size)], names=["token", "c", "total"])
 
     seen = Stored(texts.mapInArrow(count, "token long, c long, total long"), "jaccard-frequent").df
@@ -206,6 +207,8 @@ def index_rows(texts: DataFrame, frequent: np.ndarray, k: int, num: int, den: in
                     keys.append(got.view(np.int64))
                     rare.append(r)
                     marks.append(sketch(s))
+            sets.clear()
+            s = got = None
             cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(rare, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "s1", "s2", "rare", "sketch", "keys"])
 
