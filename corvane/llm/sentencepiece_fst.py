@@ -332,6 +332,18 @@ class Transducer:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
+_compiled: dict[bytes, Transducer] = {}
+
+
+def compiled(model: bytes) -> Transducer:
+    """The transducer of a model, kept with its bounded tables for the next task of the same worker process; one model at a time."""
+    key = hashlib.sha256(model).digest()
+    if key not in _compiled:
+        _compiled.clear()
+        _compiled[key] = Transducer(model)
+    return _compiled[key]
+
+
 def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default all) and ids, n_tokens, n_byte_tokens, decoded_sha256, roundtrip."""
     spark = docs.sparkSession
@@ -341,7 +353,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
     frame = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer(shared.value)
+        t = compiled(shared.value)
         is_byte = np.zeros(len(t.score), bool)
         is_byte[[b for b in t.bytes if b >= 0]] = True
         for b in batches:
@@ -372,7 +384,7 @@ def decode(tokens: DataFrame, model: bytes, ids: str = "ids", out: str = "text")
     at, names = tokens.columns.index(ids), [*tokens.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer(shared.value)
+        t = compiled(shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t.decode(x or []) for x in b.column(at).to_pylist()], pa.string())], names=names)
 
