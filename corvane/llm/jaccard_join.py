@@ -55,6 +55,7 @@ ROLES_BROADCAST = 200_000
 NODES_BROADCAST = 400_000
 #: Least bits of a parity sketch; larger sets get a bit per member, rounded up to a power of two.
 SKETCH_BITS = 512
+FOLD = SKETCH_BITS // 64
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -89,6 +90,11 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
 
 
+def fold(mark: bytes) -> np.ndarray:
+    """A sketch folded to FOLD numbers of 64 bits, which a join condition can compare."""
+    return np.bitwise_xor.reduce(np.frombuffer(mark, np.int64).reshape(-1, FOLD), axis=0)
+
+
 def apart(a: bytes, b: bytes) -> int:
     """Least symmetric difference by two sketches; the longer folds onto the shorter."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -173,7 +179,7 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple
 
 
 def index_rows(texts: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, s1, s2, rare, sketch, keys); within a block only the smallest id of a set carries keys."""
+    """(id, n, s1, s2, rare, sketch, fold, keys); within a block only the smallest id of a set carries keys."""
     spark = texts.sparkSession
     hot = spark.sparkContext.broadcast(frequent.tobytes())
 
@@ -196,23 +202,25 @@ def index_rows(texts: DataFrame, frequent: np.ndarray, k: int, num: int, den: in
                         sets[row] = s
                         if other is not None:
                             sets[other] = None
-            keys, rare, marks = [], [], []
+            keys, rare, marks, folds = [], [], [], []
             for s in sets:
                 if s is None:
                     keys.append(None)
                     rare.append(None)
                     marks.append(None)
+                    folds.append(None)
                 else:
                     got, r = index_keys(s, freq, num, den)
                     keys.append(got.view(np.int64))
                     rare.append(r)
                     marks.append(sketch(s))
+                    folds.append(fold(marks[-1]))
             sets.clear()
             s = got = None
-            cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(rare, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "s1", "s2", "rare", "sketch", "keys"])
+            cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(rare, pa.int64()), pa.array(marks, pa.binary()), pa.array(folds, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "s1", "s2", "rare", "sketch", "fold", "keys"])
 
-    return texts.mapInArrow(run, "id long, n long, s1 long, s2 long, rare long, sketch binary, keys array<long>")
+    return texts.mapInArrow(run, "id long, n long, s1 long, s2 long, rare long, sketch binary, fold array<long>, keys array<long>")
 
 
 def _fits(num: int, den: int):
@@ -222,6 +230,12 @@ def _fits(num: int, den: int):
     return by_size & ((F.col("key").bitwiseAND(1) == 0) | by_frequent)
 
 
+def _fold_fits(num: int, den: int):
+    """|x delta y| <= (n_a + n_b) (1 - t) / (1 + t), where differing bits of the folded sketches bound |x delta y| from below."""
+    bits = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(FOLD)), F.lit(0))
+    return bits * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)
+
+
 def _groups(pairs: DataFrame) -> DataFrame:
     """(g, a, _id, role): the rows that a comparison of pairs (a, b) needs, role 0 for the text that leads group g.
 
@@ -309,7 +323,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     total = light.count()
     by_set = Stored(light.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")), "jaccard-sets").df
     nodes = index.df.filter("keys is not null")
-    small = Stored(nodes.select("id", "n", "s1", "s2", "sketch").dropDuplicates(["id", "s1", "s2"]), "jaccard-nodes")
+    small = Stored(nodes.select("id", "n", "s1", "s2", "sketch", "fold").dropDuplicates(["id", "s1", "s2"]), "jaccard-nodes")
     flat = nodes.select("id", "n", "rare", F.explode("keys").alias("key"))
     # counting collapses a common key in the map tasks; single keys, nearly all, end here
     keys = Stored(flat.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "jaccard-keys")
@@ -346,7 +360,8 @@ def _between_classes(shared: Stored, cc: DataFrame, nodes: DataFrame, num: int,
 
     Keys inside one class drop out first. In every other key the members of
     its largest class form one side only, so that class is never paired with
-    itself; the join applies the bounds before a pair becomes a row.
+    itself; the join applies the bounds, that of the folded sketches among
+    them, before a pair becomes a row.
     """
     named = shared.df.join(if_small(cc, NODES_BROADCAST), F.col("id") == cc["node"], "left").select("key", "id", "n", (F.col("n") - F.col("rare")).alias("f"), F.coalesce("component", "id").alias("class"))
     named = Stored(named, "jaccard-named")
@@ -355,13 +370,16 @@ def _between_classes(shared: Stored, cc: DataFrame, nodes: DataFrame, num: int,
     mixed = by_class.groupBy("key").agg(F.max_by("class", F.struct("c", "class")).alias("_main"), F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_classes")).filter("_classes > 1")
     mixed = Stored(mixed.drop("_classes"), "jaccard-mixed")
     rows = hot_join(named.df, mixed.df, ["key"], "_c", max(named.df.count(), 1))
-    sides = Stored(rows.withColumn("minor", F.col("class") != F.col("_main")).drop("_main", "_c"), "jaccard-sides")
+    rows = rows.withColumn("minor", F.col("class") != F.col("_main")).drop("_main", "_c")
+    # a repeated id with other content of the same size stands under its keys with either sketch
+    folds = nodes.select("id", "n", "fold").distinct()
+    sides = Stored(rows.join(folds, ["id", "n"]), "jaccard-sides")
     named.drop()
     rows = sides.df
-    a = rows.filter("minor").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("class").alias("ca"))
-    b = rows.select(F.col("key").alias("_key"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("class").alias("cb"), F.col("minor").alias("mb"))
+    a = rows.filter("minor").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("class").alias("ca"), F.col("fold").alias("sa"))
+    b = rows.select(F.col("key").alias("_key"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("class").alias("cb"), F.col("minor").alias("mb"), F.col("fold").alias("sb"))
     apart_ = (F.col("ca") != F.col("cb")) & (~F.col("mb") | (F.col("a") < F.col("b")))
-    pairs = a.join(b, (F.col("key") == F.col("_key")) & apart_ & _fits(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = a.join(b, (F.col("key") == F.col("_key")) & apart_ & _fits(num, den) & _fold_fits(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     fresh = Stored(pairs, "jaccard-cross").df.join(done, ["a", "b"], "left_anti")
     sides.drop()
     return _prune(fresh, nodes, num, den)
