@@ -3,9 +3,10 @@
 Built-in expressions only. URLs first collapse to (host, typed path), where
 numbers, hexadecimal ids and dates are already wildcards; the tree is grown
 on these rows, so a host with any share of the pages is a few rows. At each
-depth of a host, segments that are rare among many siblings become "*", and
-siblings whose labelled share does not differ from their parent's pool (z test)
-merge into "~". A template is rejected if its share of bad labels,
+depth of a host, siblings whose labelled share does not differ from their
+parent's pool (z test) merge: into "*" those that are rare among many siblings,
+into "~" the others. A segment whose share differs stays its own, however rare,
+so no branch is lost in the size of its host. A template is rejected if its share of bad labels,
 shrunk towards its host and that towards the whole, reaches ``reject``.
 
 A NULL url or one without "://" has an empty host and path and is judged
@@ -77,7 +78,7 @@ def templates(typed: DataFrame, depth: int = 3, siblings: int = 20, share: float
         pool = F.try_divide(F.col("_pb").cast("double"), F.col("_pl"))
         score = F.try_divide(F.col("_b") - F.col("_l") * pool, F.sqrt(F.col("_l") * pool * (1 - pool)))
         alike = (F.col("_s") != "") & (F.col("_kids") > 1) & (F.coalesce(F.abs(score), F.lit(0.0)) <= z)
-        name = F.when(F.col("_s") == "", "").when(rare, "*").when(alike, "~").otherwise(F.col("_s"))
+        name = F.when(F.col("_s") == "", "").when(alike & rare, "*").when(alike, "~").otherwise(F.col("_s"))
         step = Stored(known.select("host", "template", "_s", name.alias("_name"), F.col("_rows").alias("_weight")), "url-names").df
         joined = hot_join(here, step, ["host", "template", "_s"], "_weight", total)
         rows = Stored(joined.select("host", "typed", "n", "n_lab", "n_bad", "_seg", F.concat_ws("/", F.col("template"), F.when(F.col("_name") != "", F.col("_name"))).alias("template")), "url-level").df

@@ -169,6 +169,15 @@ def test_url_template_purity(spark):
     assert got[151] == "block" and got[150] == "allow" and len(got) == 200
 
 
+def test_url_rare_bad_section_keeps_its_template(spark):
+    """One bad section among 60 equal ones has under 2 % of its host's pages."""
+    pages = [(i, f"http://h.org/s{i % 60}/{i}") for i in range(1800)]
+    labels = spark.createDataFrame([(i, int(i % 60 == 7)) for i in range(1200)], "page_id long, bad int")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels, []).collect()}
+    assert all((got[i]["verdict"] == "block") == (i % 60 == 7) for i in range(1800))
+    assert got[7]["template"] == "/s7/<n>" and got[8]["template"] == "/*/<n>"
+
+
 def test_classifier_learns_and_handles_odd_rows(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(_words(rng, 60)) if i % 3 else " ".join(w + "***" for w in _words(rng, 60)), "en", "a", "x", "y") for i in range(300)]
