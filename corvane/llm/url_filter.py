@@ -2,8 +2,8 @@
 
 Built-in expressions only. URLs first collapse to (host, typed path), where
 numbers, hexadecimal ids and dates are already wildcards; the tree is grown
-on these rows, so a host with any share of the pages is a few rows. At each
-depth of a host, siblings whose labelled share does not differ from their
+on these rows, so a host with any share of the pages is a few rows, down to
+the last segment of its deepest path. At each depth of a host, siblings whose labelled share does not differ from their
 parent's pool (z test) merge: into "*" those that are rare among many siblings,
 into "~" the others. A segment whose share differs stays its own, however rare,
 so no branch is lost in the size of its host. A template is rejected if its share of bad labels,
@@ -57,18 +57,27 @@ def typed_segment(s: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, suffix)).otherwise(s)
 
 
-def typed_path(path: Column, depth: int) -> Column:
-    """First ``depth`` typed segments; deeper ones become "**"."""
-    seg = F.filter(F.split(path, "/"), lambda x: x != "")
-    head = F.transform(F.slice(seg, 1, depth), typed_segment)
-    return F.concat_ws("/", head, F.when(F.size(seg) > depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+def typed_path(path: Column) -> Column:
+    """All segments, typed."""
+    return F.concat_ws("/", F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), typed_segment))
 
 
-def templates(typed: DataFrame, depth: int = 3, siblings: int = 20, share: float = 0.02, z: float = 1.96) -> DataFrame:
-    """(host, typed, template) from (host, typed, n, n_lab, n_bad): the tree, one level at a time."""
-    rows = Stored(typed.withColumn("_seg", F.split("typed", "/")).withColumn("template", F.lit("")), "url-level").df
-    total = rows.count()
-    for level in range(depth + 1):
+def templates(typed: DataFrame, siblings: int = 20, share: float = 0.02, z: float = 1.96) -> DataFrame:
+    """(host, typed, n, n_lab, n_bad, template) from (host, typed, n, n_lab, n_bad): the tree, one level at a time, down to the last segment.
+
+    Rows leave when their path ends, or when they are alone in their branch, which cannot split any more.
+    """
+    level = 0
+    stored = Stored(typed.withColumn("_seg", F.split("typed", "/")).withColumn("template", F.lit("")).withColumn("_done", F.lit(False)), "url-level")
+    paths = [stored.path]
+    while True:
+        rows = stored.df.filter("not _done")
+        total, deepest = rows.agg(F.count(F.lit(1)), F.max(F.size("_seg"))).first()
+        if not total:
+            break
+        if deepest <= level:  # every path has ended
+            paths.append(Stored(rows.withColumn("_done", F.lit(True)), "url-level").path)
+            break
         here = rows.withColumn("_s", F.coalesce(F.get("_seg", F.lit(level)), F.lit("")))
         child = Stored(here.groupBy("host", "template", "_s").agg(F.sum("n").alias("_n"), F.sum("n_lab").alias("_l"), F.sum("n_bad").alias("_b"), F.count(F.lit(1)).alias("_rows")), "url-children").df
         parent = child.groupBy("host", "template").agg(F.sum("_n").alias("_pn"), F.sum("_l").alias("_pl"), F.sum("_b").alias("_pb"), F.count(F.lit(1)).alias("_kids"))
@@ -79,10 +88,16 @@ def templates(typed: DataFrame, depth: int = 3, siblings: int = 20, share: float
         score = F.try_divide(F.col("_b") - F.col("_l") * pool, F.sqrt(F.col("_l") * pool * (1 - pool)))
         alike = (F.col("_s") != "") & (F.col("_kids") > 1) & (F.coalesce(F.abs(score), F.lit(0.0)) <= z)
         name = F.when(F.col("_s") == "", "").when(alike & rare, "*").when(alike, "~").otherwise(F.col("_s"))
-        step = Stored(known.select("host", "template", "_s", name.alias("_name"), F.col("_rows").alias("_weight")), "url-names").df
+        alone = (F.col("_kids") == 1) & (F.col("_rows") == 1)
+        step = Stored(known.select("host", "template", "_s", name.alias("_name"), alone.alias("_alone"), F.col("_rows").alias("_weight")), "url-names").df
         joined = hot_join(here, step, ["host", "template", "_s"], "_weight", total)
-        rows = Stored(joined.select("host", "typed", "n", "n_lab", "n_bad", "_seg", F.concat_ws("/", F.col("template"), F.when(F.col("_name") != "", F.col("_name"))).alias("template")), "url-level").df
-    return rows.drop("_seg")
+        tail = F.when(F.col("_alone"), F.array_join(F.slice("_seg", level + 1, F.greatest(F.size("_seg") - level, F.lit(0))), "/")).otherwise(F.col("_name"))
+        longer = F.concat_ws("/", F.col("template"), F.when(F.col("_name") != "", tail))
+        stored = Stored(joined.select("host", "typed", "n", "n_lab", "n_bad", "_seg", longer.alias("template"), (F.col("_alone") | (F.col("_s") == "")).alias("_done")), "url-level")
+        paths.append(stored.path)
+        level += 1
+    # one scan of all levels; every row is done in one of them
+    return stored.spark.read.schema(stored.schema).parquet(*paths).filter("_done").drop("_seg", "_done")
 
 
 def judge(rows: DataFrame, reject: float = 0.5, k_template: float = 10.0, k_host: float = 50.0) -> DataFrame:
@@ -97,16 +112,16 @@ def judge(rows: DataFrame, reject: float = 0.5, k_template: float = 10.0, k_host
     return hot_join(rows.select("host", "typed", "n", "template"), scored, ["host", "template"], "_rows", rows.count())
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", depth: int = 3, reject: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", reject: float = 0.5) -> DataFrame:
     """(key, host, path, rule, verdict, template, bad_share). ``labels`` is (key, bad 0/1), one row per key."""
     host, path = host_path(url)
-    base = pages.select(F.col(key).alias("_id"), host.alias("host"), path.alias("path")).withColumn("typed", typed_path(F.col("path"), depth))
+    base = pages.select(F.col(key).alias("_id"), host.alias("host"), path.alias("path")).withColumn("typed", typed_path(F.col("path")))
     lab = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max("bad").cast("int").alias("_bad"))
     known = base.filter(F.col("_id").isNotNull()).join(lab, "_id", "left").unionByName(base.filter(F.col("_id").isNull()).withColumn("_bad", F.lit(None).cast("int")))
     stored = Stored(known, "url-pages").df
     total = stored.count()
     typed = stored.groupBy("host", "typed").agg(F.count(F.lit(1)).alias("n"), F.count("_bad").alias("n_lab"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("n_bad"))
-    judged = Stored(judge(Stored(templates(typed, depth), "url-tree").df, reject), "url-judged").df
+    judged = Stored(judge(Stored(templates(typed), "url-tree").df, reject), "url-judged").df
     out = hot_join(stored, judged, ["host", "typed"], "n", total)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return out.select(F.col("_id").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("verdict")).alias("verdict"), "template", "bad_share")

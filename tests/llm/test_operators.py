@@ -178,6 +178,15 @@ def test_url_rare_bad_section_keeps_its_template(spark):
     assert got[7]["template"] == "/s7/<n>" and got[8]["template"] == "/*/<n>"
 
 
+def test_url_branches_split_below_the_third_segment(spark):
+    deep = "a/" * 40
+    pages = [(i, f"http://h.org/en/blog/2024/{('news', 'spam', 'x/y/bad', 'x/y/good')[i % 4]}/{i}") for i in range(400)] + [(1000, f"http://h.org/{deep}end"), (1001, "http://h.org/"), (1002, None)]
+    labels = spark.createDataFrame([(i, int(i % 4 in (1, 2))) for i in range(200)], "page_id long, bad int")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels, []).collect()}
+    assert len(got) == 403 and all((got[i]["verdict"] == "block") == (i % 4 in (1, 2)) for i in range(400))
+    assert got[301]["template"].endswith("/spam/<n>") and got[1000]["template"].endswith("/a/a/end") and got[1001]["template"] == ""
+
+
 def test_classifier_learns_and_handles_odd_rows(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(_words(rng, 60)) if i % 3 else " ".join(w + "***" for w in _words(rng, 60)), "en", "a", "x", "y") for i in range(300)]
