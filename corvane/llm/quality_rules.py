@@ -12,6 +12,7 @@ ties. Texts of any length are counted whole. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,9 +39,9 @@ WORDS = 400_000
 
 
 def script_of(text: str) -> str:
-    """Latin if at least half of the letters of the leading words lie below U+0250, else Other."""
-    letters = [c for c in text if c.isalpha()]
-    return "Latin" if 2 * sum(c < "ɐ" for c in letters) >= len(letters) else "Other"
+    """Latin if at least half of the letters of the whole text lie below U+0250, else Other."""
+    letters = [(c, n) for c, n in Counter(text).items() if c.isalpha()]
+    return "Latin" if 2 * sum(n for c, n in letters if c < "ɐ") >= sum(n for _, n in letters) else "Other"
 
 
 def repeated_words(codes: np.ndarray) -> int:
@@ -141,7 +142,7 @@ def judge(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text"
                 distinct, times = np.unique(codes, return_counts=True)
                 bad = n < 50 or 100 * rep > 50 * n
                 cpt, share, ent, tokens = fert.measure(distinct, times, chars)
-                band = g if g in table else script_of(" ".join(ws[:200]))
+                band = g if g in table else script_of(t)
                 ok = not bad
                 if ok and tokens >= least_tokens:
                     lo, hi, most, least = table[band]

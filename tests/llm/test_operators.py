@@ -231,6 +231,17 @@ def test_rules_counts(spark):
     assert got[3]["base_failed"] and not got[4]["base_failed"] and got[4]["band"] == "Latin"
 
 
+def test_rules_script_of_the_whole_text(spark):
+    """A Latin opening of 200 words does not decide for a text that goes on in another script, nor the reverse."""
+    latin = [f"Wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    other = ["".join(chr(0x4E00 + (i * 7 + j * 131) % 4000) for j in range(6)) for i in range(900)]
+    texts = [" ".join(latin + other), " ".join(other[:200] + latin * 2), " ".join(latin), "1 2 3"]
+    model = sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, [(i, t, None, "a", "x", "y") for i, t in enumerate(texts)]), model).collect()}
+    assert [got[i]["band"] for i in range(4)] == ["Other", "Latin", "Latin", "Latin"]
+    assert got[0]["byte_share"] > quality_rules.BANDS["Latin"][2] and got[0]["kept"]
+
+
 def test_repeated_words_brute_force():
     rng = random.Random(9)
     for _ in range(200):
