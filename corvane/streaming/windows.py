@@ -16,8 +16,8 @@ def tumbling_counts(events: DataFrame, time: str, kind: str, value: str, width:
 
 
 def run_once(spark: SparkSession, folder: str, pattern: str, schema, build, sink: str) -> DataFrame:
-    """Drives every file present now through a streaming plan and returns what it appended."""
+    """Drives every file present now through a streaming plan and returns all its windows, also those still open at the last event."""
     source = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    query = build(source).writeStream.format("memory").queryName(sink).outputMode("append").trigger(availableNow=True).start()
+    query = build(source).writeStream.format("memory").queryName(sink).outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(sink)
