@@ -237,12 +237,15 @@ def main_text(page: str | None, gone: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(blocks(_main(root, gone), gone))
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", least_pages: int = 5, least_share: float = 0.02) -> DataFrame:
-    """(key, url, text, n_chars, n_template): a subtree is template from ``least_pages`` pages and ``least_share`` of its host's pages on."""
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", least_pages: int = 5, least_share: float = 0.02, sure_pages: int = 100) -> DataFrame:
+    """(key, url, text, n_chars, n_template): a subtree is template from ``least_pages`` pages and ``least_share`` of its host's pages on.
+
+    On a large host ``sure_pages`` pages that differ suffice, so copies of one page do not make its text template.
+    """
     bounded_batches(pages.sparkSession)
     row = F.xxhash64(F.col(key), F.col(url), F.col(page))
     host = F.xxhash64(host_path(url)[0])
-    rows = pages.select(row.alias("_r"), host.alias("_h"), F.col(page).alias("_p"))
+    rows = pages.select(row.alias("_r"), host.alias("_h"), F.col(page).alias("_p"), F.xxhash64(F.col(page)).alias("_c"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,12 +257,20 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                     s.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(h, pa.int64()), pa.array(s, pa.int64())], names=["_r", "_h", "_s"])
 
-    trees = Stored(rows.mapInArrow(hashes, "_r long, _h long, _s long"), "html-trees").df
+    trees = Stored(rows.select("_r", "_h", "_p").mapInArrow(hashes, "_r long, _h long, _s long"), "html-trees").df
     sizes = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_pages"))
     counts = Stored(trees.groupBy("_h", "_s").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_pages), "html-counts").df
     hosts = Stored(sizes, "html-hosts").df
-    n_counts = Stored(counts.join(if_small(hosts, 100_000), "_h"), "html-common").df.filter(F.col("_n") >= least_share * F.col("_pages"))
-    common = Stored(n_counts.select("_h", "_s", "_n"), "html-template").df
+    common = Stored(counts.join(if_small(hosts, 100_000), "_h"), "html-common").df
+    often = F.col("_n") >= least_share * F.col("_pages")
+    template = common.filter(often).select("_h", "_s", "_n")
+    unsure = Stored(common.filter(~often & (F.col("_n") >= sure_pages)).select("_h", "_s", "_n"), "html-unsure").df
+    if unsure.limit(1).count():
+        met = hot_join(trees, unsure, ["_h", "_s"], "_n", trees.count()).select("_r", "_h", "_s", "_n")
+        contents = rows.select("_r", "_c").distinct()
+        differ = met.join(contents, "_r").groupBy("_h", "_s").agg(F.count_distinct("_c").alias("_d"), F.first("_n").alias("_n"))
+        template = template.unionByName(differ.filter(F.col("_d") >= sure_pages).select("_h", "_s", "_n"))
+    common = Stored(template, "html-template").df
     gone = Stored(hot_join(trees, common, ["_h", "_s"], "_n", trees.count()).groupBy("_r").agg(F.collect_set("_s").alias("_gone")), "html-gone").df
     joined = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(page).alias("_p"), row.alias("_r")).join(if_small(gone, 20_000), "_r", "left").select("_key", "_url", "_p", "_gone")
 

@@ -151,6 +151,15 @@ def test_html_text_and_template(spark):
     assert got[3]["n_chars"] == len(got[3]["text"]) and got[3]["n_template"] > 0
 
 
+def test_html_template_of_a_large_host(spark):
+    """A box on 110 different pages of 6,000 is template; 110 copies of one page are not."""
+    page = "<body><article><p>Text {}</p>{}</article></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i, "<div>Our offer</div>" if i < 110 else "")) for i in range(5890)]
+    rows += [(i, f"http://h.example/{i}", page.format("copy", "<div>Own words</div>")) for i in range(5890, 6000)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5] == "Text 5" and got[500] == "Text 500" and got[5900] == "Text copy\n\nOwn words"
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.com/en/1?x", "https://www.example.com/en/1", "http://x.net/es/2", "http://x.net/de/2", "http://notcom/", None, "nothing", "http://example.com", "http://b.example.com/fr/1#t"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
