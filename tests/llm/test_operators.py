@@ -103,18 +103,16 @@ def _brute(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("hot", [True, False])
-def test_jaccard_equals_brute_force(spark, monkeypatch, hot):
-    """With many tokens in the frequent class and with none."""
-    if hot:
-        monkeypatch.setattr(jaccard_join, "frequent_tokens", lambda texts, k: np.unique(np.concatenate([shingles.shingle_set(r["t"], k)[::2] for r in texts.collect()])))
+@pytest.mark.parametrize("rare", [64, 2])
+def test_jaccard_equals_brute_force(spark, rare):
+    """With few tokens in the frequent class and with most, and in blocks of a few rows."""
     rows = _corpus()
-    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rare_most=rare, block_bytes=3000 if rare == 2 else jaccard_join.BLOCK_BYTES).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _brute(rows)
 
 
 def test_index_keys_meet_for_every_similar_pair():
-    """Any two sets of similarity 0.75 or more share an index key, whatever tokens are frequent."""
+    """Any two sets of similarity 0.75 or more share an index key with room enough, whatever tokens are frequent."""
     rng = np.random.default_rng(5)
     for _ in range(400):
         n = int(rng.integers(1, 120))
@@ -123,11 +121,28 @@ def test_index_keys_meet_for_every_similar_pair():
         y = np.unique(np.concatenate([x[~drop], rng.integers(0, 2**63, int(rng.integers(0, len(x) // 6 + 1))).astype(np.uint64)]))
         if not len(y) or 100 * len(np.intersect1d(x, y)) < 75 * len(np.union1d(x, y)):
             continue
-        both = np.union1d(x, y)
-        frequent = np.sort(both[rng.random(len(both)) < rng.choice([0, 0.5, 0.9, 1.0])])
-        a, b = (jaccard_join.index_keys(s, frequent, 75, 100)[0] for s in (x, y))
-        assert len(np.intersect1d(a, b))
-        assert jaccard_join.apart(jaccard_join.sketch(x), jaccard_join.sketch(y)) <= len(np.setxor1d(x, y))
+        # shared tokens occur twice or more, others once or more; the same count in both sets
+        counts = {t: int(rng.choice([1, 2, 3, 80, 90]) if t not in y or t not in x else rng.choice([2, 3, 70, 80])) for t in np.union1d(x, y).tolist()}
+        entries = []
+        for s in (x, y):
+            kept = np.array([t for t in s.tolist() if counts[t] > 1], np.uint64)
+            keys, rooms = jaccard_join.index_keys(kept, np.array([counts[t] for t in kept.tolist()], np.int64), len(s), 75, 100)
+            entries.append(dict(zip(keys.tolist(), rooms.tolist(), strict=True)))
+        a, b = entries
+        assert any(min(a[k], b[k]) * 175 >= 75 * (len(x) + len(y)) for k in a.keys() & b.keys())
+
+
+def test_jaccard_odd_rows(spark):
+    """NULL and repeated ids, one id with two texts, clashing columns, a long text in blocks, an empty table."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    t, other = "one two three four five six seven", "quite another text of some seven words"
+    rows = [(1, t, "a"), (2, t, "b"), (2, other, "c"), (2, other, "d"), (None, t, "e"), (None, "no id has these words here", "f"), (3, long, "g"), (4, long + " end", "h"), (5, " \n", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string").withColumn("_class", F.lit(1)).withColumn("id", F.lit("x"))
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df, block_bytes=1000).collect()}
+    assert got == {(1, 3, 1), (2, 3, 1), (2, 3, 2), (None, 3, 1), (None, 2, None), (3, 59996, 3), (4, 59997, 3), (5, 0, 5)}
+    kept = jaccard_join.representatives(df)
+    assert kept.columns == df.columns and sorted(r["n"] for r in kept.collect() if r["n"] not in ("c", "d")) == ["a", "f", "g", "i"] and kept.filter("doc_id = 2").count() == 1
+    assert jaccard_join.near_duplicates(df.limit(0)).count() == 0 and jaccard_join.representatives(df.limit(0)).count() == 0
 
 
 def test_components(spark):
