@@ -53,10 +53,10 @@ def op6_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.filter_urls(pages, labels, URL_RULES)
 
 
-ROUND = """, e{i} as (select d.source, d.doc_id, d.size, d.u, s.rest from d join s{p} s on d.source is not distinct from s.source where s.rest >= 1 and d.size > 0 and d.size <= s.rest and d.u > s.hi),
- c{i} as (select *, sum(size) over (partition by source order by u) as cum from e{i}),
- p{i} as (select source, max(u) as hi, sum(size) as got from c{i} where cum <= rest group by source),
- t{i} as (select doc_id, source, u from c{i} where cum <= rest),
+ROUND = """, e{i} as (select d.source, d.doc_id, d.size, d.v, s.rest from dv d join s{p} s on d.source is not distinct from s.source where s.rest >= 1 and d.size > 0 and d.size <= s.rest and d.v > s.hi),
+ c{i} as (select *, sum(size) over (partition by source order by v) as cum from e{i}),
+ p{i} as (select source, max(v) as hi, sum(size) as got from c{i} where cum <= rest group by source),
+ t{i} as (select doc_id, source, v from c{i} where cum <= rest),
  s{i} as (select s.source, s.rest - coalesce(got, 0) as rest, coalesce(p.hi, s.hi) as hi from s{p} s left join p{i} p on s.source is not distinct from p.source)"""
 MIX_SQL = f"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{SQL_WORD}')) as bigint) as size,
   (cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 13) as bigint) + 0.5::double) / pow(2.0, 52) as u from documents),
@@ -66,9 +66,16 @@ MIX_SQL = f"""with d as (select doc_id, source, cast(len(regexp_extract_all(coal
   window q as (order by 3 * ss / w, source rows between unbounded preceding and 1 preceding)),
  lv as (select max((total - cap_before) / (wt - w_before)) as hi, max((total - cap_before) / (wt - w_before)) filter ((total - cap_before) / (wt - w_before) <= 3 * ss / w) as level from o),
  tg as (select source, ss, n, least(3 * ss, coalesce(level, hi) * w) as target from r, lv),
+ bands as (select source, least(length(bin(size)), 11) + 9 as g, sum(size) as s from d where size > 0 group by all),
+ factor as (select b.source, g, (target - floor(coalesce(target / nullif(ss, 0), 0)) * ss - coalesce(sum(s) over (w rows between unbounded preceding and 1 preceding), 0)) / sum(s * g) over (w rows between current row and unbounded following) as f
+  from bands b join tg on b.source is not distinct from tg.source window w as (partition by b.source order by g desc)),
+ lam as (select source, arg_max(f, g) as f from factor where f * g <= 1 group by source),
+ p as (select d.*, coalesce(f, 0) * (least(length(bin(size)), 11) + 9) as p from d left join lam on d.source is not distinct from lam.source),
+ q as (select *, case when size > 0 and p > 0 and p < 1 then (u / (1 - u)) / (p / (1 - p)) end as q from p),
+ dv as (select *, case when size <= 0 or p <= 0 then 1.0::double when p >= 1 then 0.0::double else q / (1 + q) end as v from q),
  s0 as (select source, target - floor(coalesce(target / nullif(ss, 0), 0)) * ss as rest, cast(-1 as double) as hi from tg)
  """ + "".join(ROUND.format(i=i, p=i - 1) for i in range(1, 5)) + """
- , tk as (select doc_id, source, u from t1 union all select * from t2 union all select * from t3 union all select * from t4)
+ , tk as (select doc_id, source, v from t1 union all select * from t2 union all select * from t3 union all select * from t4)
  select d.doc_id, d.size, cast(tg.ss as bigint) as source_size, round(target, 6) as target,
   cast(d.size * (floor(coalesce(target / nullif(ss, 0), 0)) + cast(exists(select 1 from tk where tk.doc_id is not distinct from d.doc_id and tk.source is not distinct from d.source) as int)) as bigint) as taken
  from d join tg on d.source is not distinct from tg.source"""

@@ -53,7 +53,7 @@ from .shingles import shingle_sets
 #: Tokens in more sets than this are frequent and indexed by combinations.
 RARE_MOST = 64
 #: Bytes of text hashed together, and the most rows of a block (their numbers take 16 bits).
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 50_000
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 50_000
 #: Bytes of tokens counted together, about; the number of buckets is a power of two between these bounds.
 BUCKET_BYTES, LEAST_BUCKET_BITS, MOST_BUCKET_BITS = 8 << 20, 8, 24
 #: A leader is compared with about this many partners in one group.

@@ -3,18 +3,22 @@
 Built-in expressions only. Targets fill up to ``cap`` times a source's size,
 the excess going to the others by weight. A source with target/size = c + f
 takes c certain copies of every document; the fraction f is drawn by Pareto
-order sampling: documents are ranked by (u/(1-u)) / (p/(1-p)), with u from
-the id's digest and p the inclusion probability, and the leading documents
-whose words fit the remaining target are taken. Later passes let smaller
-documents of the ranking fill what is left. p is f, times weight over the
-source's mean weight if a weight column is given.
+order sampling with unequal probabilities: a document of n words has the weight
+g = 10 + min(floor(log2 n), 10), so long documents are up to twice as likely as short
+ones (``favour_long=False``: g = 10 for all), and p = min(1, lambda g) is its
+inclusion probability, lambda being such that the expected words, p times n, sum to
+the source's remaining target. Documents with p = 1 take one more certain copy. The others are ranked by random
+odds over inclusion odds, (u/(1-u)) / (p/(1-p)), with u from the id's digest, and the leading documents
+whose words fit the remaining target are taken. Three more passes let smaller
+documents of the ranking fill what is left.
 
 The cut in a ranking is found by narrowing ranges of the key: each step sums
 words over 1,024 ranges of every source, so a source with any share of the
 rows is never sorted in one task. Sources are ranked over range partitions.
 
 Nulls: a NULL text has size 0, a NULL source is one source and comes last, a
-NULL id draws as the text "null". Rows that tie in the key are taken or left
+NULL id draws as the text "null". An empty table gives an empty result, a text of any length
+counts whole. Rows that tie in the key are taken or left
 together. Size-0 rows take 0 words. Reruns agree, as all draws are digests.
 Extra columns are ignored by ``plan`` and carried by ``mix``.
 """
@@ -46,6 +50,29 @@ def uniform(key: Column) -> Column:
     return (digits.cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def weight_of(size: Column, favour_long: bool = True) -> Column:
+    """10 to 20, by the number of binary digits."""
+    return (F.least(F.length(F.bin(size)), F.lit(11)) + 9).cast("bigint") if favour_long else F.lit(10).cast("bigint")
+
+
+def place(key: Column, size: Column, favour_long: bool = True) -> Column:
+    """Where a document stands in its source's ranking: odds q as q / (1 + q), certain documents at 0."""
+    p, u = F.col("_lambda") * weight_of(size, favour_long), uniform(key)
+    q = (u / (1 - u)) / (p / (1 - p))
+    return F.when((size <= 0) | (p <= 0), F.lit(1.0)).when(p >= 1, F.lit(0.0)).otherwise(q / (1 + q))
+
+
+def inclusion(rows: DataFrame, src: DataFrame, favour_long: bool = True) -> DataFrame:
+    """(_k, _lambda): the factor that makes expected words equal ``_left``, from a source's sums by weight (11 rows at most)."""
+    by = rows.filter("_size > 0").groupBy("_k", weight_of(F.col("_size"), favour_long).alias("_g")).agg(F.sum("_size").alias("_s"))
+    by = by.join(src.select("_k", "_left"), "_k")
+    above, here = W.partitionBy("_k").orderBy(F.col("_g").desc()).rowsBetween(W.unboundedPreceding, -1), W.partitionBy("_k").orderBy(F.col("_g").desc()).rowsBetween(0, W.unboundedFollowing)
+    factor = (F.col("_left") - F.coalesce(F.sum("_s").over(above), F.lit(0))) / F.sum(F.col("_s") * F.col("_g")).over(here)
+    # weights above the first that stays below certainty are certain
+    fits = by.withColumn("_lambda", factor).filter("_lambda * _g <= 1")
+    return fits.groupBy("_k").agg(F.max_by("_lambda", "_g").alias("_lambda"))
+
+
 def sizes(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     return docs.select(F.col(key).alias("_id"), F.col(source).alias("_source"), source_key(source).alias("_k"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("_size"))
 
@@ -108,22 +135,17 @@ def _narrow(rows: DataFrame, left: DataFrame) -> DataFrame:
     return settled.unionByName(cut)
 
 
-def decide(light: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, inclusion: str | None = None) -> tuple[DataFrame, DataFrame, int, bool]:
+def decide(light: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, favour_long: bool = True) -> tuple[DataFrame, DataFrame, int, bool]:
     """Keyed rows (_id, _source, _k, _size, _v), the sources with their rules, rows, and whether sources are few."""
     stored = Stored(light, "mix-rows").df
     total = stored.count()
     src = Stored(source_targets(stored, weights, cap), "mix-targets").df
     ratio = F.coalesce(F.try_divide(F.col("_target"), F.col("_ssize").cast("double")), F.lit(0.0))
     src = src.withColumn("_copies", F.floor(ratio)).withColumn("_f", ratio - F.col("_copies")).withColumn("_left", F.col("_target") - F.col("_copies") * F.col("_ssize"))
-    if inclusion:
-        src = src.join(stored.groupBy("_k").agg(F.avg(inclusion).alias("_mean")), "_k")
+    src = src.join(inclusion(stored, src, favour_long), "_k", "left").withColumn("_lambda", F.coalesce("_lambda", F.lit(0.0)))
     src = Stored(src.withColumn("_rules", F.array().cast("array<struct<lo:double,hi:double,most:double>>")), "mix-sources-1").df
     small = src.count() <= SOURCES_BROADCAST
-    p = F.col("_f") * (F.coalesce(F.try_divide(F.col(inclusion), F.col("_mean")), F.lit(0.0)) if inclusion else F.lit(1.0))
-    p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    u = uniform(F.col("_id"))
-    q = (u / (1 - u)) / (p / (1 - p))
-    keyed = Stored(_to_sources(stored, src.select("_k", "_f", "_docs", *(["_mean"] if inclusion else [])), total, small).select(*stored.columns, (q / (1 + q)).alias("_v")), "mix-keys").df
+    keyed = Stored(_to_sources(stored, src.select("_k", "_lambda", "_docs"), total, small).select(*stored.columns, place(F.col("_id"), F.col("_size"), favour_long).alias("_v")), "mix-keys").df
     for _ in range(PASSES):
         lo = F.coalesce(F.try_element_at("_rules", F.lit(-1))["hi"], F.lit(-1.0))
         now = src.filter("_left >= 1").select("_k", "_docs", "_left", lo.alias("_from"))
@@ -143,9 +165,9 @@ def taken_copies(v: Column, size: Column) -> Column:
     return F.col("_copies") + hit.cast("bigint")
 
 
-def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, favour_long: bool = True) -> DataFrame:
     """(key, size, source_size, target, taken) of every row."""
-    keyed, src, total, small = decide(sizes(docs, key, source, text), weights, cap)
+    keyed, src, total, small = decide(sizes(docs, key, source, text), weights, cap, favour_long)
     out = _to_sources(keyed, src.select("_k", "_docs", "_ssize", "_target", "_copies", "_rules"), total, small)
     return out.select(
         F.col("_id").alias(key), F.col("_size").alias("size"), F.col("_ssize").alias("source_size"), F.round("_target", 6).alias("target"),
@@ -153,15 +175,12 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, favour_long: bool = True) -> DataFrame:
     """The mixed corpus: every row as often as it is taken, with its columns. Texts are not shuffled while sources are few."""
-    keyed, src, total, small = decide(sizes(docs, key, source, text), weights, cap)
+    _, src, total, small = decide(sizes(docs, key, source, text), weights, cap, favour_long)
     # rows travel as one column, so that no column of theirs can clash
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
     marked = docs.select(F.struct(*docs.columns).alias("_all"), F.col(key).alias("_id"), source_key(source).alias("_k"), size.alias("_size"))
-    joined = _to_sources(marked, src.select("_k", "_docs", "_f", "_copies", "_rules"), total, small)
-    p = F.least(F.greatest(F.col("_f"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    u = uniform(F.col("_id"))
-    q = (u / (1 - u)) / (p / (1 - p))
-    n = taken_copies(q / (1 + q), F.col("_size")).cast("int")
+    joined = _to_sources(marked, src.select("_k", "_docs", "_lambda", "_copies", "_rules"), total, small)
+    n = taken_copies(place(F.col("_id"), F.col("_size"), favour_long), F.col("_size")).cast("int")
     return joined.withColumn("_n", n).filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_all.*")

@@ -8,20 +8,23 @@ dual coordinate descent. A logistic curve fitted on a part kept out of the
 fit turns margins into probabilities at the labels' own class shares.
 
 The fit uses a bounded sample of labelled rows: at most ``fit_rows`` of each
-class, those of smallest digest of the id (documented bound, the same at
+class, those of smallest digest of the id, and of these so many, in that order, that they hold at most
+``fit_features`` features (documented bounds, the same at
 every size). Its rows meet in one task; scoring reads every row and whole
 text. Ids, languages, sources and labels are no features.
 
 Rows without an id or label are not learned from, but scored. NULL and empty texts
 have no n-gram and get the score of the bias. Documents with several labels count
-as good if one says so. Without labels of both classes every score is the
+as good if one says so; of documents with several texts the one with the least features in binary order is learned from. Without labels of both classes every score is the
 share of good ones (0.5 without any). Repeated rows and ties score alike.
-Extra columns are ignored.
+Extra columns are carried; one named like the score is replaced. Texts are read whole, in segments; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .shingles import _MIX, word_hashes
+from .shingles import _MIX, _words
 
 BITS = 17
 SIZE = 1 << BITS
 SEGMENT = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def _classes() -> np.ndarray:
@@ -65,27 +69,37 @@ def _grams(b: np.ndarray, n: int, salt: int, flags: np.ndarray) -> None:
     flags[(h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)] = True
 
 
-def features(text: str | None, flags: np.ndarray) -> np.ndarray:
-    """Sorted indices of a text's n-grams; ``flags`` is scratch space of SIZE booleans, left cleared."""
+def features(text: str | None, flags: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """Sorted indices of a text's n-grams; ``flags`` is scratch space of SIZE booleans, left cleared.
+
+    The text is read in segments of about ``segment`` bytes, which bound the memory and do not affect the result.
+    """
     if not text:
         return np.zeros(0, np.int32)
-    for at in range(0, len(text), SEGMENT):
-        part = text[at : at + SEGMENT]
-        b = np.frombuffer(part.encode("utf-8", "surrogatepass"), np.uint8)
+    raw, at, seen = text.encode("utf-8", "surrogatepass"), 0, 0
+    last = np.zeros(0, np.uint64)
+    while at < len(raw):
+        # segments end behind a word, and what spans two of them is carried over: 3 bytes and 4 words
+        space = _BLANK.search(raw, at + segment)
+        end = space.start() if space else len(raw)
+        b = np.frombuffer(raw[max(0, at - 3) : end], np.uint8)
         wide, cls = b.astype(np.uint32), _CLASS[b].astype(np.uint32)
         for n in (1, 3):
             _grams(wide, n, n, flags)
         for n in (4,):
             _grams(cls, n, 10 + n, flags)
-        w = word_hashes(part, fold=False)
-        if len(w):
+        w = np.concatenate([last, _words(raw[at:end])[0]])
+        new, at = len(w) - len(last), end
+        if new:
             flags[(w >> np.uint64(64 - BITS)).astype(np.int64)] = True
             pair = (w[:-1] * _MIX[3] + w[1:]) * _MIX[1]
             flags[(pair >> np.uint64(64 - BITS)).astype(np.int64)] = True
             again = np.zeros(len(w), np.uint32)
             again[1:] |= w[1:] == w[:-1]
             again[2:] |= (w[2:] == w[:-2]).astype(np.uint32) << np.uint32(1)
-            _grams(again, 3, 20, flags)
+            # the first two of carried words were judged in the segment before
+            _grams(again[2:] if seen > len(last) else again, 3, 20, flags)
+            last, seen = w[-4:], seen + new
     found = np.flatnonzero(flags).astype(np.int32)
     flags[found] = False
     return found
@@ -152,7 +166,20 @@ def margin(model: dict, idx: np.ndarray) -> float:
     return float(v @ model["w"][idx]) / max(1e-9, float(np.sqrt(v @ v))) + float(model["bias"])
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = 3000) -> dict:
+def _packed(found: np.ndarray) -> bytes:
+    """Indices, or from SIZE / 32 of them on one bit for each; SIZE / 8 bytes at most."""
+    if len(found) < SIZE // 32:
+        return b"i" + found.tobytes()
+    bits = np.zeros(SIZE, np.uint8)
+    bits[found] = 1
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def _unpacked(x: bytes) -> bytes:
+    return x[1:] if x[:1] == b"i" else np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8, offset=1))).astype(np.int32).tobytes()
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = 3000, fit_features: int = 20_000_000) -> dict:
     """The model of a bounded sample; only its weights (about 1 MB) reach the driver."""
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -170,22 +197,25 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(SIZE, bool)
         for b in batches:
-            x = [features(t, flags).tobytes() for t in b.column(1).to_pylist()]
+            x = [_packed(features(t, flags)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["_id", "_y", "x"])
 
     kind = dict(docs.dtypes)[key]
-    coded = chosen.select("_id", "_t", "_y").mapInArrow(encode, f"_id {kind}, _y int, x binary").dropDuplicates(["_id"])
+    coded = chosen.select("_id", "_t", "_y").mapInArrow(encode, f"_id {kind}, _y int, x binary").groupBy("_id", "_y").agg(F.min("x").alias("x")).withColumn("_o", F.xxhash64("_id"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for b in batches:
-            got += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            got += zip(b.column(3).to_pylist(), b.column(0).to_pylist(), b.column(1).to_pylist(), (np.frombuffer(_unpacked(x), np.int32) for x in b.column(2).to_pylist()), strict=True)
+        got.sort(key=lambda r: r[:2])
+        ends = np.cumsum([len(r[3]) for r in got])
+        got = [r[1:] for r, end in zip(got, ends, strict=True) if end <= fit_features]
         got.sort(key=lambda r: r[0])
         y = np.array([r[1] for r in got])
         if len(set(y.tolist())) < 2:
             m = {"constant": prior}
         else:
-            m = fit([np.frombuffer(r[2], np.int32) for r in got], y, prior)
+            m = fit([r[2] for r in got], y, prior)
         arrays = [m.pop(k).tobytes() if k in m else None for k in ("ratio", "w")]
         yield pa.RecordBatch.from_arrays([pa.array([arrays[0]], pa.binary()), pa.array([arrays[1]], pa.binary()), pa.array([json.dumps(m)], pa.string())], names=["ratio", "w", "rest"])
 
@@ -203,6 +233,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop(out) if out != text else docs
     at = docs.columns.index(text)
     names = [*docs.columns, out]
 

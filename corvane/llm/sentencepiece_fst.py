@@ -1,25 +1,30 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
 The model file is compiled into three machines: the normaliser (character map,
-dummy prefix, escaped spaces), the pieces (arcs over their characters) and the
-byte fallback (a character without a piece becomes its bytes). An input is
-composed with them, and the path of least weight in the tropical semiring is
-the encoding.
-
-For a unigram model an arc weighs minus its piece's score. For a merge (BPE)
-model weights of single pieces cannot express the merge order, so arcs carry a
-condition on neighbours: two adjacent pieces weigh 0 if merging their joined
-text gives just these two, and infinity otherwise. A sequence whose neighbours
-all agree is the merge result, so the one path of finite weight is the
-encoding. Conditions are computed on demand and remembered.
+escaped spaces, dummy prefix), the pieces (a trie of arcs over their characters, a
+final state per piece) and the byte fallback (an arc that reads a character
+without a piece and writes its bytes). They are composed with an input
+lazily, position by position, and the path of least weight in the tropical
+semiring (weights add along a path, the least path counts) is the encoding.
+
+For a unigram model an arc weighs minus its piece's score, the fallback 10
+more than the worst piece; a state is a position. For a merge (BPE) model
+weights of single pieces cannot express the merge order, so a state is a
+position with the piece that led there, and an arc weighs 0 if merging the
+joined text of the two pieces gives just these two, else infinity. A sequence whose
+neighbours all agree is the merge result, so the one path of finite weight is
+the encoding; an input without one is an error, never another encoding.
+Conditions are computed on demand and remembered.
 
 The composed machine falls apart where no piece spans two characters; such
 cuts (before a space mark that follows another character, around line ends)
-give segments, whose shortest paths are remembered in a bounded table.
+give segments, whose shortest paths are remembered. Both tables are bounded in
+bytes and keep what was used last.
 
 NULL and empty texts have no tokens and decode to "". The space mark U+2581
 decodes to a space, as in the library. Any text length is processed whole.
-Repeated rows give repeated rows; extra columns are carried by ``encode``.
+Repeated rows give repeated rows, and rows do not affect each other. An empty table gives an empty
+table. Columns of ``keep`` named like a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -40,8 +45,10 @@ from .common import bounded_batches
 
 MARK = "▁"
 MODEL_BYTES = 16 << 20
-#: Remembered segments and neighbour conditions of a process.
-SEGMENTS, PAIRS = 400_000, 400_000
+#: Bytes of remembered segments (in each of two generations) and remembered neighbour conditions of a process.
+SEGMENT_BYTES, PAIRS = 40 << 20, 300_000
+#: Label of a fallback arc in a path.
+FALLBACK = -2
 
 
 def load_model(path: str) -> bytes:
@@ -76,6 +83,29 @@ def _charsmap(blob: bytes) -> dict[str, str]:
     return out
 
 
+class Remembered(dict):
+    """Results of ``find`` by segment; when the bytes of a generation are used up, it becomes the old one and the one before goes."""
+
+    def __init__(self, find, most: int = SEGMENT_BYTES):
+        super().__init__()
+        self.find, self.most, self.held, self.old = find, most, 0, {}
+
+    def __missing__(self, segment: str) -> tuple[int, ...]:
+        got = self.old.get(segment)
+        if got is None:
+            got = self.find(segment)
+        size = 4 * len(segment) + 8 * len(got) + 200
+        if size > self.most >> 4:
+            return got
+        self.held += size
+        if self.held > self.most:
+            self.old = dict(self)
+            self.clear()
+            self.held = size
+        self[segment] = got
+        return got
+
+
 class Transducer:
     """Compiled machines of one model."""
 
@@ -96,7 +126,6 @@ class Transducer:
         self.bytes = [-1] * 256
         self.unk = 0
         self.out: list[bytes] = []
-        inner: set[str] = set()
         for i, p in enumerate(m.pieces):
             self.score.append(p.score)
             if p.type == kinds.BYTE:
@@ -106,27 +135,29 @@ class Transducer:
             elif p.type in (kinds.NORMAL, kinds.USER_DEFINED):
                 self.ids[p.piece] = i
                 self.out.append(p.piece.replace(MARK, " ").encode())
-                inner.update(a + b for a, b in zip(p.piece, p.piece[1:], strict=False))
             elif p.type == kinds.UNKNOWN:
                 self.unk = i
                 self.out.append(m.trainer_spec.unk_surface.encode())
             else:
                 self.out.append(b"")
         self.piece = {i: p for p, i in self.ids.items()}
-        # every prefix of a piece, with the piece's id where it is one
-        self.trie: dict[str, int] = {p[:n]: -1 for p in self.ids for n in range(1, len(p))}
-        self.trie.update(self.ids)
-        self.longest = max(map(len, self.ids), default=1)
-        self.chars = frozenset(c for c in self.ids if len(c) == 1)
+        self.size = {i: len(p) for i, p in self.piece.items()}
+        # the trie: a state is a table of arcs, its piece under the empty label
+        self.root: dict = {}
+        for p, i in self.ids.items():
+            state = self.root
+            for c in p:
+                state = state.setdefault(c, {})
+            state[""] = i
         # may a text be cut before a mark, and on both sides of a line end?
-        self.cut_mark = not any(x[1] == MARK and x[0] != MARK for x in inner)
-        self.cut_line = not any("\n" in x for x in inner)
-        self.worst = min(self.score, default=0.0) - 10.0
-        self._segments: dict[str, tuple[int, ...]] = {}
+        self.cut_mark = not any(b == MARK and a != MARK for p in self.ids for a, b in zip(p, p[1:], strict=False))
+        self.cut_line = not any("\n" in p for p in self.ids if len(p) > 1)
+        self.worst = 10.0 - min((self.score[i] for i in self.ids.values()), default=0.0)
         self._pairs: dict[int, bool] = {}
-        self._prefix: dict[int, int] = {}
         self._built: dict[int, tuple[list[float], list[str], list[str]]] = {}
-        self.line = tuple(self._fallback("\n")) if "\n" not in self.ids else (self.ids["\n"],)
+        self._words = Remembered(self._word)
+        self._runs = Remembered(self._path)
+        self.line = self._path("\n")
 
     def normalize(self, text: str) -> str:
         """The normaliser's output, spaces escaped, without the dummy prefix."""
@@ -140,20 +171,6 @@ class Transducer:
         got = [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
         return [self.unk] if -1 in got else got
 
-    def merged(self, s: str) -> list[str]:
-        """Pieces left by merging: best score first, leftmost among equals; characters without a piece never merge."""
-        part = list(s)
-        while len(part) > 1:
-            best, at = None, -1
-            for i in range(len(part) - 1):
-                j = self.ids.get(part[i] + part[i + 1])
-                if j is not None and (best is None or self.score[j] > best):
-                    best, at = self.score[j], i
-            if best is None:
-                break
-            part[at : at + 2] = [part[at] + part[at + 1]]
-        return part
-
     def _steps(self, t: int) -> tuple[list[float], list[str], list[str]]:
         """Merges that build a piece in order: their scores, and the piece at the left and at the right edge before each and at the end."""
         known = self._built.get(t)
@@ -187,6 +204,9 @@ class Transducer:
         if known is None:
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
+            if a == FALLBACK:  # nothing merges across a start or a character without a piece
+                known = self._pairs[k] = self._whole(b)
+                return known
             (sa, _, ra), (sb, lb, _) = self._steps(a), self._steps(b)
             ids, score, i, j = self.ids, self.score, 0, 0
             low = float("-inf")
@@ -211,119 +231,108 @@ class Transducer:
         """Whether merging a piece's text gives the piece."""
         return self._steps(t)[1][-1] == self.piece[t]
 
-    def _shorter(self, t: int) -> int:
-        """Longest piece that is a proper prefix of a piece, -1 if none."""
-        known = self._prefix.get(t)
-        if known is None:
-            p = self.piece[t]
-            known = self._prefix[t] = next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), -1)
-        return known
-
-    def _search(self, s: str) -> list[int]:
-        """The complete path of finite weight: arcs weigh 0 or infinity, so the search goes depth first, long pieces first.
+    def _path(self, s: str) -> tuple[int, ...]:
+        """The shortest path of the composed machine over a segment, as piece ids."""
+        labels = self._merge_path(s) if self.bpe else self._unigram_path(s)
+        if FALLBACK not in labels:
+            return tuple(labels)
+        out, at = [], 0
+        for t in labels:
+            out += self._fallback(s[at]) if t == FALLBACK else [t]
+            at += 1 if t == FALLBACK else self.size[t]
+        return tuple(out)
 
-        A position from which no path reached the end is not entered again, as
-        at most one finite path leads to each position.
-        """
-        ids, agree, n, arcs = self.ids, self._agree, len(s), self.trie.get
-        path: list[int] = []
-        dead: set[int] = set()
-        pos = 0
-        while True:
-            t, top, end = -1, 0, pos + 1
-            while end <= n:
-                x = arcs(s[pos:end])
-                if x is None:
+    def _unigram_path(self, s: str) -> list[int]:
+        """States are positions; the relaxation goes through them in order, as all arcs lead forward."""
+        n, root, score, inf = len(s), self.root, self.score, float("inf")
+        cost, back = [0.0] + [inf] * n, [(0, 0)] * (n + 1)
+        for pos in range(n):
+            here, state, end, single = cost[pos], root, pos, False
+            while end < n:
+                state = state.get(s[end])
+                if state is None:
                     break
-                if x >= 0:
-                    t, top = x, end - pos
                 end += 1
-            while True:
-                if pos + top not in dead and (agree(path[-1], t) if path else self._whole(t)):
-                    path.append(t)
-                    pos += top
-                    if pos == n:
-                        return path
-                    break
-                t = self._shorter(t)
-                while t < 0:
-                    dead.add(pos)
-                    if not path:
-                        return [ids[p] for p in self.merged(s)]
-                    t = path.pop()
-                    pos -= len(self.piece[t])
-                    t = self._shorter(t)
-                top = len(self.piece[t])
-
-    def _run(self, s: str) -> list[int]:
-        """Shortest path over a run of characters that all have a piece; states are (position, last piece)."""
-        ids, n, longest = self.ids, len(s), self.longest
-        if self.bpe:
-            whole = ids.get(s)
-            if whole is not None and self._whole(whole):
-                return [whole]
-            return self._search(s)
-        inf = float("inf")
-        cost, arc = [0.0] + [inf] * n, [(0, 0)] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                t = ids.get(s[start:end])
-                if t is not None and cost[start] - self.score[t] < cost[end]:
-                    cost[end], arc[end] = cost[start] - self.score[t], (start, t)
+                t = state.get("")
+                if t is not None:
+                    single = single or end == pos + 1
+                    if here - score[t] < cost[end]:
+                        cost[end], back[end] = here - score[t], (pos, t)
+            if not single and here + self.worst < cost[pos + 1]:
+                cost[pos + 1], back[pos + 1] = here + self.worst, (pos, FALLBACK)
         out = []
         while n:
-            start, t = arc[n]
+            n, t = back[n]
             out.append(t)
-            n = start
         return out[::-1]
 
-    def _path(self, s: str) -> tuple[int, ...]:
-        """Best path of a segment: runs of known characters, and fallback arcs between them."""
-        out: list[int] = []
-        at = 0
-        for i, c in enumerate(s):
-            if c not in self.chars:
-                if i > at:
-                    out += self._run(s[at:i])
-                out += self._fallback(c)
-                at = i + 1
-        if at < len(s):
-            out += self._run(s[at:])
-        return tuple(out)
+    def _merge_path(self, s: str) -> list[int]:
+        """States are (position, last label): all that finite paths reach, by position, each with the label before it."""
+        n, root, pairs, vocabulary = len(s), self.root, self._pairs, len(self.score)
+        layers: list[dict[int, int] | None] = [None] * (n + 1)
+        layers[0] = {FALLBACK: FALLBACK}
+        for pos in range(n):
+            here = layers[pos]
+            if here is None:
+                continue
+            layers_at, state, end = here.items(), root, pos
+            while end < n:
+                state = state.get(s[end])
+                if state is None:
+                    break
+                end += 1
+                t = state.get("")
+                if t is None:
+                    continue
+                for a, _ in layers_at:
+                    k = a * vocabulary + t
+                    agree = pairs.get(k)
+                    if agree is None:
+                        agree = self._agree(a, t)
+                    if agree:
+                        there = layers[end]
+                        if there is None:
+                            layers[end] = {t: a}
+                        else:
+                            there[t] = a
+                        break
+            if s[pos] not in root or "" not in root[s[pos]]:
+                there = layers[pos + 1] = layers[pos + 1] or {}
+                there[FALLBACK] = next(iter(here))
+        last = layers[n]
+        if last is None:
+            raise RuntimeError("the composed machine has no finite path")
+        t, out = next(iter(last)), []
+        while n:
+            out.append(t)
+            before = layers[n][t]
+            n -= 1 if t == FALLBACK else self.size[t]
+            t = before
+        return out[::-1]
 
-    def segment(self, s: str) -> tuple[int, ...]:
-        got = self._segments.get(s)
-        if got is None:
-            got = self._path(s)
-            if len(s) <= 64:
-                if len(self._segments) >= SEGMENTS:
-                    self._segments.clear()
-                self._segments[s] = got
-        return got
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Path of a word behind a space, or of a word behind a line end that it begins with."""
+        if word[:1] == "\n":
+            return self.line + (self._path(word[1:]) if len(word) > 1 else ())
+        return self._path(MARK + word)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        s = self.normalize(text)
+        s = text if self.rewrite is None and not self.squeeze else self.normalize(text).replace(MARK, " ")
         if not s:
             return []
-        if self.dummy:
-            s = MARK + s
+        if self.cut_mark and self.cut_line and self.dummy and s[0] != " " and "  " not in s and MARK not in s:
+            # every space begins a segment, and so does every line end
+            return list(chain.from_iterable(map(self._words.__getitem__, s.replace("\n", " \n").split(" "))))
+        s = (MARK if self.dummy else "") + s.replace(" ", MARK)
         if not self.cut_mark:
             return list(self._path(s))
-        lines = s.split("\n") if self.cut_line else [s]
         pieces: list[tuple[int, ...]] = []
-        seg = self.segment
-        for i, line in enumerate(lines):
+        for i, line in enumerate(s.split("\n") if self.cut_line else [s]):
             if i:
                 pieces.append(self.line)
-            if MARK + MARK in line or line.endswith(MARK):
-                pieces.extend(map(seg, re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", line)))
-            elif line:
-                first, *rest = line.split(MARK)
-                if first:
-                    pieces.append(seg(first))
-                pieces.extend([seg(MARK + w) for w in rest])
+            pieces.extend(map(self._runs.__getitem__, re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", line)))
         return list(chain.from_iterable(pieces))
 
     def decode(self, ids: list[int]) -> str:
@@ -344,12 +353,15 @@ def compiled(model: bytes) -> Transducer:
     return _compiled[key]
 
 
+RESULTS = ["ids", "n_tokens", "n_byte_tokens", "decoded_sha256", "roundtrip"]
+
+
 def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default all) and ids, n_tokens, n_byte_tokens, decoded_sha256, roundtrip."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
     frame = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,15 +384,16 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
             n = np.diff(np.array(ends, np.int64))
             cols = [*b.columns[:-1], tokens, pa.array(n), pa.array(n_byte, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "ids", "n_tokens", "n_byte_tokens", "decoded_sha256", "roundtrip"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *RESULTS])
 
     schema = ", ".join(f"`{c}` {k}" for c, k in docs.select(*keep).dtypes)
     return frame.mapInArrow(run, f"{schema}, ids array<int>, n_tokens long, n_byte_tokens long, decoded_sha256 string, roundtrip boolean")
 
 
 def decode(tokens: DataFrame, model: bytes, ids: str = "ids", out: str = "text") -> DataFrame:
-    """All columns and the decoded text."""
+    """All columns and the decoded text, which replaces a column of its name."""
     shared = tokens.sparkSession.sparkContext.broadcast(model)
+    tokens = tokens.drop(out) if out != ids else tokens
     at, names = tokens.columns.index(ids), [*tokens.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

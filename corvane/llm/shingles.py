@@ -29,7 +29,7 @@ def _scramble(h: np.ndarray) -> np.ndarray:
 
 
 #: Bytes hashed at a time; a longer word is hashed in one piece.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 
 
 def _hash_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -67,6 +67,26 @@ def test_mixing_targets_and_taken(spark):
     assert words == sum(r["taken"] for r in got) and mixed.columns == docs.columns
 
 
+def test_mixing_unequal_probabilities(spark):
+    """Expected words equal the target, long documents are likelier, certain ones are taken, and no table or one source are fine."""
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.choice([3, 30, 2000]), "en", f"s{i % 3}", "x", "y") for i in range(3000)]
+    docs = frame(spark, rows)
+    keyed, src, _, _ = mixing.decide(mixing.sizes(docs))
+    p = keyed.join(src.select("_k", "_lambda", (F.col("_f") * F.col("_ssize")).alias("_due")), "_k").withColumn("_p", F.least(F.lit(1.0), F.col("_lambda") * mixing.weight_of(F.col("_size"))))
+    for r in p.groupBy("_k").agg(F.sum(F.col("_p") * F.col("_size")).alias("w"), F.first("_due").alias("t")).collect():
+        assert abs(r["w"] - r["t"]) < 1e-6 * max(1, r["t"])
+    taken = p.join(mixing.plan(docs).select(F.col("doc_id").alias("_id"), "taken"), "_id").join(src.select("_k", "_copies"), "_k").withColumn("more", F.col("taken") / F.col("_size") - F.col("_copies"))
+    assert taken.filter("_p >= 1 and more < 1").count() == 0
+    share = {r["_size"]: r["m"] for r in taken.filter("_p < 1 and _p > 0").groupBy("_size").agg(F.avg("more").alias("m")).collect()}
+    assert share[3] < share[2000]
+    assert mixing.plan(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+    one = mixing.plan(docs.withColumn("source", F.lit(None).cast("string"))).agg(F.sum("taken"), F.max("target")).first()
+    assert one[0] == one[1]
+    even = mixing.plan(docs, favour_long=False).agg(F.sum("taken")).first()[0]
+    assert abs(even - one[1]) < 0.02 * one[1]
+
+
 def _words(rng, n):
     return [rng.choice("abcdefgh") + rng.choice("klmnop") + str(rng.randint(0, 60)) for _ in range(n)]
 
@@ -220,6 +240,24 @@ def test_classifier_learns_and_handles_odd_rows(spark):
     got = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, model).select("doc_id", "score").collect()}
     assert all((got[i] >= 0.3) == (i % 3 > 0) for i in range(300)) and 0 <= got[1000] <= 1 and got[1000] == got[1001]
     assert quality_classifier.train(docs, labels.limit(0)) == {"constant": 0.5}
+    clash = quality_classifier.score(docs.withColumn("score", F.lit("x")), model)
+    assert clash.columns == [*docs.columns, "score"] and clash.filter("score >= 0").count() == 302 and quality_classifier.score(docs.limit(0), model).count() == 0
+    twice = docs.unionByName(docs.withColumn("text", F.reverse("text")))
+    again = [quality_classifier.train(x, labels) for x in (twice, twice.orderBy(F.desc("text")))]
+    assert np.array_equal(again[0]["w"], again[1]["w"])
+
+
+def test_features_do_not_depend_on_segments():
+    """Grams and words across a segment's end count, and no others."""
+    rng = random.Random(5)
+    flags = np.zeros(quality_classifier.SIZE, bool)
+    for _ in range(60):
+        text = "".join(rng.choice("aab  b.É\n") for _ in range(300)) + " one" * rng.randint(0, 9)
+        whole = quality_classifier.features(text, flags)
+        assert all(np.array_equal(whole, quality_classifier.features(text, flags, n)) for n in (1, 5, 40, 150))
+    for k in (0, 5, 40_000):
+        x = np.sort(np.array(rng.sample(range(quality_classifier.SIZE), k), np.int32))
+        assert np.array_equal(np.frombuffer(quality_classifier._unpacked(quality_classifier._packed(x)), np.int32), x)
 
 
 def test_transducer_equals_library():
@@ -236,6 +274,62 @@ def test_transducer_equals_library():
     assert t.encode(None) == []
 
 
+def _unigram_model(fallback=True):
+    """A small unigram model written by hand; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = pb.TrainerSpec.UNIGRAM, fallback
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    kinds = pb.ModelProto.SentencePiece
+    m.pieces.add(piece="<unk>", score=0, type=kinds.UNKNOWN)
+    m.pieces.add(piece="<s>", score=0, type=kinds.CONTROL)
+    m.pieces.add(piece="</s>", score=0, type=kinds.CONTROL)
+    for i in range(256):
+        m.pieces.add(piece=f"<0x{i:02X}>", score=0, type=kinds.BYTE)
+    rng = random.Random(8)
+    words = {"▁", *"abcde", "▁a", "ab", "▁ab", "bc", "abc", "▁abc", "cd", "de", "cde", "ea", "▁b", "bcd", "aa", "▁▁"} | {"".join(rng.choice("abcde") for _ in range(rng.randint(2, 5))) for _ in range(40)}
+    for w in sorted(words):
+        m.pieces.add(piece=w, score=-rng.uniform(1, 9) - len(w) / 7, type=kinds.NORMAL)
+    return m.SerializeToString()
+
+
+def test_unigram_transducer_equals_library_and_every_path():
+    import itertools
+
+    import sentencepiece
+
+    model = _unigram_model()
+    t, sp = sentencepiece_fst.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(6)
+    for _ in range(300):
+        s = "".join(rng.choice("abcde abcde zé\n") for _ in range(rng.randint(1, 40)))
+        assert t.encode(s) == sp.encode(s), s
+        assert t.decode(t.encode(s)) == s
+    for _ in range(40):  # the least weight of all ways to cut a short text
+        s = sentencepiece_fst.MARK + "".join(rng.choice("abcde") for _ in range(8))
+        ways = []
+        for cuts in itertools.product((0, 1), repeat=len(s) - 1):
+            at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(s)]
+            parts = [s[a:b] for a, b in zip(at, at[1:], strict=False)]
+            if all(x in t.ids for x in parts):
+                ways.append(-sum(t.score[t.ids[x]] for x in parts))
+        assert abs(min(ways) + sum(t.score[i] for i in t.encode(s[1:]))) < 1e-4
+
+
+def test_merge_path_agrees_with_neighbours_only():
+    """Every finite path of the merge machine is the library's; bounded tables do not change results."""
+    import sentencepiece
+
+    model = sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model"))
+    t, sp = sentencepiece_fst.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    t._words.most = t._runs.most = 4000
+    rng = random.Random(11)
+    for _ in range(150):
+        s = "".join(rng.choice(["in", "ter", "nation", "al", "iz", "e", " ", "  ", "\n", "é", "ß", "日", "0", "x", "☃"]) for _ in range(60))
+        assert t.encode(s) == sp.encode(s), s
+
+
 def test_encode_and_decode_frames(spark):
     model = sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model"))
     docs = frame(spark)
@@ -243,6 +337,10 @@ def test_encode_and_decode_frames(spark):
     assert coded.filter("not roundtrip").count() == 0 and coded.count() == len(ODD)
     back = sorted(r["text"] for r in sentencepiece_fst.decode(coded, model).collect())
     assert back == sorted(r[1] or "" for r in ODD)
+    clash = docs.withColumn("ids", F.lit(1)).withColumn("n_tokens", F.lit("x"))
+    got = sentencepiece_fst.encode(clash, model)
+    assert got.columns == ["doc_id", "text", "lang", "source", "kept", "_id", *sentencepiece_fst.RESULTS] and got.count() == len(ODD)
+    assert sentencepiece_fst.encode(docs.limit(0), model).count() == 0 and sentencepiece_fst.decode(coded.limit(0), model).count() == 0
 
 
 def test_rules_counts(spark):
