@@ -1,14 +1,17 @@
-"""Corpus pipeline: quality, exact copies, near copies, mixing, encoding. Each stage works on all that the one before kept."""
+"""Corpus pipeline: quality, exact copies, near copies, mixing, encoding. Each stage works on all that the one before kept.
 
-from __future__ import annotations
+NULLs, empty and long texts, ties and repeated rows have the results that the
+operators define. An empty table passes through all stages. Stages before the last carry
+all columns of the documents, whatever their names.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import catalog, exact_dedup, jaccard_join, mixing, quality_classifier, sentencepiece_fst
-from corvane.session import scratch_root
+from corvane.session import Stored
 
 #: Training a model and sampling a mix are not expressed in SQL; the stages are tested one by one.
 ORACLE_SQL = None
@@ -43,11 +46,12 @@ STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jacc
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what each returns is written to the shared folder and read again, and deleted when the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{base}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stored = Stored(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        docs = stored.df
+        if before is not None:
+            before.drop()
+        before = stored
     return docs
