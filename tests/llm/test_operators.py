@@ -195,6 +195,78 @@ def test_html_template_of_a_large_host(spark):
     assert got[5] == "Text 5" and got[500] == "Text 500" and got[5900] == "Text copy\n\nOwn words"
 
 
+def _site(i, rng):
+    """A page whose boilerplate has neutral names, and its text."""
+    own = [f"Text {i} " + " ".join(_words(rng, 12)) for _ in range(6)]
+    items = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in _words(rng, rng.randint(3, 7)))
+    box = f"<div class='k7'><span>Our offer of the week</span> number {i}</div>"
+    page = f"<body><div class='x1'><ul>{items}</ul></div>{box}<div class='c'><article><h1>{own[0]}</h1><p>{own[1]}</p><p>{own[2]}</p><div class='k8'>Read more of us</div><p>{own[3]}</p><p>{own[4]}</p><p>{own[5]}</p><p>All texts are from our desk.</p></article></div><section>Desk address, house 4</section></body>"
+    return page, "\n\n".join(own)
+
+
+def test_html_template_decides_without_names(spark):
+    """Menus with changing items, numbered boxes, boxes and edge notices inside an article go by their counts alone."""
+    rng = random.Random(1)
+    pages = [_site(i, rng) for i in range(40)]
+    shared = "<body><article><h1>{0}</h1><p>One passage that many pages share.</p><p>{1}</p><p>The same words here and there.</p><p>{2}</p><p>One ending that all copies share.</p></article></body>"
+    copies = [shared.format("Copied title", "body of the copies", f"changed {i}") for i in range(30)]
+    rows = [(i, f"http://h.example/{i}", p) for i, (p, _) in enumerate(pages)] + [(100 + i, f"http://c.example/{i}", c) for i, c in enumerate(copies)] + [(200 + i, f"http://c.example/o{i}", shared.format(f"t{i}", f"u{i}", f"v{i}").replace("that many", f"{i}").replace("all copies", f"{i}")) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df.withColumn("text", F.lit(1)).withColumn("_r", F.lit(2))).collect()}
+    assert all(got[i] == text for i, (_, text) in enumerate(pages))
+    assert all("One passage that many" in got[100 + i] and "all copies share" in got[100 + i] for i in range(30))
+    off = {r["page_id"]: r["text"] for r in html_extract.extract(df, least_pages=10**6).collect()}
+    assert all(x in off[3] for x in ("Read more", "our desk")) and off[100] == got[100]
+    body = df.withColumn("html", F.regexp_replace("html", "</?article>", "")).filter("page_id < 40")
+    on, off = ({r["page_id"]: r["text"] for r in html_extract.extract(body, least_pages=n).collect()} for n in (5, 10**6))
+    assert "Our offer" in off[3] and "Desk address" in off[3] and off[3].count("\n\n") > on[3].count("\n\n") + 5
+    assert all(x not in on[3] for x in ("Our offer", "Desk address")) and pages[3][1].split("\n\n")[1] in on[3]
+
+
+def test_html_counts_equal_brute_force(spark):
+    """The template of every host by the definition, from all pages at once."""
+    rng = random.Random(7)
+    rows = [(i, f"http://h{i % 3}.example/{i}", _site(i % 50, rng)[0]) for i in range(90)] + [(0, "http://h0.example/0", "<p>again</p>")] * 2 + [(500, None, None)]
+    hosts, seen = {}, {}
+    for r in set(rows):
+        host = (r[1] or "").split("/")[2] if r[1] else ""
+        hosts[host] = hosts.get(host, 0) + 1
+    for r in rows:
+        host = (r[1] or "").split("/")[2] if r[1] else ""
+        for h, beside in html_extract.hash_tree(html_extract.parse(r[2])) if r[2] else ():
+            seen.setdefault((host, h, beside != 0), []).append(beside or r[2])
+    gone = set()
+    for (host, h, edge), of in seen.items():
+        often = (len(of) >= 0.5 * hosts[host] and len(set(of)) >= 0.5 * len(of)) if edge else (len(of) >= 0.02 * hosts[host] or len(set(of)) >= 100)
+        if len(set(of)) >= 5 and often:
+            gone.add((host, h))
+    want = sorted((r[0], html_extract.main_text(r[2], frozenset(h for x, h in gone if x == ((r[1] or "").split("/")[2] if r[1] else "")))) for r in rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["text"]) for r in html_extract.extract(df).collect()) == want and len(gone) > 5
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_html_reads_whole_articles_and_broken_markup():
+    text = html_extract.main_text
+    assert text("<article><p title=it's>Text here</p><p>More</p></article>") == "Text here\n\nMore"
+    assert text("<article><div class='search-results'><p>Body text</p></div><p class='intro-share'>Own</p><p class=related>Kin</p><p class='ad'>Buy</p><div class='share-buttons'>S</div></article>") == "Body text\n\nOwn\n\nKin"
+    assert text("<main>a<article><p>b</article>c<article><p>d</article></main><article>e</article><aside><article>no</article></aside>") == "a\n\nb\n\nc\n\nd\n\ne"
+    assert text("<p>a < b &amp; c<p>d") == "a < b & c\n\nd" and text("<table><tr><td>1<td>2<tr><td>3</table>") == "1\n\n2\n\n3" and text("x<p y='") == "x"
+    assert text("<ul><li>a<ul><li>b</ul><li>c</ul></i></b>d") == "a\n\nb\n\nc\n\nd" and text("<a title='x > y'>z</a><br/>w") == "z w"
+
+
+@pytest.mark.parametrize("bad", ["<p x", "<a '", "<b>", "<li>", "<b><div></b>", "<!--", "<script>", "<", "<a b=\"c ", "<table><tr><td>"])
+def test_html_hostile_page_takes_linear_time(bad):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.main_text(bad * (n // len(bad)), frozenset([1]))
+        return time.process_time() - began
+
+    assert seconds(1 << 20) < 30 and seconds(1 << 19) < 20
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.com/en/1?x", "https://www.example.com/en/1", "http://x.net/es/2", "http://x.net/de/2", "http://notcom/", None, "nothing", "http://example.com", "http://b.example.com/fr/1#t"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
