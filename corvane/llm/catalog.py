@@ -133,7 +133,9 @@ def op3_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
-    return quality_rules.judge(table(spark, d, "documents"), sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model")))
+    with open(vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    return quality_rules.judge(table(spark, d, "documents"), sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model")), ranks, GPT_PATTERN)
 
 
 @query("op9_license_scan")

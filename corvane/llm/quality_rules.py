@@ -1,17 +1,28 @@
 """Quality rules: word, symbol and repetition counts, and bands on tokeniser fertility.
 
-A public vocabulary encodes the words of a text one by one; three measures
-follow: characters per token, the share of byte-fallback tokens, and the
+Two public vocabularies, one of pieces with byte fallback and one of bytes, encode every text; each gives three measures:
+characters per token, the share of tokens that are a single byte, and the
 entropy of the token distribution over its largest value log2(tokens).
-Texts of ``least_tokens`` or more outside their language's bands (or their
-script's, for other languages) are rejected, short ones only by the base rules.
 
-NULL texts have no words and fail the base. Equal rows judge alike; there are no
-ties. Texts of any length are counted whole. Extra columns are ignored.
+The bands come from the corpus: for every language and size class (doublings of
+the number of tokens, as short texts scatter more) and every measure, a text is rejected beyond
+``width`` = 2.5 times the distance of the quartiles below the first or above the third quartile
+(characters per token on both sides, byte share above, entropy below). That distance counts as 2 % of the
+first quartile, or 0.01 for byte shares, at least, so that a measure on which a language's texts
+agree rejects nothing for a trifle. Quartiles are read from counts on a grid of 1/1000, over all
+texts that pass the base rules and have ``least_tokens``. Groups of fewer than ``least_group`` texts take the bands of their script
+(over all languages), and a script with fewer the fixed ones in BANDS. Texts of fewer tokens are judged
+by the base rules alone.
+
+NULL texts have no words and fail the base. A NULL or unknown language is one group
+by its name. Equal rows judge alike; there are no ties. An empty table gives an empty
+result. Texts of any length are counted whole; words beyond ``LONG_WORD``
+characters are encoded in parts of that length. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -20,19 +31,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import WORD_RE, bounded_batches
+from ..session import Stored
+from .common import WORD_RE, bounded_batches, hot_join
 
 SYMBOLS = "#*$%&|<>"
-#: Bands per language, then script: least and most characters per token, most byte share, least entropy (fixed values).
-BANDS = {
-    "en": (1.5, 8.0, 0.10, 0.35),
-    "de": (1.4, 8.0, 0.10, 0.35),
-    "fr": (1.4, 8.0, 0.10, 0.35),
-    "es": (1.4, 8.0, 0.10, 0.35),
-    "Latin": (1.3, 9.0, 0.15, 0.30),
-    "Other": (0.2, 9.0, 0.90, 0.20),
-}
+#: Bands of scripts with too few texts, on the pieces: least and most characters per token, most byte share, least entropy (fixed values).
+BANDS = {"Latin": (1.3, 9.0, 0.15, 0.30), "Other": (0.2, 9.0, 0.90, 0.20)}
+MEASURES = ["chars_per_token", "byte_share", "token_entropy", "chars_per_byte_token", "single_byte_share", "byte_token_entropy"]
+#: Least distance of the quartiles, as a share of the first or absolute, and the sides on which a measure rejects.
+FLOORS = [(0.02, 0.0), (0.0, 0.01), (0.02, 0.0)] * 2
+SIDES = [(True, True), (False, True), (True, False)] * 2
+GRID = 1000
+LEAST_GROUP = 100
+WIDTH = 2.5
+LONG_WORD = 1000
 LEAST_TOKENS = 100
 #: Remembered words of a process, when a batch of rows begins.
 WORDS = 400_000
@@ -40,6 +54,8 @@ WORDS = 400_000
 
 def script_of(text: str) -> str:
     """Latin if at least half of the letters of the whole text lie below U+0250, else Other."""
+    if text.isascii():
+        return "Latin"
     letters = [(c, n) for c, n in Counter(text).items() if c.isalpha()]
     return "Latin" if 2 * sum(n for c, n in letters if c < "ɐ") >= sum(n for _, n in letters) else "Other"
 
@@ -71,6 +87,41 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def _measures(ids: np.ndarray, single: np.ndarray, chars: int) -> tuple[float | None, float | None, float | None]:
+    """Characters per token, share of single bytes, relative entropy of a token sequence."""
+    total = len(ids)
+    if not total:
+        return None, None, None
+    every = np.sort(ids)
+    cut = np.flatnonzero(every[1:] != every[:-1])
+    p = np.diff(cut, prepend=-1, append=total - 1) / total
+    entropy = float(-(p * np.log2(p)).sum()) / np.log2(total) if total > 1 else 0.0
+    return chars / total, float(single[every].sum()) / total, entropy
+
+
+class ByteFertility:
+    """A vocabulary of ranks over bytes; texts are encoded with one space between words."""
+
+    def __init__(self, ranks: bytes, pattern: str):
+        import tiktoken
+
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.enc = tiktoken.Encoding("rules", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.single = np.zeros(max(table.values()) + 1, bool)
+        self.single[[i for b, i in table.items() if len(b) == 1]] = True
+
+    def measure(self, words: list[str], chars: int) -> tuple[float | None, float | None, float | None]:
+        text = " ".join(words).encode("utf-8", "replace").decode()
+        return _measures(self.enc.encode_to_numpy(text, disallowed_special=()).astype(np.int64), self.single, chars) if words else (None, None, None)
+
+
+def short_words(words: list[str]) -> list[str]:
+    """The words, those beyond LONG_WORD characters in parts."""
+    if max(map(len, words), default=0) <= LONG_WORD:
+        return words
+    return [w[i : i + LONG_WORD] for w in words for i in range(0, len(w), LONG_WORD)]
+
+
 class Fertility:
     """Numbers words and keeps their tokens in flat arrays; the vocabulary splits words independently."""
 
@@ -104,54 +155,87 @@ class Fertility:
     def codes(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
 
-    def measure(self, codes: np.ndarray, times: np.ndarray, chars: int) -> tuple[float | None, float | None, float | None, int]:
-        """Characters per token, byte share, relative entropy and tokens of distinct words and their counts."""
-        if not len(codes):
-            return None, None, None, 0
+    def measure(self, codes: np.ndarray, chars: int) -> tuple[float | None, float | None, float | None, int]:
+        """The three measures and the number of tokens of a sequence of words."""
         n = self.length[codes]
-        at = np.arange(int(n.sum())) + np.repeat(self.start[codes] - (np.cumsum(n) - n), n)
-        ids = self.flat[at]
-        times = np.repeat(times, n)
-        every = np.sort(np.repeat(ids, times))
-        total = len(every)
-        cut = np.flatnonzero(every[1:] != every[:-1])
-        p = np.diff(cut, prepend=-1, append=total - 1) / total
-        entropy = float(-(p * np.log2(p)).sum()) / np.log2(total) if total > 1 else 0.0
-        return chars / total, float(times[self.byte[ids]].sum()) / total, entropy, total
-
-
-def judge(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", lang: str = "lang", bands: dict | None = None, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """(key, counts, base_failed, fertility measures, band, kept)."""
+        total = int(n.sum())
+        at = np.arange(total) + np.repeat(self.start[codes] - (np.cumsum(n) - n), n)
+        return *_measures(self.flat[at], self.byte, chars), total
+
+
+def measured(docs: DataFrame, model: bytes, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(_key, counts, base_failed, measures, n_tokens, language, script) of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    table = bands or BANDS
-    names = [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_per_token", "byte_share", "token_entropy", "n_tokens", "band", "kept"]
+    shared = spark.sparkContext.broadcast((model, ranks, pattern))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    names = ["_key", *counts, "base_failed", *MEASURES, "n_tokens", "language", "script"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fert = Fertility(shared.value)
+        pieces, plain = Fertility(shared.value[0]), ByteFertility(*shared.value[1:])
         for b in batches:
             cols: list[list] = [[] for _ in names[1:]]
             rows = [(t or "", WORD_RE.findall(t or ""), g) for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            fert.learn({w for _, ws, _ in rows for w in ws})
+            pieces.learn({w for _, ws, _ in rows for w in short_words(ws)})
             for t, ws, g in rows:
                 n = len(ws)
                 chars = sum(map(len, ws))
-                codes = fert.codes(ws)
-                rep = repeated_words(codes)
-                distinct, times = np.unique(codes, return_counts=True)
+                parts = short_words(ws)
+                codes = pieces.codes(parts)
+                rep = repeated_words(codes if parts is ws else np.unique(np.array(ws, object), return_inverse=True)[1])
                 bad = n < 50 or 100 * rep > 50 * n
-                cpt, share, ent, tokens = fert.measure(distinct, times, chars)
-                band = g if g in table else script_of(t)
-                ok = not bad
-                if ok and tokens >= least_tokens:
-                    lo, hi, most, least = table[band]
-                    ok = lo <= cpt <= hi and share <= most and ent >= least
-                for c, v in zip(cols, (n, chars, sum(map(t.count, SYMBOLS)), repeated_lines(t), rep, bad, cpt, share, ent, tokens, band, ok), strict=True):
+                *first, tokens = pieces.measure(codes, chars)
+                values = (n, chars, sum(map(t.count, SYMBOLS)), repeated_lines(t), rep, bad, *first, *plain.measure(parts, chars), tokens, g, script_of(t))
+                for c, v in zip(cols, values, strict=True):
                     c.append(v)
-            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 3 + [pa.int64(), pa.string(), pa.bool_()]
+            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 6 + [pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
     kind = dict(docs.dtypes)[key]
-    schema = f"`{key}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_per_token double, byte_share double, token_entropy double, n_tokens long, band string, kept boolean"
-    return docs.select(F.col(key), F.col(text), F.col(lang)).mapInArrow(run, schema)
+    schema = ", ".join([f"_key {kind}", *[f"{c} long" for c in counts], "base_failed boolean", *[f"{m} double" for m in MEASURES], "n_tokens long", "language string", "script string"])
+    return docs.select(F.col(key), F.col(text), F.col(lang).cast("string")).mapInArrow(run, schema)
+
+
+def _fences(cells: DataFrame, by: list[str], width: float) -> DataFrame:
+    """(by, size, lo_i, hi_i for every measure i): counts on the grid, quartiles, fences."""
+    summed = cells.groupBy(*by, "_m", "_bin").agg(F.sum("_c").alias("_c"))
+    order = W.partitionBy(*by, "_m").orderBy("_bin")
+    cum = summed.withColumn("_cum", F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_c").over(W.partitionBy(*by, "_m")))
+    quartiles = cum.groupBy(*by, "_m").agg(F.min(F.when(F.col("_cum") * 4 >= F.col("_all"), F.col("_bin"))).alias("_q1"), F.min(F.when(F.col("_cum") * 4 >= F.col("_all") * 3, F.col("_bin"))).alias("_q3"), F.max("_all").alias("_n"))
+    out = [F.max("_n").alias("_size")]
+    for i, (share, least) in enumerate(FLOORS):
+        spread = F.greatest(F.col("_q3") - F.col("_q1"), F.col("_q1") * share, F.lit(least * GRID))
+        of = F.col("_m") == i
+        out += [F.max(F.when(of, (F.col("_q1") - width * spread) / GRID)).alias(f"lo_{i}"), F.max(F.when(of, (F.col("_q3") + 1 + width * spread) / GRID)).alias(f"hi_{i}")]
+    return quartiles.groupBy(*by).agg(*out)
+
+
+def judge(docs: DataFrame, model: bytes, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text", lang: str = "lang", least_tokens: int = LEAST_TOKENS, least_group: int = LEAST_GROUP, width: float = WIDTH) -> DataFrame:
+    """(key, counts, base_failed, fertility measures, band, rejected_by, kept); band names what judged a row, rejected_by the first measure beyond it."""
+    rows = Stored(measured(docs, model, ranks, pattern, key, text, lang), "rules-measures").df
+    rows = rows.withColumn("language", F.coalesce("language", F.lit(""))).withColumn("_class", F.length(F.bin("n_tokens")))
+    judged = (~F.col("base_failed")) & (F.col("n_tokens") >= least_tokens)
+    values = F.array(*[F.struct(F.lit(i).alias("_m"), F.floor(F.col(m) * GRID).alias("_bin")) for i, m in enumerate(MEASURES)])
+    long = rows.filter(judged).select("language", "script", "_class", F.explode(values).alias("_v")).select("language", "script", "_class", "_v.*")
+    # at most a few thousand cells of the grid for each language and class
+    cells = Stored(long.groupBy("language", "script", "_class", "_m", "_bin").agg(F.count(F.lit(1)).alias("_c")), "rules-cells").df
+    groups = _fences(cells, ["language", "_class"], width).filter(F.col("_size") >= least_group)
+    scripts = _fences(cells, ["script"], width).filter(F.col("_size") >= least_group)
+    bounds = [f"{side}_{i}" for i in range(len(MEASURES)) for side in ("lo", "hi")]
+    fixed = {"lo_0": 0, "hi_0": 1, "hi_1": 2, "lo_2": 3}
+    of_script = scripts.select(F.col("script").alias("_script"), *[F.col(b).alias(f"s_{b}") for b in bounds], F.lit(True).alias("_has_script"))
+    groups = Stored(groups.withColumn("_has_group", F.lit(True)), "rules-groups").df
+    joined = rows.join(F.broadcast(of_script), F.col("script") == F.col("_script"), "left")  # two scripts
+    joined = joined.join(F.broadcast(groups), ["language", "_class"], "left") if groups.count() <= 100_000 else hot_join(joined, groups, ["language", "_class"], "_size", rows.count(), "left")
+    for b in bounds:
+        value = F.when(F.col("script") == "Latin", F.lit(BANDS["Latin"][fixed[b]])).otherwise(F.lit(BANDS["Other"][fixed[b]])) if b in fixed else F.lit(None).cast("double")
+        joined = joined.withColumn(b, F.when(F.col("_has_group"), F.col(b)).when(F.col("_has_script"), F.col(f"s_{b}")).otherwise(value))
+    reason = F.lit(None).cast("string")
+    for i, m in reversed(list(enumerate(MEASURES))):
+        low, high = SIDES[i]
+        beyond = (F.coalesce(F.col(m) < F.col(f"lo_{i}"), F.lit(False)) & F.lit(low)) | (F.coalesce(F.col(m) > F.col(f"hi_{i}"), F.lit(False)) & F.lit(high))
+        reason = F.when(beyond, F.lit(m)).otherwise(reason)
+    band = F.when(F.col("_has_group"), F.concat_ws("/", "language", "_class")).when(F.col("_has_script"), F.col("script")).otherwise(F.concat(F.lit("fixed "), F.col("script")))
+    out = joined.withColumn("band", F.when(judged, band)).withColumn("rejected_by", F.when(judged, reason))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return out.select(F.col("_key").alias(key), *counts, *MEASURES, "n_tokens", "band", "rejected_by", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))

@@ -415,25 +415,65 @@ def test_encode_and_decode_frames(spark):
     assert sentencepiece_fst.encode(docs.limit(0), model).count() == 0 and sentencepiece_fst.decode(coded.limit(0), model).count() == 0
 
 
+def _rules(docs, **more):
+    with open(vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    model = sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model"))
+    return quality_rules.judge(docs, model, ranks, GPT_PATTERN, **more)
+
+
 def test_rules_counts(spark):
     text = "a b c a b c x\n#one\n#one\n\n"
-    rows = [(1, text, "en", "a", "x", "y"), (2, None, None, "a", "x", "y"), (3, "word " * 100, "en", "a", "x", "y"), (4, " ".join(f"w{i}" for i in range(200)), "xx", "a", "x", "y")]
-    model = sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model"))
-    got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, rows), model).collect()}
+    rows = [(1, text, "en", "a", "x", "y"), (2, None, None, "a", "x", "y"), (3, "word " * 100, "en", "a", "x", "y"), (4, " ".join(f"w{i}" for i in range(200)), "xx", "a", "x", "y"), (5, "x" * 300_000 + " y" * 60, None, "a", "x", "y")]
+    docs = frame(spark, rows + rows[:1]).withColumn("band", F.lit(1))
+    found = _rules(docs).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert len(found) == 6
     assert (got[1]["n_words"], got[1]["word_chars"], got[1]["n_symbols"], got[1]["n_dup_lines"], got[1]["n_repeat_words"]) == (9, 15, 2, 1, 6)
     assert got[2]["n_words"] == 0 and got[2]["base_failed"] and not got[2]["kept"]
-    assert got[3]["base_failed"] and not got[4]["base_failed"] and got[4]["band"] == "Latin"
+    assert got[3]["base_failed"] and not got[4]["base_failed"] and got[4]["band"] == "fixed Latin" and got[5]["n_words"] == 61 and got[5]["word_chars"] == 300_060
+    assert _rules(docs.limit(0)).count() == 0
 
 
-def test_rules_script_of_the_whole_text(spark):
+def test_rules_script_of_the_whole_text():
     """A Latin opening of 200 words does not decide for a text that goes on in another script, nor the reverse."""
-    latin = [f"Wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    latin = [f"Wort{chr(97 + i % 26)}{chr(97 + i // 26)}é" for i in range(200)]
     other = ["".join(chr(0x4E00 + (i * 7 + j * 131) % 4000) for j in range(6)) for i in range(900)]
     texts = [" ".join(latin + other), " ".join(other[:200] + latin * 2), " ".join(latin), "1 2 3"]
-    model = sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model"))
-    got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, [(i, t, None, "a", "x", "y") for i, t in enumerate(texts)]), model).collect()}
-    assert [got[i]["band"] for i in range(4)] == ["Other", "Latin", "Latin", "Latin"]
-    assert got[0]["byte_share"] > quality_rules.BANDS["Latin"][2] and got[0]["kept"]
+    assert [quality_rules.script_of(t) for t in texts] == ["Other", "Latin", "Latin", "Latin"]
+
+
+def test_rules_bands_equal_brute_force(spark):
+    """Damaged texts of a language go, others stay; fences by sorting all values in Python."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(420):
+        words = _words(rng, rng.randint(60, 400))
+        if i % 20 == 7:
+            words = [w + rng.choice(["%%%", "###", "$$$"]) for w in words]
+        rows.append((i, " ".join(words), ["en", "de", None][i % 3], "a", "x", "y"))
+    rows += [(1000, " ".join(_words(rng, 300)), "rare", "a", "x", "y")]
+    got = {r["doc_id"]: r for r in _rules(frame(spark, rows), least_group=20).collect()}
+    values = {i: ([got[i][m] for m in quality_rules.MEASURES], (r[2] or "", got[i]["n_tokens"].bit_length()), got[i]["base_failed"] or got[i]["n_tokens"] < 100) for i, r in ((r[0], r) for r in rows)}
+    for i, (own, group, out) in values.items():
+        if out:
+            assert got[i]["kept"] == (not got[i]["base_failed"])
+            continue
+        for members in ([v for v, g, o in values.values() if g == group and not o], [v for v, g, o in values.values() if not o]):
+            if len(members) >= 20:
+                break
+        reason = None
+        for m in range(6):
+            bins = sorted(int(np.floor(v[m] * 1000)) for v in members)
+            q1, q3 = bins[-(-len(bins) // 4) - 1], bins[-(-3 * len(bins) // 4) - 1]
+            share, least = quality_rules.FLOORS[m]
+            spread = max(q3 - q1, q1 * share, least * 1000)
+            low, high = quality_rules.SIDES[m]
+            if reason is None and ((low and own[m] < (q1 - 2.5 * spread) / 1000) or (high and own[m] > (q3 + 1 + 2.5 * spread) / 1000)):
+                reason = quality_rules.MEASURES[m]
+        assert (got[i]["rejected_by"], got[i]["kept"]) == (reason, reason is None), i
+    bad = [i for i in range(420) if i % 20 == 7]
+    assert sum(not got[i]["kept"] for i in bad) > 0.8 * len(bad) and sum(not got[i]["kept"] for i in range(420) if i not in bad) <= 4
 
 
 def test_repeated_words_brute_force():
