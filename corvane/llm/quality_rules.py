@@ -99,22 +99,6 @@ def _measures(ids: np.ndarray, single: np.ndarray, chars: int) -> tuple[float |
     return chars / total, float(single[every].sum()) / total, entropy
 
 
-class ByteFertility:
-    """A vocabulary of ranks over bytes; texts are encoded with one space between words."""
-
-    def __init__(self, ranks: bytes, pattern: str):
-        import tiktoken
-
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.enc = tiktoken.Encoding("rules", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.single = np.zeros(max(table.values()) + 1, bool)
-        self.single[[i for b, i in table.items() if len(b) == 1]] = True
-
-    def measure(self, words: list[str], chars: int) -> tuple[float | None, float | None, float | None]:
-        text = " ".join(words).encode("utf-8", "replace").decode()
-        return _measures(self.enc.encode_to_numpy(text, disallowed_special=()).astype(np.int64), self.single, chars) if words else (None, None, None)
-
-
 def short_words(words: list[str]) -> list[str]:
     """The words, those beyond LONG_WORD characters in parts."""
     if max(map(len, words), default=0) <= LONG_WORD:
@@ -123,44 +107,65 @@ def short_words(words: list[str]) -> list[str]:
 
 
 class Fertility:
-    """Numbers words and keeps their tokens in flat arrays; the vocabulary splits words independently."""
+    """Numbers words and keeps their tokens of both vocabularies in flat arrays, as words are encoded independently.
+
+    The vocabulary of bytes reads a word with one space before it.
+    """
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, ranks: bytes, pattern: str):
         import sentencepiece
+        import tiktoken
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.byte = np.array([self.sp.is_byte(i) for i in range(self.sp.get_piece_size())])
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.enc = tiktoken.Encoding("rules", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        single, self.opens = np.zeros(max(table.values()) + 1, bool), np.zeros(max(table.values()) + 1, bool)
+        single[[i for b, i in table.items() if len(b) == 1]] = True
+        self.opens[[i for b, i in table.items() if b[:1] == b" "]] = True
+        self.byte = np.array([self.sp.is_byte(i) for i in range(self.sp.get_piece_size())]), single
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.length = np.zeros(0, np.int64)
-        self.start = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.length = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.start = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.flat = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+
+    def _bytes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the words one after the other, and how many each has; a token that begins with a space begins a word."""
+        ids = np.array(self.enc.encode_ordinary(" " + " ".join(words)), np.int32)
+        first = np.flatnonzero(self.opens[ids])
+        if len(first) == len(words) and first[0] == 0:
+            return ids, np.diff(first, append=len(ids))
+        lists = [self.enc.encode_ordinary(" " + w) for w in words]
+        return np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.code]
         if len(self.code) + len(new) > WORDS:
             self.clear()
             new = list(words)
-        if not new:
-            return
-        lists = [x for at in range(0, len(new), 50_000) for x in self.sp.encode(new[at : at + 50_000], num_threads=1)]
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.code.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
-        self.length = np.concatenate([self.length, n])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum()))])
+        self.code.update(zip(new, range(len(self.length[0]), len(self.length[0]) + len(new)), strict=True))
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            lists = self.sp.encode(part, num_threads=1)
+            pieces = np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+            for v, (ids, n) in enumerate((pieces, self._bytes(part))):
+                self.start[v] = np.concatenate([self.start[v], len(self.flat[v]) + np.cumsum(n) - n])
+                self.length[v] = np.concatenate([self.length[v], n])
+                self.flat[v] = np.concatenate([self.flat[v], ids])
 
     def codes(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
 
-    def measure(self, codes: np.ndarray, chars: int) -> tuple[float | None, float | None, float | None, int]:
-        """The three measures and the number of tokens of a sequence of words."""
-        n = self.length[codes]
-        total = int(n.sum())
-        at = np.arange(total) + np.repeat(self.start[codes] - (np.cumsum(n) - n), n)
-        return *_measures(self.flat[at], self.byte, chars), total
+    def measure(self, codes: np.ndarray, chars: int) -> tuple:
+        """The three measures of each vocabulary, and the number of pieces, of a sequence of words."""
+        out: list = []
+        for start, length, flat, byte in zip(self.start, self.length, self.flat, self.byte, strict=True):
+            n = length[codes]
+            at = np.arange(int(n.sum())) + np.repeat(start[codes] - (np.cumsum(n) - n), n)
+            out += _measures(flat[at], byte, chars)
+        return *out, int(self.length[0][codes].sum())
 
 
 def measured(docs: DataFrame, model: bytes, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -172,20 +177,19 @@ def measured(docs: DataFrame, model: bytes, ranks: bytes, pattern: str, key: str
     names = ["_key", *counts, "base_failed", *MEASURES, "n_tokens", "language", "script"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, plain = Fertility(shared.value[0]), ByteFertility(*shared.value[1:])
+        fert = Fertility(*shared.value)
         for b in batches:
             cols: list[list] = [[] for _ in names[1:]]
             rows = [(t or "", WORD_RE.findall(t or ""), g) for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            pieces.learn({w for _, ws, _ in rows for w in short_words(ws)})
+            fert.learn({w for _, ws, _ in rows for w in short_words(ws)})
             for t, ws, g in rows:
                 n = len(ws)
                 chars = sum(map(len, ws))
                 parts = short_words(ws)
-                codes = pieces.codes(parts)
+                codes = fert.codes(parts)
                 rep = repeated_words(codes if parts is ws else np.unique(np.array(ws, object), return_inverse=True)[1])
                 bad = n < 50 or 100 * rep > 50 * n
-                *first, tokens = pieces.measure(codes, chars)
-                values = (n, chars, sum(map(t.count, SYMBOLS)), repeated_lines(t), rep, bad, *first, *plain.measure(parts, chars), tokens, g, script_of(t))
+                values = (n, chars, sum(map(t.count, SYMBOLS)), repeated_lines(t), rep, bad, *fert.measure(codes, chars), g, script_of(t))
                 for c, v in zip(cols, values, strict=True):
                     c.append(v)
             kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 6 + [pa.int64(), pa.string(), pa.string()]

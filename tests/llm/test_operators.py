@@ -435,6 +435,21 @@ def test_rules_counts(spark):
     assert _rules(docs.limit(0)).count() == 0
 
 
+def test_fertility_equals_both_libraries():
+    """Words encoded together, and odd words, give the tokens of words encoded one by one."""
+    with open(vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
+        fert = quality_rules.Fertility(sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model")), f.read(), GPT_PATTERN)
+    for words in (["Hello", "a.b's", "%%%x", "日本", "naïve", "12,5", "x" * 900], ["\u00a0x", "a\u00a0", "\u2003", "ok"], ["w"], []):
+        fert.learn(set(words))
+        codes = fert.codes(words)
+        ids = [fert.sp.encode(w) for w in words], [fert.enc.encode_ordinary(" " + w) for w in words]
+        got = fert.measure(codes, 100)
+        for v, lists in enumerate(ids):
+            flat = [i for x in lists for i in x]
+            assert not flat or abs(got[3 * v] - 100 / len(flat)) < 1e-12 and abs(got[3 * v + 1] - sum(bool(fert.byte[v][i]) for i in flat) / len(flat)) < 1e-12
+        assert got[6] == sum(map(len, ids[0]))
+
+
 def test_rules_script_of_the_whole_text():
     """A Latin opening of 200 words does not decide for a text that goes on in another script, nor the reverse."""
     latin = [f"Wort{chr(97 + i % 26)}{chr(97 + i // 26)}é" for i in range(200)]
@@ -498,6 +513,63 @@ def test_licences(spark):
     assert len(got) == len(ODD) and all(r["verdict"] == "none" for r in got)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("SPDX-License-Identifier: BSD-2-Clause", ["BSD-2-Clause"]),
+        ("// SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0"]),
+        ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later WITH Classpath-exception-2.0 */", ["MIT", "Apache-2.0", "GPL-2.0-or-later"]),
+        ("Distributed under the MIT License", ["MIT"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+        ("# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1-or-later"]),
+        ("Copyright (c) 2020, 2021 Jane Doe. All rights reserved.", ["Proprietary"]),
+        ("some words\nAll rights reserved.\nmore words", ["Proprietary"]),
+        ("words the licence of no one\nReleased under the terms of the ISC Licence\nand on", ["ISC"]),
+        ("We reserve that all rights reserved here are words", []),
+        ("under the weather", []),
+        ("Text under CC BY 4.0; code under the new BSD license.", ["CC-BY-4.0", "BSD-3-Clause"]),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ["BSD-2-Clause"]),
+    ],
+)
+def test_licence_notices(text, want):
+    assert license_scan.Scanner().scan(text)[0] == want
+
+
+def test_licence_rules_equal_brute_force():
+    """Chains of random identifiers by the definition: rules in order, from the left, each sentence used once."""
+    rng = random.Random(13)
+    sentences = {x: [f"{x} permission sentence"] for x in "abcd"}
+    rules = [("ABC", ["a", "b", "c"]), ("AB", ["a", "b"]), ("DD", ["d", "d"]), ("A", ["a"]), ("C", ["c"])]
+    scanner = license_scan.Scanner(sentences, rules, gap=60)
+    for _ in range(300):
+        text = "".join(f"{rng.choice('abcd')} permission sentence. " + "filler " * rng.choice([0, 0, 3, 12]) for _ in range(rng.randint(0, 12)))
+        got, known = scanner.scan(text)
+        used, want = set(), []
+        for name, ids in rules:
+            for i in range(len(known)):
+                if i in used or known[i][2] != ids[0]:
+                    continue
+                at = [i]
+                for x in ids[1:]:
+                    nxt = next((j for j in range(at[-1] + 1, len(known)) if j not in used and known[j][2] == x), None)
+                    if nxt is None or known[nxt][0] - known[at[-1]][1] > 60:
+                        break
+                    at.append(nxt)
+                if len(at) == len(ids):
+                    used |= set(at)
+                    want.append((known[i][0], at[0], name))
+        assert got == [x for _, _, x in sorted(want)]
+
+
+@pytest.mark.parametrize("text", ["Released under the MIT License.\n" * 100_000, "all rights reserved " * 100_000, "licensed under " * 70_000, "permission is hereby\n" * 50_000])
+def test_licence_scan_takes_linear_time(text):
+    import time
+
+    began = time.process_time()
+    license_scan.Scanner().scan(text)
+    assert time.process_time() - began < 15
+
+
 def test_chat_round_trip(spark):
     assert all(chat_format.unescape(chat_format.escape(x)) == x for x in ["\\### Assistant: </turn> ok", "#### User:", "\\\\</turn>", "a\\", ""])
     rows = [(1, 1, "assistant", "Hi </turn>"), (1, 0, "user", None), (2, 0, "tool </turn>", "é\\"), (2, 1, None, "x"), (None, 0, "assistant", "z"), (1, 1, "assistant", "Hi </turn>")]
