@@ -6,12 +6,14 @@ on these rows, so a host with any share of the pages is a few rows, down to
 the last segment of its deepest path. At each depth of a host, siblings whose labelled share does not differ from their
 parent's pool (z test) merge: into "*" those that are rare among many siblings,
 into "~" the others. A segment whose share differs stays its own, however rare,
-so no branch is lost in the size of its host. A template is rejected if its share of bad labels,
-shrunk towards its host and that towards the whole, reaches ``reject``.
+so no branch is lost in the size of its host. Segments without labels merge only where rare. A template is rejected if its share of bad labels,
+shrunk towards its host and that towards the whole, reaches ``reject`` or, where bad pages are fewer,
+``lift`` times the share of the whole, and its labels alone are above the whole by a one-sided test at ``z_reject``.
 
 A NULL url or one without "://" has an empty host and path and is judged
 as such a template. NULL labels count as unlabelled. Repeated pages keep
-their rows. Extra columns are ignored.
+their rows. URLs of any length are read whole. Templates that tie with a bound are rejected. An
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,8 +88,10 @@ def templates(typed: DataFrame, siblings: int = 20, share: float = 0.02, z: floa
         rare = (F.col("_kids") > siblings) & (F.col("_n") < F.lit(share) * F.col("_pn")) & (F.col("_s") != "")
         pool = F.try_divide(F.col("_pb").cast("double"), F.col("_pl"))
         score = F.try_divide(F.col("_b") - F.col("_l") * pool, F.sqrt(F.col("_l") * pool * (1 - pool)))
-        alike = (F.col("_s") != "") & (F.col("_kids") > 1) & (F.coalesce(F.abs(score), F.lit(0.0)) <= z)
-        name = F.when(F.col("_s") == "", "").when(alike & rare, "*").when(alike, "~").otherwise(F.col("_s"))
+        # a pool of one kind has no score: its labelled branches are alike; branches without labels cannot be compared
+        alike = (F.col("_s") != "") & (F.col("_kids") > 1) & (F.col("_l") > 0) & (F.coalesce(F.abs(score), F.lit(0.0)) <= z)
+        blank = (F.col("_s") != "") & (F.col("_l") == 0) & rare
+        name = F.when(F.col("_s") == "", "").when((alike & rare) | blank, "*").when(alike, "~").otherwise(F.col("_s"))
         alone = (F.col("_kids") == 1) & (F.col("_rows") == 1)
         step = Stored(known.select("host", "template", "_s", name.alias("_name"), alone.alias("_alone"), F.col("_rows").alias("_weight")), "url-names").df
         joined = hot_join(here, step, ["host", "template", "_s"], "_weight", total)
@@ -100,7 +104,7 @@ def templates(typed: DataFrame, siblings: int = 20, share: float = 0.02, z: floa
     return stored.spark.read.schema(stored.schema).parquet(*paths).filter("_done").drop("_seg", "_done")
 
 
-def judge(rows: DataFrame, reject: float = 0.5, k_template: float = 10.0, k_host: float = 50.0) -> DataFrame:
+def judge(rows: DataFrame, reject: float = 0.5, lift: float = 2.0, z_reject: float = 1.645, k_template: float = 10.0, k_host: float = 50.0) -> DataFrame:
     """(host, typed, n, template, bad_share, verdict): shrunk labelled purity of every template."""
     total = rows.agg(F.sum("n_lab").alias("l"), F.sum("n_bad").alias("b")).first()
     overall = (total["b"] or 0) / total["l"] if total["l"] else 0.0
@@ -108,11 +112,13 @@ def judge(rows: DataFrame, reject: float = 0.5, k_template: float = 10.0, k_host
     by_host = by_host.withColumn("_prior", (F.col("_hb") + F.lit(k_host * overall)) / (F.col("_hl") + F.lit(k_host))).select("host", "_prior")
     by_template = rows.groupBy("host", "template").agg(F.sum("n_lab").alias("_l"), F.sum("n_bad").alias("_b"), F.count(F.lit(1)).alias("_rows"))
     scored = by_template.join(by_host, "host").withColumn("bad_share", (F.col("_b") + k_template * F.col("_prior")) / (F.col("_l") + F.lit(k_template)))
-    scored = Stored(scored.select("host", "template", "bad_share", F.when(F.col("bad_share") >= reject, "block").otherwise("allow").alias("verdict"), "_rows"), "url-templates").df
+    above = F.col("_b") - F.col("_l") * F.lit(overall) >= F.lit(z_reject) * F.sqrt(F.col("_l") * F.lit(overall * (1 - overall)))
+    bad = (F.col("bad_share") >= min(reject, lift * overall)) & (F.col("_b") > 0) & above
+    scored = Stored(scored.select("host", "template", "bad_share", F.when(bad, "block").otherwise("allow").alias("verdict"), "_rows"), "url-templates").df
     return hot_join(rows.select("host", "typed", "n", "template"), scored, ["host", "template"], "_rows", rows.count())
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", reject: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", reject: float = 0.5, lift: float = 2.0, z_reject: float = 1.645) -> DataFrame:
     """(key, host, path, rule, verdict, template, bad_share). ``labels`` is (key, bad 0/1), one row per key."""
     host, path = host_path(url)
     base = pages.select(F.col(key).alias("_id"), host.alias("host"), path.alias("path")).withColumn("typed", typed_path(F.col("path")))
@@ -121,7 +127,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     stored = Stored(known, "url-pages").df
     total = stored.count()
     typed = stored.groupBy("host", "typed").agg(F.count(F.lit(1)).alias("n"), F.count("_bad").alias("n_lab"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("n_bad"))
-    judged = Stored(judge(Stored(templates(typed), "url-tree").df, reject), "url-judged").df
+    judged = Stored(judge(Stored(templates(typed), "url-tree").df, reject, lift, z_reject), "url-judged").df
     out = hot_join(stored, judged, ["host", "typed"], "n", total)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return out.select(F.col("_id").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("verdict")).alias("verdict"), "template", "bad_share")

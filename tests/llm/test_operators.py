@@ -294,6 +294,88 @@ def test_url_rare_bad_section_keeps_its_template(spark):
     assert got[7]["template"] == "/s7/<n>" and got[8]["template"] == "/*/<n>"
 
 
+def _url_brute(pages, labels, z=1.96, siblings=20, share=0.02):
+    """Verdicts without rules by the definition: the whole tree in Python."""
+    import re
+
+    def segment(x):
+        m = re.search(r"(\.[A-Za-z]{1,5})$", x)
+        suffix, stem = (m.group(1), x[: m.start()]) if m else ("", x)
+        if re.fullmatch(r"\d{4}-\d{2}-\d{2}", stem):
+            return "<date>" + suffix
+        if re.fullmatch(r"\d+", stem):
+            return "<n>" + suffix
+        if re.fullmatch(r"(?=.*\d)[0-9a-fA-F-]{8,}", stem):
+            return "<hex>" + suffix
+        return re.sub(r"\d+$", "", stem) + "<n>" + suffix if re.search(r"\d{3,}$", stem) else x
+
+    rows = []
+    for i, u in pages:
+        m = re.search(r"://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m.group(1).lower(), m.group(2)) if m else ("", "")
+        rows.append((i, host, [segment(x) for x in path.split("/") if x], labels.get(i)))
+    template = {}
+
+    def grow(group, prefix, level):
+        """group: (id, typed segments, label); names the branches of one node of the tree."""
+        kids = {}
+        for r in group:
+            kids.setdefault(r[1][level] if level < len(r[1]) else "", []).append(r)
+        lab = lambda g: [r[2] for r in g if r[2] is not None]
+        all_, named = lab(group), {}
+        for k, g in kids.items():
+            if len(kids) == 1 and len({tuple(r[1]) for r in g}) == 1:
+                for r in g:
+                    template[r[0]] = "/".join([*prefix, *r[1][level:]])
+                return
+            if k == "":
+                for r in g:
+                    template[r[0]] = "/".join(prefix)
+                continue
+            mine, pool = lab(g), sum(all_) / len(all_) if all_ else 0
+            rare = len(kids) > siblings and len(g) < share * len(group)
+            var = len(mine) * pool * (1 - pool)
+            alike = len(kids) > 1 and mine and (var == 0 or abs(sum(mine) - len(mine) * pool) / var**0.5 <= z)
+            named.setdefault("*" if rare and (alike or not mine) else "~" if alike else k, []).extend(g)
+        for k, g in named.items():
+            grow(g, [*prefix, k], level + 1)
+
+    hosts = {}
+    for i, host, seg, y in rows:
+        hosts.setdefault(host, []).append((i, seg, y))
+    known = [y for *_, y in rows if y is not None]
+    overall, verdict = (sum(known) / len(known) if known else 0), {}
+    for group in hosts.values():
+        grow(group, [""], 0)
+        mine = [y for *_, y in group if y is not None]
+        prior = (sum(mine) + 50 * overall) / (len(mine) + 50)
+        for t in {template[r[0]] for r in group}:
+            of = [r for r in group if template[r[0]] == t]
+            y = [r[2] for r in of if r[2] is not None]
+            bad = (sum(y) + 10 * prior) / (len(y) + 10) >= min(0.5, 2 * overall) and sum(y) > 0 and sum(y) - len(y) * overall >= 1.645 * (len(y) * overall * (1 - overall)) ** 0.5
+            verdict |= {r[0]: (t, "block" if bad else "allow") for r in of}
+    return verdict
+
+
+def test_url_filter_equals_brute_force(spark):
+    rng = random.Random(17)
+    pages, labels = [], {}
+    for i in range(1500):
+        host = rng.choice(["a.org", "b.org", "c.org"])
+        section = rng.choice(["news", "shop", "spam", f"u{rng.randint(1, 60)}", ""])
+        tail = rng.choice([f"/{i}", f"/{rng.choice(['x', 'y'])}/{i}.html", "/2024-01-02/t", f"/deadbeef0{i % 9}", "", "/a/b/c/d/e"])
+        pages.append((i, rng.choice([f"http://{host}/{section}{tail}?q={i}", f"https://{host}//{section}{tail}#x"])))
+        if rng.random() < 0.6:
+            labels[i] = int(rng.random() < (0.8 if section == "spam" and host != "c.org" else 0.1))
+    pages += [(2000, None), (2001, "no host"), (2002, "http://a.org")]
+    want = _url_brute(pages, labels)
+    df = spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit(1))
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_filter.filter_urls(df, spark.createDataFrame(list(labels.items()), "page_id long, bad int"), []).collect()}
+    assert got == want
+    assert {v for _, v in got.values()} == {"allow", "block"}
+    assert url_filter.filter_urls(df.limit(0), spark.createDataFrame([], "page_id long, bad int"), URL_RULES).count() == 0
+
+
 def test_url_branches_split_below_the_third_segment(spark):
     deep = "a/" * 40
     pages = [(i, f"http://h.org/en/blog/2024/{('news', 'spam', 'x/y/bad', 'x/y/good')[i % 4]}/{i}") for i in range(400)] + [(1000, f"http://h.org/{deep}end"), (1001, "http://h.org/"), (1002, None)]
