@@ -87,7 +87,7 @@ REG = f"""{LETTERED}, reg as (select sample, unit, grp, id, y, cast(substr(seq,
 
 
 def _reg(spark, d):
-    return lettered(spark, d).filter("length = 24").select("sample", "unit", "grp", "id", "y", (F.substring("sequence", 1, 1) == "A").cast("double").alias("x1"), F.col("discount").alias("x2"))
+    return lettered(spark, d).filter("length = 24").select("sample", "unit", "grp", "id", "count", "y", (F.substring("sequence", 1, 1) == "A").cast("double").alias("x1"), F.col("discount").alias("x2"))
 
 
 @query("sample_weights", f"with {REG} select sample, unit, round(weight, 8) as weight, count(*) as n from wr group by all")
@@ -137,6 +137,57 @@ def coefficient_stability(spark, d):
     return G.coefficient_stability(G.leave_one_group_out(r, "y", names, "sample", "unit", "grp"))
 
 
+FOLD = f"""{REG}, regc as (select sample, unit, grp, id, y, cnt, cast(substr(seq, 1, 1) = 'A' as int)::double as x1, discount as x2 from lettered where length = 24),
+ fo as (select distinct grp as held_out from reg), fw as (select held_out, reg.*, raw.raw as w from fo join reg on grp <> held_out join raw using (sample, unit)),
+ fm as (select held_out, sample, unit, sum(w * y) / sum(w) as my, sum(w * x1) / sum(w) as m1, sum(w * x2) / sum(w) as m2 from fw group by all),
+ fc as (select held_out, w, y - my as yc, x1 - m1 as a1, x2 - m2 as a2 from fw join fm using (held_out, sample, unit)),
+ fs as (select held_out, sum(w * a1 * a1) as a, sum(w * a1 * a2) as b, sum(w * a2 * a2) as c, sum(w * a1 * yc) as p, sum(w * a2 * yc) as q from fc group by 1),
+ co as (select held_out, (c * p - b * q) / (a * c - b * b) as b1, (a * q - b * p) / (a * c - b * b) as b2 from fs),
+ hs as (select regc.*, round(b1 * x1 + b2 * x2, 6) as score from regc join co on grp = held_out),
+ hr as (select *, rank() over (w order by score) + (count(*) over (partition by grp, sample, unit, score) - 1) / 2.0 as rx, rank() over (w order by cnt) + (count(*) over (partition by grp, sample, unit, cnt) - 1) / 2.0 as ry,
+  row_number() over (w order by score desc, id) <= ceil(0.1 * count(*) over w) as t from hs window w as (partition by grp, sample, unit)),
+ hm as (select grp, sample, unit, count(*) as n, count(*) filter (cnt > 0) as n_represented, cast(sum(cnt) as bigint) as amount, case when count(*) >= 2 and var_pop(rx) > 0 and var_pop(ry) > 0 then corr(rx, ry) end as rho,
+  sum(cnt) filter (t) / sum(cnt) as top_share, (sum(cnt) filter (t) / sum(cnt)) / (count(*) filter (t) / count(*)) as lift from hr group by all),
+ hf as (select grp, sum(n) as n, sum(n_represented) as n_represented, sum(amount) as amount, median(rho) as rho, median(lift) as lift from hm group by 1)"""
+
+
+def _two_fold(spark, d):
+    return G.leave_one_group_out(_reg(spark, d), "y", XS, "sample", "unit", "grp")
+
+
+def _held_out(spark, d):
+    rows = _reg(spark, d)
+    scored = G.held_out_scores(rows, _two_fold(spark, d), XS, "grp").withColumn("score", F.round("score", 6))
+    return G.held_out_metrics(scored, ["grp", "sample", "unit"], "score", "count", "id")
+
+
+@query("logo_two_feature", f"with {FOLD} select held_out, 'x1' as feature, round(b1, 6) as coefficient from co union all select held_out, 'x2', round(b2, 6) from co")
+def logo_two_feature(spark, d):
+    return tidy(_two_fold(spark, d), 6)
+
+
+@query("held_out_metrics", f"with {FOLD} select grp, sample, unit, n, n_represented, amount, round(rho, 6) as rho, round(top_share, 6) as top_share, round(lift, 6) as lift from hm")
+def held_out_metrics(spark, d):
+    return tidy(_held_out(spark, d), 6)
+
+
+@query("held_out_folds", f"with {FOLD} select grp, cast(n as bigint) as n, cast(n_represented as bigint) as n_represented, cast(amount as bigint) as amount, round(rho, 6) as rho, round(lift, 6) as lift from hf")
+def held_out_folds(spark, d):
+    return tidy(G.fold_summary(_held_out(spark, d), "grp"), 6)
+
+
+@query("held_out_summary", f"""with {FOLD} select count(*) as n_folds, round(median(rho), 6) as rho_median, round(min(rho), 6) as rho_low, round(max(rho), 6) as rho_high, count(rho) as rho_valid, count(*) filter (rho > 0) as rho_favourable,
+ round(median(lift), 6) as lift_median, round(min(lift), 6) as lift_low, round(max(lift), 6) as lift_high, count(lift) as lift_valid, count(*) filter (lift > 1) as lift_favourable from hf""")
+def held_out_summary(spark, d):
+    return tidy(G.cross_summary(G.fold_summary(_held_out(spark, d), "grp")), 6)
+
+
+@query("coefficient_stability_two", f"""with {FOLD}, l as (select 'x1' as feature, b1 as v from co union all select 'x2', b2 from co) select feature, round(median(v), 6) as median, round(min(v), 6) as low, round(max(v), 6) as high, count(*) as n_folds,
+ count(*) filter (v > 0) in (0, count(*)) as same_sign from l group by 1""")
+def coefficient_stability_two(spark, d):
+    return tidy(G.coefficient_stability(_two_fold(spark, d)), 6)
+
+
 @query("top10_lift", f"""with {LETTERED}, o as (select *, row_number() over (partition by sample order by y desc, id) <= ceil(0.1 * count(*) over (partition by sample)) as t from lettered)
  select sample, cast(sum(cnt) filter (t) as bigint) as top_amount, cast(sum(cnt) as bigint) as amount, count(*) filter (t) as n_top, count(*) as n, round(sum(cnt) filter (t) / sum(cnt), 8) as top_share,
  round((sum(cnt) filter (t) / sum(cnt)) / (count(*) filter (t) / count(*)), 8) as lift from o group by 1""")

@@ -94,3 +94,30 @@ def bootstrap_mt19937(spark, d):
 def hierarchical_bootstrap(spark, d):
     s = _pairs(spark, d).filter(F.col("fraction").isNotNull())
     return B.hierarchical_bootstrap_ci(s, ["length", "mode"], "sample", "fraction", 200, 20260810)
+
+
+def _null_sql(group: str | None) -> str:
+    med = lambda src, keys: f"select {keys}, median(v) as v from {src} group by all" if group else f"select {keys}, v from {src}"
+    return f"""with {READS}, o as (select strand, sample, unit, round(avg(discount), 9) as v from reads where id % 7 = 0 group by all),
+ nl as (select strand, sample, unit, id % 19 as rep, round(avg(discount), 9) as v from reads group by all), og as ({med("o", "strand, sample")}), ng as ({med("nl", "strand, rep, sample")}),
+ e as (select strand, median(v) as estimate, count(*) as n_groups from og group by 1), nr as (select strand, rep, median(v) as v from ng group by all),
+ t as (select strand, estimate, n_groups, count(*) filter (v >= estimate) as n_exceed, count(v) as n_null from e join nr using (strand) group by all), p as (select *, (n_exceed + 1) / (n_null + 1) as p, (select count(*) from o where o.strand = t.strand) as n_rows from t),
+ i as (select *, row_number() over (order by p, strand) as i, count(*) over () as m from p)
+ select strand, round(estimate, 8) as estimate, n_groups, n_rows, n_exceed, n_null, round(p, 8) as p, round(least(1.0, min(p * m / i) over (order by i desc)), 8) as q from i"""
+
+
+def _null_results(spark, d, group):
+    r = reads(spark, d)
+    observed = r.filter("id % 7 = 0").groupBy("strand", "sample", "unit").agg(F.round(F.avg("discount"), 9).alias("v"))
+    nulls = r.groupBy("strand", "sample", "unit", (F.col("id") % 19).alias("rep")).agg(F.round(F.avg("discount"), 9).alias("v"))
+    return tidy(T.null_results(observed, nulls, ["strand"], "rep", "v", group))
+
+
+@query("null_results_pair", _null_sql(None))
+def null_results_pair(spark, d):
+    return _null_results(spark, d, None)
+
+
+@query("null_results_sample", _null_sql("sample"))
+def null_results_sample(spark, d):
+    return _null_results(spark, d, "sample")

@@ -78,7 +78,8 @@ def _exp(spark, d):
 
 def _enr(spark, d):
     obs, exp = _obs(spark, d), _exp(spark, d)
-    return P.enrichment(obs, exp, P.combined_expectation(obs, exp))
+    # some of these backgrounds are masked throughout and expect nothing
+    return P.enrichment(obs, exp, P.combined_expectation(obs, exp), required=False)
 
 
 def _pobs(spark, d):
@@ -86,7 +87,7 @@ def _pobs(spark, d):
 
 
 def _posi(spark, d):
-    return P.positional(_pobs(spark, d), P.expected(background(spark, d), [23, 24], terminal=False))
+    return P.positional(_pobs(spark, d), P.expected(background(spark, d), [23, 24], terminal=False), required=False)
 
 
 def _found(spark, d):
@@ -274,3 +275,47 @@ def empirical_p(spark, d):
     p = _posi(spark, d).withColumn("v", F.round(F.abs("accumulation_delta"), 9))
     observed = p.filter("position = 10").groupBy("length", "strand").agg(F.max("v").alias("obs"))
     return tidy(T.empirical_p(p.filter("position <> 10").select("length", "strand", "v"), observed, ["length", "strand"], "v", "obs"))
+
+
+REGIONS = f"""{POSI}, g as (select {CELL}, mode, position, sum(fraction) as gc from obs where letter in ('G', 'C') group by all), ge as (select {CELL}, position, sum(expected) as gc from exp where letter in ('G', 'C') group by all),
+ go as (select *, avg(gc) over f as m, count(gc) over f as c, count(*) over f as k from g window f as (partition by {CELL}, mode order by position rows between current row and 5 following)),
+ gx as (select *, avg(gc) over f as m, count(gc) over f as c, count(*) over f as k from ge window f as (partition by {CELL} order by position rows between current row and 5 following)),
+ o6 as (select {CELL}, position, max(m) filter (mode = 'unique_sequence' and c = 6) as u, max(m) filter (mode = 'abundance' and c = 6) as a from go where k = 6 and position + 5 <= length group by all),
+ e6 as (select {CELL}, position, case when c = 6 then m end as e from gx where k = 6), rg as (select o6.*, e from o6 left join e6 using ({CELL}, position)),
+ rs as (select length, strand, position, sample, median(round(a - u, 9)) as m from rg group by all),
+ r0 as (select length, strand, position, count(*) filter (m > 0) as n_positive, count(*) filter (m < 0) as n_negative, median(m) as estimate, count(m) as n_samples from rs group by all),
+ r1 as (select *, case when n_positive + n_negative > 0 then least(1.0, 2 * list_sum(list_transform(range(0, least(n_positive, n_negative) + 1),
+  lambda k: cast(factorial(cast(n_positive + n_negative as int)) / (factorial(cast(k as int)) * factorial(cast(n_positive + n_negative - k as int))) as double))) / pow(2.0, n_positive + n_negative)) end as p from r0),
+ r2 as (select *, count(*) over (partition by length, strand, p is not null) as m, row_number() over (partition by length, strand, p is not null order by p, position) as i from r1),
+ r3 as (select *, case when p is not null then least(1.0, min(p * m / i) over w) end as q_bh from r2 window w as (partition by length, strand, p is not null order by i desc rows between unbounded preceding and current row))"""
+
+
+def _regional(spark, d):
+    return P.regional(_pobs(spark, d), P.expected(background(spark, d), [23, 24], terminal=False), 6)
+
+
+@query("regional_deltas", f"""with {REGIONS} select sample, unit, {INT}, strand, cast(position as bigint) as position, round(u, 8) as unique_sequence, round(a, 8) as abundance, round(e, 8) as expected, round(u - e, 8) as unique_delta, round(a - e, 8) as abundance_delta,
+ round(a - u, 8) as accumulation_delta, cast(position + 5 as bigint) as end_5p, cast(length - position - 4 as bigint) as near_3p, cast(length - position + 1 as bigint) as far_3p, 'GC' || position || '-' || (position + 5) as region_5p, 'GC_3p' || (length - position - 4) || '-' || (length - position + 1) as region_3p from rg""")
+def regional_deltas(spark, d):
+    return tidy(_regional(spark, d))
+
+
+@query("regional_discovery", f"with {REGIONS} select {INT}, strand, cast(position as bigint) as position, n_positive, n_negative, round(estimate, 8) as estimate, n_samples, round(p, 8) as p, round(q_bh, 8) as q_bh from r3")
+def regional_discovery(spark, d):
+    r = _regional(spark, d).withColumn("accumulation_delta", F.round("accumulation_delta", 9))
+    return tidy(P.regional_discovery(r, "accumulation_delta").select("length", "strand", "position", "n_positive", "n_negative", "estimate", "n_samples", "p", "q_bh"))
+
+
+@query("support_text", f"""with {POSI} select {INT}, strand, cast(position as bigint) as position, letter, case when p is null or q_bh is null then 'not estimable' else 'effect=' || format('{{:.6g}}', round(n_positive / 7.0, 9)) || '; delta=' || format('{{:.6g}}', round(p - 0.5, 9)) || '; corrected_p=' || format('{{:.6g}}', round(q_bh, 9)) end as support from q""")
+def support_text(spark, d):
+    from ..functions import nulls as N
+
+    f = _found(spark, d)
+    return tidy(f.select("length", "strand", "position", "letter", N.support_text(F.round(F.col("n_positive") / 7.0, 9), F.round(F.col("p") - 0.5, 9), F.round("q_bh", 9)).alias("support")))
+
+
+@query("endpoint_labels", f"with {TERM} select case when mode = 'unique_sequence' then 'unique_representation' else 'abundance_representation' end as endpoint, count(*) as n, round(median(ratio), 8) as ratio from enr group by 1")
+def endpoint_labels(spark, d):
+    from ..functions import nulls as N
+
+    return tidy(_enr(spark, d).groupBy(N.representation_endpoint("mode").alias("endpoint")).agg(F.count(F.lit(1)).alias("n"), F.median("ratio").alias("ratio")))

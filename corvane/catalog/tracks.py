@@ -95,6 +95,26 @@ def lag_correlation(spark, d):
     return tidy(T.lag_correlation(_track(spark, d), KEYS, "bin", "click", "view", LAGS))
 
 
+LOG_LAGS = list(range(-50, 51))
+LOGLAG = f"""{TRACK}, p as (select a.contig, lag, ln(1 + a.click) as x, ln(1 + b.view) as y from track a, (select unnest({LOG_LAGS}) as lag) join track b on b.contig = a.contig and b.bin = a.bin + lag),
+ lr as (select contig, lag, case when count(*) >= 10 and var_pop(x) > 0 and var_pop(y) > 0 then corr(x, y) end as r, count(*) as n from p group by all)"""
+
+
+def _log_lags(spark, d):
+    logged = _track(spark, d).withColumns({k: F.log1p(k) for k in ("click", "view")})
+    return T.lag_correlation(logged, KEYS, "bin", "click", "view", LOG_LAGS)
+
+
+@query("lag_correlation_log1p", f"with {LOGLAG} select contig, cast(lag as bigint) as lag, round(r, 8) as r, n from lr")
+def lag_correlation_log1p(spark, d):
+    return tidy(_log_lags(spark, d))
+
+
+@query("lag_asymmetry", f"with {LOGLAG} select contig, round(avg(r) filter (lag > 0) - avg(r) filter (lag < 0), 8) as asymmetry from lr group by 1")
+def lag_asymmetry(spark, d):
+    return tidy(T.lag_asymmetry(_log_lags(spark, d), KEYS))
+
+
 @query("circular_shift", f"with {TRACK} select contig, (bin + 37) % {N_BINS} as bin, view from track where view > 0")
 def circular_shift(spark, d):
     t = X.circular_shift(_track(spark, d), "bin", F.lit(N_BINS), F.lit(37), "bin")
@@ -120,7 +140,7 @@ def event_windows(spark, d):
     return tumbling_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value").withColumn("total", F.round("total", 6))
 
 
-@query("event_windows_streamed")
+@query("event_windows_streamed", "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all")
 def event_windows_streamed(spark, d):
     schema = table(spark, d, "events").schema
-    return run_once(spark, d, "events.parquet", schema, lambda s: tumbling_counts(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value"), "event_windows_streamed")
+    return run_once(spark, d, "events.parquet", schema, lambda s: tumbling_counts(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value")).withColumn("total", F.round("total", 6))

@@ -93,6 +93,37 @@ def directionality(down: ColumnLike, up: ColumnLike) -> Column:
     return safe_ratio(_c(down) - _c(up), _c(down) + _c(up))
 
 
+def regional_deltas(unique: ColumnLike, abundance: ColumnLike, expected: ColumnLike) -> dict[str, Column]:
+    """Unique and abundance shares against the expectation, and abundance against unique; NULL if a side is missing."""
+    u, a, e = _c(unique), _c(abundance), _c(expected)
+    return {"unique_delta": u - e, "abundance_delta": a - e, "accumulation_delta": a - u}
+
+
+def representation_endpoint(mode: ColumnLike) -> Column:
+    """The endpoint a weighting stands for."""
+    return F.when(_c(mode) == "unique_sequence", "unique_representation").otherwise("abundance_representation")
+
+
+def six_digits(x: ColumnLike) -> Column:
+    """A number as text with six significant digits, no trailing zeros, and an exponent below 0.0001 or from a million on."""
+    v = F.abs(_c(x))
+    # the exponent after rounding to six digits
+    e = F.floor(F.log10(v))
+    e = F.when(F.round(v / F.pow(F.lit(10.0), e), 5) >= 10, e + 1).otherwise(e)
+    mantissa = F.regexp_replace(F.regexp_replace(F.format_string("%.5f", F.round(v / F.pow(F.lit(10.0), e), 5)), "0+$", ""), r"\.$", "")
+    sci = F.concat(mantissa, F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    plain = F.concat(*[F.when((F.lit(5) - e) == d, F.format_string(f"%.{d}f", v)).otherwise("") for d in range(10)])
+    plain = F.when(e >= 5, F.format_string("%.0f", v)).otherwise(F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", ""))
+    body = F.when(v == 0, "0").when((e < -4) | (e >= 6), sci).otherwise(plain)
+    return F.concat(F.when(_c(x) < 0, "-").otherwise(""), body)
+
+
+def support_text(effect: ColumnLike, delta: ColumnLike, p: ColumnLike) -> Column:
+    """The three findings as text, "not estimable" if one is missing."""
+    text = F.concat(F.lit("effect="), six_digits(effect), F.lit("; delta="), six_digits(delta), F.lit("; corrected_p="), six_digits(p))
+    return F.when(_c(effect).isNull() | _c(delta).isNull() | _c(p).isNull(), "not estimable").otherwise(text)
+
+
 def clamp_window(window: ColumnLike, span: ColumnLike, length: ColumnLike) -> tuple[Column, Column]:
     """Folding window no longer than the sequence, and a span shorter than the window."""
     w = F.least(_c(window), _c(length))

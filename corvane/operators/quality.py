@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 LEDGER = "check string, status string, value string, details string"
 
@@ -32,6 +33,38 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def exactly_one(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The relation, each key of which must occur once; a repeated key raises when its row is read."""
+    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    first = keys[0]
+    kind = dict(df.dtypes)[first]
+    return df.withColumn(first, F.when(n == 1, F.col(first)).otherwise(F.raise_error(F.lit("expected one row of a key")).cast(kind)))
+
+
+def find_row(df: DataFrame, **criteria):
+    """The one row whose columns read as the given values; none or several raise."""
+    found = df
+    for k, v in criteria.items():
+        found = found.filter(F.col(k).cast("string") == str(v))
+    rows = found.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected one row for {criteria}, found {'none' if not rows else 'several'}")
+    return rows[0]
+
+
+def versions() -> dict[str, str]:
+    """Versions of what a run depends on, for its record."""
+    import platform
+    from importlib import metadata
+
+    return {"python": platform.python_version()} | {p: metadata.version(p) for p in ("pyspark", "pyarrow", "pandas", "numpy")}
+
+
+def forbidden_features(features: Sequence[str], forbidden: Sequence[str]) -> list[str]:
+    """Features a model must not use: named as, or made from, a forbidden column."""
+    return [f for f in features if any(f == x or f.startswith(f"{x}_") for x in forbidden)]
+
+
 def same_key_sets(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of one side only."""
     ka, kb = a.select(*keys).distinct(), b.select(*keys).distinct()

@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stable_seed(seed: int, key: str) -> int:
-    """Seed of one key, independent of the order in which keys come."""
-    return (seed + int.from_bytes(hashlib.sha256(key.encode()).digest()[:4], "big")) % (2**63 - 1)
+def stable_seed(seed: int, *parts: object) -> int:
+    """Seed of one key, independent of the order in which keys come: eight digest bytes of its parts, joined by the unit separator."""
+    digest = hashlib.sha256("\x1f".join(map(str, parts)).encode()).digest()
+    return (seed + int.from_bytes(digest[:8], "big")) % (2**63 - 1)
 
 
 def index_matrix(n: int, replicates: int, seed: int, rng: str) -> np.ndarray:
@@ -80,7 +81,7 @@ def hierarchical_bootstrap_ci(df: DataFrame, keys: Sequence[str], cluster: str,
         groups = [g.to_numpy(float) for _, g in pdf.dropna(subset=[value]).sort_values([cluster, value]).groupby(cluster)[value]]
         if not groups:
             return pd.DataFrame([(*key, None, None, 0)], columns=[*keys, "ci_low", "ci_high", "replicates"])
-        r = np.random.default_rng(stable_seed(seed, "|".join(map(str, key))))
+        r = np.random.default_rng(stable_seed(seed, *key))
         est = []
         for _ in range(replicates):
             drawn = r.integers(0, len(groups), len(groups))
@@ -110,7 +111,7 @@ def shift_null(df: DataFrame, keys: Sequence[str], bin_col: str, tracks: Sequenc
         every = np.arange(1, n)
         far = every[np.minimum(every, n - every) > exclusion]
         shifts = far if len(far) else every
-        drawn = np.random.default_rng(stable_seed(seed, "|".join(map(str, key)))).choice(shifts, replicates)
+        drawn = np.random.default_rng(stable_seed(seed, *key)).choice(shifts, replicates)
         up = np.concatenate([np.arange(max(0, a - width), a) for a in at])
         down = np.concatenate([np.arange(a + 1, min(n, a + width + 1)) for a in at])
         memo: dict[int, list] = {}

@@ -72,11 +72,39 @@ def adjust_p(df: DataFrame, family: Sequence[str], p: str, out: str, method: str
 
 
 def empirical_p(nulls: DataFrame, observed: DataFrame, keys: Sequence[str], value: str, obs: str) -> DataFrame:
-    """(null >= observed + 1) / (usable nulls + 1), missing nulls left out."""
+    """((nulls >= observed) + 1) / (usable nulls + 1), missing nulls left out; NULL without an observation or a usable null."""
     usable = F.col(value).isNotNull() & ~F.isnan(value)
     joined = observed.join(nulls, list(keys), "left")
     agg = joined.groupBy(*keys, obs).agg(F.count_if(usable & (F.col(value) >= F.col(obs))).alias("n_exceed"), F.count_if(usable).alias("n_null"))
-    return agg.withColumn("p", F.when(F.col(obs).isNotNull(), (F.col("n_exceed") + 1) / (F.col("n_null") + 1)))
+    return agg.withColumn("p", F.when(F.col(obs).isNotNull() & (F.col("n_null") > 0), (F.col("n_exceed") + 1) / (F.col("n_null") + 1)))
+
+
+def null_medians(nulls: DataFrame, keys: Sequence[str], replicate: str, value: str, group: str | None = None) -> DataFrame:
+    """(keys, replicate, value): the median of a replicate over rows, or over its groups' medians; missing values are left out."""
+    usable = nulls.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    if group:
+        usable = usable.groupBy(*keys, replicate, group).agg(F.median(value).alias(value))
+    return usable.groupBy(*keys, replicate).agg(F.median(value).alias(value))
+
+
+def null_results(observed: DataFrame, nulls: DataFrame, keys: Sequence[str], replicate: str, value: str, group: str | None = None, family: Sequence[str] = ()) -> DataFrame:
+    """(keys, estimate, n_groups, n_rows, n_exceed, n_null, p, q): balanced estimate, its null replicates, and the family's step-up correction.
+
+    Without ``group`` all rows weigh the same; with it a group's median counts
+    once. Nulls balance as the estimate does, replicate by replicate.
+    """
+    usable = observed.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    sizes = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), (F.count_distinct(group) if group else F.count(F.lit(1))).alias("n_groups"))
+    balanced = usable.groupBy(*keys, group).agg(F.median(value).alias(value)) if group else usable
+    estimate = balanced.groupBy(*keys).agg(F.median(value).alias("estimate")).join(sizes, list(keys))
+    tested = empirical_p(null_medians(nulls, keys, replicate, value, group), estimate.select(*keys, "estimate"), keys, value, "estimate")
+    return adjust_p(estimate.join(tested.drop("estimate"), list(keys)), family, "p", "q", tie=keys)
+
+
+def lag_asymmetry(lags: DataFrame, keys: Sequence[str], lag: str = "lag", r: str = "r") -> DataFrame:
+    """(keys, asymmetry): mean correlation at positive lags minus that at negative ones; NULL if a side has none."""
+    side = lambda c: F.avg(F.when(c, F.col(r)))
+    return lags.groupBy(*keys).agg((side(F.col(lag) > 0) - side(F.col(lag) < 0)).alias("asymmetry"))
 
 
 def leave_one_out_median(df: DataFrame, group: str, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import nulls as N
 from ..functions import sequence as S
@@ -89,13 +88,20 @@ def combined_expectation(obs: DataFrame, exp: DataFrame) -> DataFrame:
     return mixed.select(*PAIR, "length", "mode", "position", "letter", "sense_share", "antisense_share", "expected")
 
 
-def enrichment(obs: DataFrame, exp: DataFrame, combined: DataFrame | None = None) -> DataFrame:
-    """Observed over expected share on the full key; the observed side must find its expectation."""
+def enrichment(obs: DataFrame, exp: DataFrame, combined: DataFrame | None = None, required: bool = True) -> DataFrame:
+    """Observed over expected share on the full key; an observed row without an expectation raises, or is left out if none is ``required``."""
     keys = [*CELL, "position", "letter"]
-    single = obs.filter(F.col("strand") != "combined").join(exp.select(*keys, "expected"), keys)
+    if dict(obs.dtypes)["position"] != "string":  # a grid of positions goes on behind the shorter lengths
+        obs = obs.filter(F.col("position") <= F.col("length"))
+    single = obs.filter(F.col("strand") != "combined").join(exp.select(*keys, "expected", F.lit(True).alias("_found")), keys, "left")
     if combined is not None:
-        both = obs.filter(F.col("strand") == "combined").join(combined.select(*PAIR, "length", "mode", "position", "letter", "expected"), [*PAIR, "length", "mode", "position", "letter"])
+        by = [*PAIR, "length", "mode", "position", "letter"]
+        both = obs.filter(F.col("strand") == "combined").join(combined.select(*by, "expected", F.lit(True).alias("_found")), by, "left")
         single = single.unionByName(both)
+    if not required:
+        return single.filter("_found").drop("_found").withColumn("ratio", N.enrichment("fraction", "expected", "total"))
+    missing = F.raise_error(F.lit("observed letters without an expectation")).cast("double")
+    single = single.withColumn("expected", F.when(F.col("_found"), F.col("expected")).otherwise(missing)).drop("_found")
     return single.withColumn("ratio", N.enrichment("fraction", "expected", "total"))
 
 
@@ -120,9 +126,9 @@ def length_agreement(dataset: DataFrame, low: int, high: int) -> DataFrame:
     return T.spearman(pairs, ["strand", "mode"], "ratio_low", "ratio_high")
 
 
-def positional(obs: DataFrame, exp: DataFrame) -> DataFrame:
+def positional(obs: DataFrame, exp: DataFrame, required: bool = True) -> DataFrame:
     """Abundance against unique enrichment at every position: one row per feature with both and their ratio."""
-    e = enrichment(obs, exp)
+    e = enrichment(obs, exp, required=required)
     keys = [*CELL, "position", "letter"]
     pick = lambda m, c: F.max(F.when(F.col("mode") == m, F.col(c)))
     wide = e.groupBy(*keys).agg(
@@ -151,6 +157,30 @@ def gc_windows(obs: DataFrame, width: int) -> DataFrame:
     return sliding_mean(gc, [*CELL, "mode"], "position", ["gc"], width)
 
 
+def regional_windows(df: DataFrame, width: int) -> DataFrame:
+    """Labels of windows that begin at ``position``: both ends from the 5' and from the 3' end."""
+    end = F.col("position") + width - 1
+    near, far = F.col("length") - end + 1, F.col("length") - F.col("position") + 1
+    return df.withColumns({"end_5p": end, "near_3p": near, "far_3p": far, "region_5p": F.concat(F.lit("GC"), "position", F.lit("-"), end), "region_3p": F.concat(F.lit("GC_3p"), near, F.lit("-"), far)})
+
+
+def regional(obs: DataFrame, exp: DataFrame, width: int) -> DataFrame:
+    """Mean share of G and C of every window inside its length, observed by both weightings and expected, with three deltas and labels."""
+    seen = gc_windows(obs, width).filter(F.col("position") + width - 1 <= F.col("length"))
+    wide = seen.groupBy(*CELL, "position").agg(*[F.max(F.when(F.col("mode") == m, F.col("gc_mean"))).alias(m) for m in MODES])
+    expectation = gc_windows(exp.withColumn("mode", F.lit("expected")).withColumn("fraction", F.col("expected")), width).select(*CELL, "position", F.col("gc_mean").alias("expected"))
+    deltas = N.regional_deltas("unique_sequence", "abundance", "expected")
+    return regional_windows(wide.join(expectation, [*CELL, "position"], "left").withColumns(deltas), width)
+
+
+def regional_discovery(regions: DataFrame, value: str) -> DataFrame:
+    """Sample medians, their median over samples, the sign test and the corrections over all windows of a (length, strand)."""
+    keys = ["length", "strand", "position"]
+    samples = regions.groupBy(*keys, "sample").agg(F.median(value).alias("_m"))
+    tested = T.sign_test(samples, keys, "_m").join(samples.groupBy(*keys).agg(F.median("_m").alias("estimate"), F.count("_m").alias("n_samples")), keys)
+    return T.adjust_p(T.adjust_p(tested, ["length", "strand"], "p", "q_bh", "BH", ["position"]), ["length", "strand"], "p", "q_by", "BY", ["position"])
+
+
 def grouped_letters(obs: DataFrame, groups: dict[int, tuple[str, str]]) -> DataFrame:
     """Summed share of two letters at given positions."""
     cond = None
@@ -180,6 +210,3 @@ def cross_length(found: DataFrame, low: int, high: int, from_3p: bool) -> DataFr
         "corrected_in_both", F.coalesce((F.col("q_by_low") < 0.05) & (F.col("q_by_high") < 0.05), F.lit(False))
     )
 
-
-def share_by_letter_window(df: DataFrame, keys: Sequence[str]) -> Column:
-    return F.sum("fraction").over(W.partitionBy(*keys))

@@ -57,10 +57,12 @@ def read_fasta(spark: SparkSession, path: str, rna: bool | None = None, unique:
     header or a record without letters raises; with ``unique`` so does an id
     that occurs twice.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("path"), F.col("value"), F.col("_metadata.file_name").alias("_f"))
-    text = F.regexp_replace(F.col("value"), "^>", "")
-    # split records lose their ">" except the first of a file; a file that begins otherwise is malformed
-    head = F.substring_index(text, "\n", 1)
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("path"), F.col("value"))
+    # split records lose their ">" except the first of a file; without such a record, or a blank one, a file begins otherwise
+    begins = raw.groupBy("path").agg(F.max(F.col("value").startswith(">") | (F.trim(F.regexp_replace("value", r"\s", "")) == "")).alias("ok"))
+    if begins.filter("not ok").limit(1).count():
+        raise ValueError(f"text before the first FASTA header in {path}")
+    head = F.substring_index(F.regexp_replace(F.col("value"), "^>", ""), "\n", 1)
     seq = F.upper(F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", ""))
     if rna is not None:
         seq = F.translate(seq, "T", "U") if rna else F.translate(seq, "U", "T")
@@ -116,6 +118,43 @@ def read_probability_bands(spark: SparkSession, path: str) -> DataFrame:
     return long.filter(F.col("text") != "NA").select("end", (F.col("i") + 1).cast("int").alias("length"), strict_number("text", 0, 1).alias("p"))
 
 
+#: Columns of distances between focal and passenger reads, one row a pair of a run (fixed values).
+DISTANCES = ["run", "focal_id", "passenger_id", "d5", "d3", "passenger_length"]
+
+
+def read_distances(spark: SparkSession, path: str) -> DataFrame:
+    """Distances taken from an alignment elsewhere, as there is no source for its binary form: run, ids, both end distances, length.
+
+    Distances that are no whole numbers, a length below 1, or a pair that a run holds twice raise.
+    """
+    df = read_tsv(spark, path, DISTANCES)
+    number = {c: F.col(c).try_cast("int") for c in DISTANCES[3:]}
+    n = F.count(F.lit(1)).over(W.partitionBy(*DISTANCES[:3]))
+    ok = number["d5"].isNotNull() & number["d3"].isNotNull() & F.coalesce(number["passenger_length"] >= 1, F.lit(False)) & (n == 1)
+    checked = df.withColumn("run", F.when(ok, F.col("run")).otherwise(F.raise_error(F.lit("bad or repeated distance")).cast("string")))
+    return checked.select(*DISTANCES[:3], *[c.alias(k) for k, c in number.items()])
+
+
+def fold_targets(df: DataFrame, fold, key: str = "id", sequence: str = "sequence") -> DataFrame:
+    """(key, sequence, structure, energy) by a function from a sequence to (structure, energy), for which any folding program can stand.
+
+    A structure of another length raises. NULL sequences give NULLs.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [fold(s) if s is not None else (None, None) for s in b["sequence"]]
+            if bad := [s for s, (x, _) in zip(b["sequence"], rows, strict=True) if s is not None and len(x) != len(s)]:
+                raise ValueError(f"structure of another length than {bad[0]}")
+            yield pd.DataFrame({"key": b["key"], "sequence": b["sequence"], "structure": [x for x, _ in rows], "energy": [e for _, e in rows]})
+
+    out = df.select(F.col(key).alias("key"), F.col(sequence).alias("sequence")).mapInPandas(run, f"key {kind}, sequence string, structure string, energy double")
+    return out.withColumnRenamed("key", key)
+
+
 def read_fold_records(spark: SparkSession, path: str) -> DataFrame:
     """(id, sequence, structure, energy) from three-line fold output."""
     recs = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("v")).filter(F.length(F.trim("v")) > 0)
@@ -151,7 +190,9 @@ def read_stack_parameters(spark: SparkSession, path: str, id_col: str = "paramet
         if stacks[s[::-1].translate(flip)] != v:
             raise ValueError(f"stack {s} differs from its reverse complement")
     ends = {r[1]: r["v"] for r in rows if r[0] == "end_correction"}
-    correction = {pair: next((v for k, v in ends.items() if f"on_{pair}" in k), 0.0) for pair in ("AU", "GC")}
+    correction = {pair: next((v for k, v in ends.items() if f"on_{pair}" in k), None) for pair in ("AU", "GC")}
+    if absent := [pair for pair, v in correction.items() if v is None]:
+        raise ValueError(f"end corrections missing: {absent}")
     return stacks, correction
 
 
