@@ -13,7 +13,7 @@ weights of single pieces cannot express the merge order, so a state is a
 position with the piece that led there, and an arc weighs 0 if merging the
 joined text of the two pieces gives just these two, else infinity. A sequence whose
 neighbours all agree is the merge result, so the one path of finite weight is
-the encoding; an input without one is an error, never another encoding.
+the encoding (states of equal weight are expanded farthest first); an input without one is an error, never another encoding.
 Conditions are computed on demand and remembered.
 
 The composed machine falls apart where no piece spans two characters; such
@@ -45,8 +45,8 @@ from .common import bounded_batches
 
 MARK = "▁"
 MODEL_BYTES = 16 << 20
-#: Bytes of remembered segments (in each of two generations) and remembered neighbour conditions of a process.
-SEGMENT_BYTES, PAIRS = 40 << 20, 300_000
+#: Bytes of remembered words and of their parts (in each of two generations), and remembered neighbour conditions of a process.
+WORD_BYTES, PART_BYTES, PAIRS = 16 << 20, 64 << 20, 300_000
 #: Label of a fallback arc in a path.
 FALLBACK = -2
 
@@ -86,7 +86,7 @@ def _charsmap(blob: bytes) -> dict[str, str]:
 class Remembered(dict):
     """Results of ``find`` by segment; when the bytes of a generation are used up, it becomes the old one and the one before goes."""
 
-    def __init__(self, find, most: int = SEGMENT_BYTES):
+    def __init__(self, find, most: int):
         super().__init__()
         self.find, self.most, self.held, self.old = find, most, 0, {}
 
@@ -152,11 +152,13 @@ class Transducer:
         # may a text be cut before a mark, and on both sides of a line end?
         self.cut_mark = not any(b == MARK and a != MARK for p in self.ids for a, b in zip(p, p[1:], strict=False))
         self.cut_line = not any("\n" in p for p in self.ids if len(p) > 1)
+        # neighbours that some piece holds; between others the machine falls apart
+        self.spanned = frozenset(a + b for p in self.ids for a, b in zip(p, p[1:], strict=False))
         self.worst = 10.0 - min((self.score[i] for i in self.ids.values()), default=0.0)
         self._pairs: dict[int, bool] = {}
         self._built: dict[int, tuple[list[float], list[str], list[str]]] = {}
-        self._words = Remembered(self._word)
-        self._runs = Remembered(self._path)
+        self._words = Remembered(self._word, WORD_BYTES)
+        self._runs = Remembered(self._path, PART_BYTES)
         self.line = self._path("\n")
 
     def normalize(self, text: str) -> str:
@@ -267,54 +269,68 @@ class Transducer:
         return out[::-1]
 
     def _merge_path(self, s: str) -> list[int]:
-        """States are (position, last label): all that finite paths reach, by position, each with the label before it."""
-        n, root, pairs, vocabulary = len(s), self.root, self._pairs, len(self.score)
-        layers: list[dict[int, int] | None] = [None] * (n + 1)
-        layers[0] = {FALLBACK: FALLBACK}
-        for pos in range(n):
-            here = layers[pos]
-            if here is None:
-                continue
-            layers_at, state, end = here.items(), root, pos
+        """Best-first search over (position, last label): weights are 0 or infinity, so of equal states the farthest goes first.
+
+        A finite path to a position is the merge result of the text before it,
+        hence the only one: the first label that reaches a position stays.
+        """
+        ids, root, pairs, vocabulary = self.ids, self.root, self._pairs, len(self.score)
+        whole = ids.get(s)
+        if whole is not None and self._whole(whole):
+            return [whole]
+        n = end = len(s)
+        label: list[int | None] = [None] * (n + 1)
+        label[0] = FALLBACK
+        arcs: list[tuple[int, int, int]] = []
+        here = 0
+        while here < n:
+            # arcs of the composed machine that leave this position, the longest on top
+            state, end = root, here
             while end < n:
                 state = state.get(s[end])
                 if state is None:
                     break
                 end += 1
-                t = state.get("")
-                if t is None:
-                    continue
-                for a, _ in layers_at:
-                    k = a * vocabulary + t
-                    agree = pairs.get(k)
-                    if agree is None:
-                        agree = self._agree(a, t)
+                if "" in state:
+                    arcs.append((here, end, state[""]))
+            if s[here] not in ids:
+                arcs.append((here, here + 1, FALLBACK))
+            while arcs:
+                start, end, t = arcs.pop()
+                if label[end] is None:
+                    agree = True
+                    if t != FALLBACK:
+                        k = label[start] * vocabulary + t
+                        agree = pairs.get(k)
+                        if agree is None:
+                            agree = self._agree(label[start], t)
                     if agree:
-                        there = layers[end]
-                        if there is None:
-                            layers[end] = {t: a}
-                        else:
-                            there[t] = a
+                        label[end] = t
+                        here = end
                         break
-            if s[pos] not in root or "" not in root[s[pos]]:
-                there = layers[pos + 1] = layers[pos + 1] or {}
-                there[FALLBACK] = next(iter(here))
-        last = layers[n]
-        if last is None:
-            raise RuntimeError("the composed machine has no finite path")
-        t, out = next(iter(last)), []
+            else:
+                raise RuntimeError("the composed machine has no finite path")
+        out = []
         while n:
+            t = label[n]
             out.append(t)
-            before = layers[n][t]
             n -= 1 if t == FALLBACK else self.size[t]
-            t = before
         return out[::-1]
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Path of a word behind a space, or of a word behind a line end that it begins with."""
         if word[:1] == "\n":
-            return self.line + (self._path(word[1:]) if len(word) > 1 else ())
-        return self._path(MARK + word)
+            return self.line + (self._parts(word[1:]) if len(word) > 1 else ())
+        return self._parts(MARK + word)
+
+    def _parts(self, s: str) -> tuple[int, ...]:
+        """Path of a segment from those of its parts, cut where no piece spans two characters."""
+        spanned, at, out = self.spanned, 0, None
+        for i in range(1, len(s)):
+            if s[i - 1 : i + 1] not in spanned:
+                out = (out or ()) + self._runs[s[at:i]]
+                at = i
+        return self._runs[s] if out is None else out + self._runs[s[at:]]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
