@@ -33,6 +33,7 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -45,8 +46,8 @@ from .common import bounded_batches
 
 MARK = "▁"
 MODEL_BYTES = 16 << 20
-#: Bytes of remembered words and of their parts (in each of two generations), and remembered neighbour conditions of a process.
-WORD_BYTES, PART_BYTES, PAIRS = 16 << 20, 64 << 20, 300_000
+#: Bytes of remembered words and of their parts (in each of two generations), and places for remembered neighbour conditions (8 bytes each).
+WORD_BYTES, PART_BYTES, PAIRS = 16 << 20, 64 << 20, 1 << 22
 #: Label of a fallback arc in a path.
 FALLBACK = -2
 
@@ -155,7 +156,8 @@ class Transducer:
         # neighbours that some piece holds; between others the machine falls apart
         self.spanned = frozenset(a + b for p in self.ids for a, b in zip(p, p[1:], strict=False))
         self.worst = 10.0 - min((self.score[i] for i in self.ids.values()), default=0.0)
-        self._pairs: dict[int, bool] = {}
+        # 2 (condition's key) + (its answer) at a place that the key's hash gives; a later key takes the place
+        self._pairs = array("q", [-1]) * PAIRS
         self._built: dict[int, tuple[list[float], list[str], list[str]]] = {}
         self._words = Remembered(self._word, WORD_BYTES)
         self._runs = Remembered(self._path, PART_BYTES)
@@ -195,39 +197,32 @@ class Transducer:
         return known
 
     def _agree(self, a: int, b: int) -> bool:
-        """Whether two pieces may stand side by side in a merge model.
+        """Whether two pieces may stand side by side in a merge model; FALLBACK is a start or a character without a piece.
 
         Both pieces are built merge by merge, the better next merge first, the
         left one among equals; they agree if no merge across their border is
         ever the best.
         """
-        k = a * len(self.score) + b
-        known = self._pairs.get(k)
-        if known is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            if a == FALLBACK:  # nothing merges across a start or a character without a piece
-                known = self._pairs[k] = self._whole(b)
-                return known
-            (sa, _, ra), (sb, lb, _) = self._steps(a), self._steps(b)
-            ids, score, i, j = self.ids, self.score, 0, 0
-            low = float("-inf")
-            known = ra[-1] == self.piece[a] and lb[-1] == self.piece[b]
-            while known:
-                x = ids.get(ra[i] + lb[j])
-                across = low if x is None else score[x]
-                na = sa[i] if i < len(sa) else None
-                y = sb[j] if j < len(sb) else None
-                if na is not None and (y is None or na >= y) and na >= across:
-                    i += 1
-                elif x is not None and (y is None or across >= y):
-                    known = False
-                elif y is not None:
-                    j += 1
-                else:
-                    break
-            self._pairs[k] = known
-        return known
+        if a == FALLBACK:
+            return self._whole(b)
+        (sa, _, ra), (sb, lb, _) = self._steps(a), self._steps(b)
+        if ra[-1] != self.piece[a] or lb[-1] != self.piece[b]:
+            return False
+        ids, score, i, j = self.ids, self.score, 0, 0
+        low = float("-inf")
+        while True:
+            x = ids.get(ra[i] + lb[j])
+            across = low if x is None else score[x]
+            na = sa[i] if i < len(sa) else None
+            y = sb[j] if j < len(sb) else None
+            if na is not None and (y is None or na >= y) and na >= across:
+                i += 1
+            elif x is not None and (y is None or across >= y):
+                return False
+            elif y is not None:
+                j += 1
+            else:
+                return True
 
     def _whole(self, t: int) -> bool:
         """Whether merging a piece's text gives the piece."""
@@ -274,7 +269,7 @@ class Transducer:
         A finite path to a position is the merge result of the text before it,
         hence the only one: the first label that reaches a position stays.
         """
-        ids, root, pairs, vocabulary = self.ids, self.root, self._pairs, len(self.score)
+        ids, root, pairs, vocabulary, last = self.ids, self.root, self._pairs, len(self.score), PAIRS - 1
         whole = ids.get(s)
         if whole is not None and self._whole(whole):
             return [whole]
@@ -300,10 +295,13 @@ class Transducer:
                 if label[end] is None:
                     agree = True
                     if t != FALLBACK:
-                        k = label[start] * vocabulary + t
-                        agree = pairs.get(k)
-                        if agree is None:
+                        k = (label[start] + 2) * vocabulary + t
+                        place = (k * 0x9E3779B1 >> 9) & last
+                        known = pairs[place]
+                        agree = known & 1
+                        if known >> 1 != k:
                             agree = self._agree(label[start], t)
+                            pairs[place] = 2 * k + agree
                     if agree:
                         label[end] = t
                         here = end
