@@ -105,7 +105,10 @@ def representation_endpoint(mode: ColumnLike) -> Column:
 
 
 def six_digits(x: ColumnLike) -> Column:
-    """A number as text with six significant digits, no trailing zeros, and an exponent below 0.0001 or from a million on."""
+    """A number as text with six significant digits, no trailing zeros, and an exponent below 0.0001 or from a million on.
+
+    A number whose shortest decimal form ends in a half rounds up, also where its binary value lies below the half.
+    """
     v = F.abs(_c(x))
     # the exponent after rounding to six digits
     e = F.floor(F.log10(v))
