@@ -176,10 +176,11 @@ def held_out_folds(spark, d):
     return tidy(G.fold_summary(_held_out(spark, d), "grp"), 6)
 
 
-@query("held_out_summary", f"""with {FOLD} select count(*) as n_folds, round(median(rho), 6) as rho_median, round(min(rho), 6) as rho_low, round(max(rho), 6) as rho_high, count(rho) as rho_valid, count(*) filter (rho > 0) as rho_favourable,
- round(median(lift), 6) as lift_median, round(min(lift), 6) as lift_low, round(max(lift), 6) as lift_high, count(lift) as lift_valid, count(*) filter (lift > 1) as lift_favourable from hf""")
+@query("held_out_summary", f"""with {FOLD} select count(*) as n_folds, round(median(rho), 6) as rho_median, round(min(rho), 6) as rho_low, round(max(rho), 6) as rho_high, count(rho) as rho_valid, count(*) filter (round(rho, 9) > 0) as rho_favourable,
+ round(median(lift), 6) as lift_median, round(min(lift), 6) as lift_low, round(max(lift), 6) as lift_high, count(lift) as lift_valid, count(*) filter (round(lift, 9) > 1) as lift_favourable from hf""")
 def held_out_summary(spark, d):
-    return tidy(G.cross_summary(G.fold_summary(_held_out(spark, d), "grp")), 6)
+    folds = G.fold_summary(_held_out(spark, d), "grp").withColumns({m: F.round(m, 9) for m in ("rho", "lift")})
+    return tidy(G.cross_summary(folds), 6)
 
 
 @query("coefficient_stability_two", f"""with {FOLD}, l as (select 'x1' as feature, b1 as v from co union all select 'x2', b2 from co) select feature, round(median(v), 6) as median, round(min(v), 6) as low, round(max(v), 6) as high, count(*) as n_folds,
