@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
 #: Roles with a header of their own, and the strings that control the format (fixed values).
 ROLES = {"system": "### System:", "user": "### User:", "assistant": "### Assistant:"}
@@ -101,7 +101,7 @@ def encoded_turns(turns: DataFrame, ranks: bytes, pattern: str, conv: str = "con
     plain = turns.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # NULL ids travel as text, since a pandas column of integers has none
     plain = plain.select(F.col("conv").cast("string").alias("conv"), F.col("turn").cast("string").alias("turn"), "role", "text")
-    done = plain.mapInPandas(run, "conv string, turn string, role string, key string, ids array<int>, n_head int, n_body int")
+    done = plain.mapInPandas(lean(run), "conv string, turn string, role string, key string, ids array<int>, n_head int, n_body int")
     return done.select(F.col("conv").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "key", "ids", "n_head", "n_body")
 
 
@@ -126,7 +126,7 @@ def assemble(encoded: DataFrame) -> DataFrame:
             yield pd.DataFrame({"conv": b["conv"], "place": places, "start": starts, "mask_from": lo, "mask_to": hi, "ids": b["ids"]})
 
     text = placed.withColumn("conv", F.coalesce(F.col("conv").cast("string"), F.lit("")))
-    return text.mapInPandas(run, "conv string, place long, start long, mask_from long, mask_to long, ids array<int>")
+    return text.mapInPandas(lean(run), "conv string, place long, start long, mask_from long, mask_to long, ids array<int>")
 
 
 def read_back(assembled: DataFrame, ranks: bytes, pattern: str, conv: str = "conv_id") -> DataFrame:
@@ -165,5 +165,5 @@ def read_back(assembled: DataFrame, ranks: bytes, pattern: str, conv: str = "con
         if state is not None:
             yield pd.DataFrame([close()], columns=["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    done = assembled.mapInPandas(run, "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    done = assembled.mapInPandas(lean(run), "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return done.select(F.when(F.col("conv") != "", F.col("conv")).cast("long").alias(conv), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

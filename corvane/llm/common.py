@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,43 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Tables that operators keep in a worker process for their next task, by operator.
+WORKER_TABLES: dict[str, dict] = {}
+
+
+def _drop_tables(owner: str | None) -> None:
+    """Empties the tables of all operators but ``owner``; what they hold may refer to itself, so it is collected."""
+    others = [kept for name, kept in WORKER_TABLES.items() if name != owner and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+
+
+def _trim() -> None:
+    """Gives freed memory back to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], owner: str | None = None) -> Callable[[Iterator], Iterator]:
+    """A task function that drops the tables other operators than ``owner`` keep in its worker, and leaves no freed memory behind.
+
+    Workers are used again and again, by the tasks of all operators in turn.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        _drop_tables(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return task
+
+
 def lower_az(text: Column) -> Column:
     """A-Z to a-z and nothing else. ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Stored
-from .common import bounded_batches, hot_join, if_small
+from .common import bounded_batches, hot_join, if_small, lean
 from .url_filter import host_path
 
 # Kinds of elements (fixed values).
@@ -415,7 +415,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                     c.append(beside or page_hash)
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (r, h, s)], pa.array(edge, pa.bool_()), pa.array(c, pa.int64())], names=["_r", "_h", "_s", "_edge", "_c"])
 
-    trees = Stored(rows.mapInArrow(hashes, "_r long, _h long, _s long, _edge boolean, _c long"), "html-trees").df
+    trees = Stored(rows.mapInArrow(lean(hashes), "_r long, _h long, _s long, _edge boolean, _c long"), "html-trees").df
     total = trees.count()
     hosts = Stored(rows.groupBy("_h").agg(F.count_distinct("_r").alias("_pages")), "html-hosts").df
     # copies of one page, and edge blocks beside equal blocks, collapse before they are counted
@@ -439,4 +439,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=[key, url, "text", "n_chars", "n_template"])
 
     kind = dict(pages.dtypes)
-    return joined.mapInArrow(texts, f"`{key}` {kind[key]}, `{url}` {kind[url]}, text string, n_chars long, n_template long")
+    return joined.mapInArrow(lean(texts), f"`{key}` {kind[key]}, `{url}` {kind[url]}, text string, n_chars long, n_template long")

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Stored
-from .common import bounded_batches, hot_join, if_small
+from .common import bounded_batches, hot_join, if_small, lean
 from .components import components
 from .shingles import shingle_sets
 
@@ -136,7 +136,7 @@ def dealt_tokens(texts: DataFrame, k: int, bits: int, block_bytes: int) -> DataF
                 m = len(some)
                 yield pa.RecordBatch.from_arrays([pa.array([part + number] * m, pa.int64()), pa.array(bucket[cut[at : at + m]].astype(np.int64)), pa.array([packed[cut[i] : ends[i]].tobytes() for i in some], pa.binary()), *_about_nothing(m)], schema=_DEALT)
 
-    return texts.mapInArrow(run, f"block long, bucket long, tokens binary, {_ABOUT_SCHEMA}")
+    return texts.mapInArrow(lean(run), f"block long, bucket long, tokens binary, {_ABOUT_SCHEMA}")
 
 
 def counted_tokens(dealt: DataFrame, bits: int) -> DataFrame:
@@ -184,7 +184,7 @@ def counted_tokens(dealt: DataFrame, bits: int) -> DataFrame:
                 blocks.append(block)
         yield from close()
 
-    return dealt.mapInArrow(run, f"block long, rows binary, tokens binary, counts binary, {_ABOUT_SCHEMA}")
+    return dealt.mapInArrow(lean(run), f"block long, rows binary, tokens binary, counts binary, {_ABOUT_SCHEMA}")
 
 
 def band_of(n: int, num: int, den: int) -> int:
@@ -268,7 +268,7 @@ def index_rows(counted: DataFrame, num: int, den: int, rare_most: int) -> DataFr
         if current is not None:
             yield from close()
 
-    return counted.mapInArrow(run, "id long, h long, n long, s1 long, s2 long, v long, own double, tokens binary, keys array<long>, rooms array<long>")
+    return counted.mapInArrow(lean(run), "id long, h long, n long, s1 long, s2 long, v long, own double, tokens binary, keys array<long>, rooms array<long>")
 
 
 def _fits(num: int, den: int) -> Column:
@@ -311,7 +311,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                     out_b.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(check, "a long, b long")
+    return rows.mapInArrow(lean(check), "a long, b long")
 
 
 def _classes(edges: DataFrame, label: str) -> DataFrame:

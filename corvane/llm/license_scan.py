@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
 # Public licences by SPDX identifier, with the names that reference sentences use, and what they permit (fixed values).
 NAMES = {
@@ -364,4 +364,4 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lic, pa.list_(pa.string())), pa.array(ids, pa.list_(pa.string())), pa.array(n, pa.int64()), pa.array(verdict, pa.string())], names=[key, "licences", "sentences", "n_sentences", "verdict"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, licences array<string>, sentences array<string>, n_sentences long, verdict string")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {kind}, licences array<string>, sentences array<string>, n_sentences long, verdict string")

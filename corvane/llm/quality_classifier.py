@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 from .shingles import _MIX, _words
 
 BITS = 17
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["_id", "_y", "x"])
 
     kind = dict(docs.dtypes)[key]
-    coded = chosen.select("_id", "_t", "_y").mapInArrow(encode, f"_id {kind}, _y int, x binary").groupBy("_id", "_y").agg(F.min("x").alias("x")).withColumn("_o", F.xxhash64("_id"))
+    coded = chosen.select("_id", "_t", "_y").mapInArrow(lean(encode), f"_id {kind}, _y int, x binary").groupBy("_id", "_y").agg(F.min("x").alias("x")).withColumn("_o", F.xxhash64("_id"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         arrays = [m.pop(k).tobytes() if k in m else None for k in ("ratio", "w")]
         yield pa.RecordBatch.from_arrays([pa.array([arrays[0]], pa.binary()), pa.array([arrays[1]], pa.binary()), pa.array([json.dumps(m)], pa.string())], names=["ratio", "w", "rest"])
 
-    row = coded.repartition(1).mapInArrow(learn, "ratio binary, w binary, rest string").first()
+    row = coded.repartition(1).mapInArrow(lean(learn), "ratio binary, w binary, rest string").first()
     if row is None:
         return {"constant": prior}
     model = json.loads(row["rest"])
@@ -248,4 +248,4 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=names)
 
     schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, `{out}` double")
+    return docs.mapInArrow(lean(run), f"{schema}, `{out}` double")

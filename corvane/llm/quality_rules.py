@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import Stored
-from .common import WORD_RE, bounded_batches, hot_join
+from .common import WORD_RE, bounded_batches, hot_join, lean
 
 SYMBOLS = "#*$%&|<>"
 #: Bands of scripts with too few texts, on the pieces: least and most characters per token, most byte share, least entropy (fixed values).
@@ -197,7 +197,7 @@ def measured(docs: DataFrame, model: bytes, ranks: bytes, pattern: str, key: str
 
     kind = dict(docs.dtypes)[key]
     schema = ", ".join([f"_key {kind}", *[f"{c} long" for c in counts], "base_failed boolean", *[f"{m} double" for m in MEASURES], "n_tokens long", "language string", "script string"])
-    return docs.select(F.col(key), F.col(text), F.col(lang).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text), F.col(lang).cast("string")).mapInArrow(lean(run), schema)
 
 
 def _fences(cells: DataFrame, by: list[str], width: float) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import WORKER_TABLES, bounded_batches, lean
 
 MARK = "▁"
 MODEL_BYTES = 16 << 20
@@ -355,11 +355,11 @@ class Transducer:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
-_compiled: dict[bytes, Transducer] = {}
+_compiled: dict[bytes, Transducer] = WORKER_TABLES.setdefault("sentencepiece", {})
 
 
 def compiled(model: bytes) -> Transducer:
-    """The transducer of a model, kept with its bounded tables for the next task of the same worker process; one model at a time."""
+    """The transducer of a model, kept with its bounded tables for the worker process's next task, unless that is another operator's; one model at a time."""
     key = hashlib.sha256(model).digest()
     if key not in _compiled:
         _compiled.clear()
@@ -401,7 +401,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *RESULTS])
 
     schema = ", ".join(f"`{c}` {k}" for c, k in docs.select(*keep).dtypes)
-    return frame.mapInArrow(run, f"{schema}, ids array<int>, n_tokens long, n_byte_tokens long, decoded_sha256 string, roundtrip boolean")
+    return frame.mapInArrow(lean(run, "sentencepiece"), f"{schema}, ids array<int>, n_tokens long, n_byte_tokens long, decoded_sha256 string, roundtrip boolean")
 
 
 def decode(tokens: DataFrame, model: bytes, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -416,4 +416,4 @@ def decode(tokens: DataFrame, model: bytes, ids: str = "ids", out: str = "text")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t.decode(x or []) for x in b.column(at).to_pylist()], pa.string())], names=names)
 
     schema = ", ".join(f"`{c}` {k}" for c, k in tokens.dtypes)
-    return tokens.mapInArrow(run, f"{schema}, `{out}` string")
+    return tokens.mapInArrow(lean(run, "sentencepiece"), f"{schema}, `{out}` string")

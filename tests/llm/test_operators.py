@@ -484,6 +484,25 @@ def test_merge_path_agrees_with_neighbours_only():
         assert t.encode(s) == sp.encode(s), s
 
 
+def test_tasks_of_other_operators_drop_the_transducer():
+    import gc
+    import weakref
+
+    from corvane.llm import common
+
+    model = sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model"))
+    alive = weakref.ref(sentencepiece_fst.compiled(model))
+    assert list(common.lean(iter, "sentencepiece")([1, 2])) == [1, 2]
+    assert alive() is not None and sentencepiece_fst.compiled(model) is alive()
+    gc.disable()  # the drop itself must free the tables
+    try:
+        assert list(common.lean(iter)([3])) == [3]
+        assert alive() is None
+    finally:
+        gc.enable()
+    assert sentencepiece_fst.compiled(model).encode("a b")
+
+
 def test_encode_and_decode_frames(spark):
     model = sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model"))
     docs = frame(spark)
