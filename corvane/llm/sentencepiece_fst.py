@@ -47,7 +47,7 @@ from .common import WORKER_TABLES, bounded_batches, lean
 MARK = "▁"
 MODEL_BYTES = 16 << 20
 #: Bytes of remembered words and of their parts (in each of two generations), and places for remembered neighbour conditions (8 bytes each).
-WORD_BYTES, PART_BYTES, PAIRS = 16 << 20, 64 << 20, 1 << 22
+WORD_BYTES, PART_BYTES, PAIRS = 16 << 20, 64 << 20, 1 << 20
 #: Label of a fallback arc in a path.
 FALLBACK = -2
 
