@@ -323,12 +323,13 @@ class Transducer:
 
     def _parts(self, s: str) -> tuple[int, ...]:
         """Path of a segment from those of its parts, cut where no piece spans two characters."""
-        spanned, at, out = self.spanned, 0, None
+        spanned, runs, at = self.spanned, self._runs, 0
+        out: list[int] = []
         for i in range(1, len(s)):
             if s[i - 1 : i + 1] not in spanned:
-                out = (out or ()) + self._runs[s[at:i]]
+                out.extend(runs[s[at:i]])
                 at = i
-        return self._runs[s] if out is None else out + self._runs[s[at:]]
+        return (*out, *runs[s[at:]]) if at else runs[s]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -448,6 +449,19 @@ def _unigram_model(fallback=True):
     return m.SerializeToString()
 
 
+@pytest.mark.parametrize("text", ["".join(chr(0x4E00 + i * 37 % 5000) for i in range(330_000)), "0123456789" * 100_000, "é" * 500_000], ids=["chinese", "digits", "accents"])
+def test_texts_that_fall_apart_take_linear_time(text):
+    """A million bytes without a space, whose characters no piece spans."""
+    import sentencepiece
+
+    model = sentencepiece_fst.load_model(vocabulary("piece_bpe_32k.model"))
+    t, sp = sentencepiece_fst.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    began = time.process_time()
+    got = t.encode(text)
+    assert time.process_time() - began < 5
+    assert got == sp.encode(text)
+
+
 def test_unigram_transducer_equals_library_and_every_path():
     import itertools
 
