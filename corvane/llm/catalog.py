@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, sentencepiece_fst, url_filter
+from . import chat_format, exact_dedup, html_extract, jaccard_join, license_scan, mixing, prefix_trie, quality_classifier, quality_rules, sentencepiece_fst, url_filter
 from .common import LOWER, UPPER, table
 
 #: Split pattern of the byte-level vocabularies (fixed value).
@@ -161,6 +161,25 @@ def op10_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat_format.read_back(chat_format.assemble(encoded), ranks, GPT_PATTERN)
 
 
+#: CRC-32 of the decimal id, bit by bit, over its characters.
+CRC_SQL = """xor(4294967295, list_reduce([4294967295::bigint] || list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i::int, 1))::bigint),
+  lambda a, b: list_reduce([xor(a, b)] || range(1, 9), lambda x, y: xor(x >> 1, case when x % 2 = 1 then 3988292384 else 0 end))))"""
+TRIE_SQL = f"""with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from conversations),
+ c as (select conv_id, conv_id - conv_id % 20 as base, {CRC_SQL} % 4 as h from t group by conv_id),
+ r as (select c.conv_id, b.i, b.role, b.text from c join t b on b.conv_id = c.base and b.i <= c.h union all select c.conv_id, t.i + 4, t.role, t.text from c join t on t.conv_id = c.conv_id and t.i > c.h),
+ d as (select conv_id, row_number() over w as d, len(regexp_extract_all(text, '{SQL_WORD}')) as words, md5(string_agg(md5(role) || md5(text), ',') over w) as k, i from r window w as (partition by conv_id order by i)),
+ e as (select conv_id, d, words, k, lag(k) over (partition by conv_id order by d) as up, d = max(d) over (partition by conv_id) as last from d union all select conv_id, 0, 0, '', null, not exists(select 1 from d where d.conv_id = c.conv_id) from c),
+ n as (select k, d, min(conv_id) as conv_id, count(*) as n, max(words) as words, max(case when d = 1 then '' else up end) as up, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (last), '')) as ends_sha256 from e group by k, d),
+ s as (select n.*, (select count(*) from n x where x.up = n.k and x.d = n.d + 1) as n_children from n),
+ b as (select a.k, sum((s.n - 1) * s.words) as saved, count(*) filter (s.n_children = 0) as leaves from (select distinct a.k, b.k as below from e a join e b on a.conv_id = b.conv_id and b.d >= a.d) a join s on s.k = a.below group by a.k)
+ select s.conv_id, s.d as depth, p.conv_id as parent_conv_id, s.n as n_convs, s.n_children, b.leaves as n_leaves, cast(b.saved as bigint) as saved_tokens, s.ends_sha256 from s join b using (k) left join s p on p.k = s.up and p.d = s.d - 1"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, d, "conversations"))
+
+
 def _pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
