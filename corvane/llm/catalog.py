@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, jaccard_join, license_scan, mixing, prefix_trie, quality_classifier, quality_rules, sentencepiece_fst, url_filter
+from . import chat_format, exact_dedup, html_extract, jaccard_join, lexical_search, license_scan, mixing, prefix_trie, quality_classifier, quality_rules, sentencepiece_fst, url_filter
 from .common import LOWER, UPPER, table
 
 #: Split pattern of the byte-level vocabularies (fixed value).
@@ -161,6 +161,23 @@ def op10_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat_format.read_back(chat_format.assemble(encoded), ranks, GPT_PATTERN)
 
 
+#: Terms: letters and digits of ASCII and all other characters.
+SQL_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+SEARCH_SQL = f"""with d as (select doc_id, row_number() over () as r, regexp_extract_all({NORM}, '{SQL_TERM}') as t from documents),
+ s as (select count(*) filter (len(t) > 0) as nn, cast(sum(len(t)) as bigint) as ll from d),
+ p as (select r, doc_id, n, term, count(*) as tf from (select r, doc_id, len(t) as n, unnest(t) as term from d) group by all),
+ w as (select term, cast(floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1))) as bigint) as w from p, s group by term, nn),
+ i as (select row_number() over () as i, item_id, list_distinct(regexp_extract_all({NORM}, '{SQL_TERM}')) as t from benchmark), q as (select i, item_id, unnest(t) as term from i),
+ f as (select i, item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) as bigint) as score from q join p using (term) join w using (term), s group by all),
+ k as (select *, row_number() over (partition by i order by score desc, doc_id nulls last, r) as rank from f where score > 0)
+ select item_id, cast(rank as int) as rank, doc_id, score from k where rank <= 50"""
+
+
+@query("op11_lexical_search", SEARCH_SQL)
+def op11_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return lexical_search.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 #: CRC-32 of the decimal id, bit by bit, over its characters.
 CRC_SQL = """xor(4294967295, list_reduce([4294967295::bigint] || list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i::int, 1))::bigint),
   lambda a, b: list_reduce([xor(a, b)] || range(1, 9), lambda x, y: xor(x >> 1, case when x % 2 = 1 then 3988292384 else 0 end))))"""
