@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, jaccard_join, lexical_search, license_scan, mixing, prefix_trie, quality_classifier, quality_rules, sentencepiece_fst, url_filter
+from . import chat_format, exact_dedup, html_extract, jaccard_join, lexical_search, license_scan, mixing, prefix_trie, quality_classifier, quality_rules, sentencepiece_fst, substring_dedup, url_filter
 from .common import LOWER, UPPER, table
 
 #: Split pattern of the byte-level vocabularies (fixed value).
@@ -178,6 +178,19 @@ def op11_lexical_search(spark: SparkSession, d: str) -> DataFrame:
     return lexical_search.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+REPEATS_SQL = f"""with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{SQL_WORD}') as w from documents),
+ x as (select r, doc_id, unnest(range(1, len(w) - 11)) as i, unnest(list_transform(range(1, len(w) - 11), lambda i: md5(array_to_string(w[i:i + 12], ' ')))) as h from d where len(w) >= 13),
+ m as (select h, min(doc_id) as m from x group by h), g as (select distinct r, unnest(range(i, i + 13)) as j from x join m using (h) where m < doc_id),
+ k as (select r, unnest(range(1, len(w) + 1)) as j, unnest(w) as word from d)
+ select d.doc_id, cast(len(any_value(d.w)) as bigint) as n_words, count(g.j) as n_removed, sha256(coalesce(string_agg(k.word, ' ' order by k.j) filter (g.j is null), '')) as kept_sha256
+ from d left join k using (r) left join g on g.r = k.r and g.j = k.j group by d.r, d.doc_id"""
+
+
+@query("op12_substring_dedup", REPEATS_SQL)
+def op12_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 #: CRC-32 of the decimal id, bit by bit, over its characters.
 CRC_SQL = """xor(4294967295, list_reduce([4294967295::bigint] || list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i::int, 1))::bigint),
   lambda a, b: list_reduce([xor(a, b)] || range(1, 9), lambda x, y: xor(x >> 1, case when x % 2 = 1 then 3988292384 else 0 end))))"""
