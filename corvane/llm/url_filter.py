@@ -3,7 +3,7 @@
 Built-in expressions only. URLs first collapse to (host, typed path), where
 numbers, hexadecimal ids and dates are already wildcards; the tree is grown
 on these rows, so a host with any share of the pages is a few rows, down to
-the last segment of its deepest path. At each depth of a host, siblings whose labelled share does not differ from their
+the last segment of its deepest path, one round for each branching. Where a host's paths branch, siblings whose labelled share does not differ from their
 parent's pool (z test) merge: into "*" those that are rare among many siblings,
 into "~" the others. A segment whose share differs stays its own, however rare,
 so no branch is lost in the size of its host. Segments without labels merge only where rare. A template is rejected if its share of bad labels,
@@ -64,23 +64,38 @@ def typed_path(path: Column) -> Column:
     return F.concat_ws("/", F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), typed_segment))
 
 
+def _shared(rows: DataFrame, total: int, siblings: int) -> DataFrame:
+    """Rows with the segments that all rows of their branch share moved from ``_rest`` to the template.
+
+    All of them if the branch cannot merge anywhere: it is one row, or has no labels and too few rows for rare siblings.
+    """
+    branch = rows.groupBy("host", "template").agg(F.min("_rest").alias("_lo"), F.max("_rest").alias("_hi"), F.sum("n_lab").alias("_l"), F.count(F.lit(1)).alias("_rows"))
+    # what the first and the last path share, all between them share
+    differ = F.array_position(F.zip_with("_lo", "_hi", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    same = F.when(differ > 0, differ - 1).otherwise(F.size("_lo")).cast("int")
+    settled = (F.col("_rows") == 1) | ((F.col("_l") == 0) & (F.col("_rows") <= siblings))
+    step = Stored(branch.select("host", "template", F.when(settled, F.lit(2**30)).otherwise(same).alias("_k"), F.col("_rows").alias("_weight")), "url-shared").df
+    joined = hot_join(rows, step, ["host", "template"], "_weight", total)
+    k = F.least("_k", F.size("_rest"))
+    longer = F.when(k > 0, F.concat_ws("/", F.col("template"), F.array_join(F.slice("_rest", 1, k), "/"))).otherwise(F.col("template"))
+    rest = F.slice("_rest", k + 1, F.size("_rest") - k)
+    return joined.select("host", "typed", "n", "n_lab", "n_bad", rest.alias("_rest"), longer.alias("template"))
+
+
 def templates(typed: DataFrame, siblings: int = 20, share: float = 0.02, z: float = 1.96) -> DataFrame:
-    """(host, typed, n, n_lab, n_bad, template) from (host, typed, n, n_lab, n_bad): the tree, one level at a time, down to the last segment.
+    """(host, typed, n, n_lab, n_bad, template) from (host, typed, n, n_lab, n_bad): the tree, one branching at a time, down to the last segment.
 
-    Rows leave when their path ends, or when they are alone in their branch, which cannot split any more.
+    Segments that a whole branch shares are passed in one step, so rounds follow
+    the branchings of a path, not its segments. Rows leave when their path ends or their branch cannot merge.
     """
-    level = 0
-    stored = Stored(typed.withColumn("_seg", F.split("typed", "/")).withColumn("template", F.lit("")).withColumn("_done", F.lit(False)), "url-level")
+    stored = Stored(typed.withColumn("_rest", F.filter(F.split("typed", "/"), lambda x: x != "")).withColumn("template", F.lit("")).withColumn("_done", F.lit(False)), "url-level")
     paths = [stored.path]
     while True:
-        rows = stored.df.filter("not _done")
-        total, deepest = rows.agg(F.count(F.lit(1)), F.max(F.size("_seg"))).first()
+        rows = stored.df.filter("not _done").drop("_done")
+        total = rows.count()
         if not total:
             break
-        if deepest <= level:  # every path has ended
-            paths.append(Stored(rows.withColumn("_done", F.lit(True)), "url-level").path)
-            break
-        here = rows.withColumn("_s", F.coalesce(F.get("_seg", F.lit(level)), F.lit("")))
+        here = Stored(_shared(rows, total, siblings).withColumn("_s", F.coalesce(F.get("_rest", F.lit(0)), F.lit(""))), "url-here").df
         child = Stored(here.groupBy("host", "template", "_s").agg(F.sum("n").alias("_n"), F.sum("n_lab").alias("_l"), F.sum("n_bad").alias("_b"), F.count(F.lit(1)).alias("_rows")), "url-children").df
         parent = child.groupBy("host", "template").agg(F.sum("_n").alias("_pn"), F.sum("_l").alias("_pl"), F.sum("_b").alias("_pb"), F.count(F.lit(1)).alias("_kids"))
         kids = child.count()
@@ -92,16 +107,14 @@ def templates(typed: DataFrame, siblings: int = 20, share: float = 0.02, z: floa
         alike = (F.col("_s") != "") & (F.col("_kids") > 1) & (F.col("_l") > 0) & (F.coalesce(F.abs(score), F.lit(0.0)) <= z)
         blank = (F.col("_s") != "") & (F.col("_l") == 0) & rare
         name = F.when(F.col("_s") == "", "").when((alike & rare) | blank, "*").when(alike, "~").otherwise(F.col("_s"))
-        alone = (F.col("_kids") == 1) & (F.col("_rows") == 1)
-        step = Stored(known.select("host", "template", "_s", name.alias("_name"), alone.alias("_alone"), F.col("_rows").alias("_weight")), "url-names").df
+        step = Stored(known.select("host", "template", "_s", name.alias("_name"), F.col("_rows").alias("_weight")), "url-names").df
         joined = hot_join(here, step, ["host", "template", "_s"], "_weight", total)
-        tail = F.when(F.col("_alone"), F.array_join(F.slice("_seg", level + 1, F.greatest(F.size("_seg") - level, F.lit(0))), "/")).otherwise(F.col("_name"))
-        longer = F.concat_ws("/", F.col("template"), F.when(F.col("_name") != "", tail))
-        stored = Stored(joined.select("host", "typed", "n", "n_lab", "n_bad", "_seg", longer.alias("template"), (F.col("_alone") | (F.col("_s") == "")).alias("_done")), "url-level")
+        longer = F.when(F.col("_name") == "", F.col("template")).otherwise(F.concat_ws("/", "template", "_name"))
+        rest = F.slice("_rest", 2, F.greatest(F.size("_rest") - 1, F.lit(0)))
+        stored = Stored(joined.select("host", "typed", "n", "n_lab", "n_bad", rest.alias("_rest"), longer.alias("template"), (F.col("_s") == "").alias("_done")), "url-level")
         paths.append(stored.path)
-        level += 1
-    # one scan of all levels; every row is done in one of them
-    return stored.spark.read.schema(stored.schema).parquet(*paths).filter("_done").drop("_seg", "_done")
+    # one scan of all rounds; every row is done in one of them
+    return stored.spark.read.schema(stored.schema).parquet(*paths).filter("_done").drop("_rest", "_done")
 
 
 def judge(rows: DataFrame, reject: float = 0.5, lift: float = 2.0, z_reject: float = 1.645, k_template: float = 10.0, k_host: float = 50.0) -> DataFrame:

@@ -386,6 +386,18 @@ def test_url_branches_split_below_the_third_segment(spark):
     assert got[301]["template"].endswith("/spam/<n>") and got[1000]["template"].endswith("/a/a/end") and got[1001]["template"] == ""
 
 
+def test_url_paths_of_many_shared_segments(spark):
+    """A crawler trap: one host's pages share 1,000 segments, branch, and share 200 more."""
+    deep, more = "t/" * 1000, "u/" * 200
+    pages = [(i, f"http://h.org/{deep}{('news', 'spam')[i % 2]}/{more}{i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "page_id long, bad int")
+    began = time.time()
+    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels, []).collect()}
+    assert time.time() - began < 60
+    assert len(got) == 300 and all((got[i]["verdict"] == "block") == bool(i % 2) for i in range(300))
+    assert got[299]["template"] == f"/{deep}spam/{more}<n>"
+
+
 def test_classifier_learns_and_handles_odd_rows(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(_words(rng, 60)) if i % 3 else " ".join(w + "***" for w in _words(rng, 60)), "en", "a", "x", "y") for i in range(300)]
