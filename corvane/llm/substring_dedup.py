@@ -365,8 +365,9 @@ def windows_left(blocks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
             doc = block.ids[block.doc[at]]
             d1, d2, least, place = least_docs(h1, h2, doc)
             decided[at[doc > least[place]]] = True
-            ask = np.flatnonzero(doc == least[place])
-            told = pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([-1], pa.int64()), pa.array([np.packbits(decided).tobytes()], pa.binary()), pa.array([at[ask].astype(np.int64).tobytes()], pa.binary()), pa.array([place[ask].astype(np.int64).tobytes()], pa.binary())], schema=_SCHEMA)
+            asked = np.zeros(len(decided), bool)
+            asked[at[doc == least[place]]] = True
+            told = pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([-1], pa.int64()), pa.array([np.packbits(decided).tobytes()], pa.binary()), pa.array([np.packbits(asked).tobytes()], pa.binary()), pa.nulls(1, pa.binary())], schema=_SCHEMA)
             yield told
             yield from _deal(row["block"], 1 << bits, bits, d1, d2, least)
 
@@ -402,9 +403,10 @@ def results(blocks: DataFrame, answers: DataFrame, key: str, texts: bool) -> Dat
             n = len(block.words)
             told = next(x for x in back if x[0] == -1)
             removed = np.unpackbits(np.frombuffer(told[1], np.uint8), count=n).astype(bool)
-            at, place = np.frombuffer(told[2], np.int64), np.frombuffer(told[3], np.int64)
-            rows = [x for x in back if x[0] >= 0]
-            smaller = _bits(rows, int(place.max()) + 1 if len(place) else 0)
+            # digests are computed again rather than sent along
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(told[2], np.uint8), count=n))
+            distinct, _, _, place = least_docs(*_window_digests(block.words, at), at)
+            smaller = _bits([x for x in back if x[0] >= 0], len(distinct))
             removed[at[smaller[place]]] = True
             cover = np.zeros(n + WINDOW + 1, np.int32)
             np.add.at(cover, np.flatnonzero(removed), 1)
