@@ -53,11 +53,23 @@ def op6_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.filter_urls(pages, labels, URL_RULES)
 
 
-ROUND = """, e{i} as (select d.source, d.doc_id, d.size, d.v, s.rest from dv d join s{p} s on d.source is not distinct from s.source where s.rest >= 1 and d.size > 0 and d.size <= s.rest and d.v > s.hi),
+ROUND = """, e{i} as (select d.source, d.doc_id, d.size, d.v, s.rest from dv d join s{p} s on d.source is not distinct from s.source where s.rest > s.near and d.size > 0 and d.size <= s.rest and d.v > s.hi),
  c{i} as (select *, sum(size) over (partition by source order by v) as cum from e{i}),
  p{i} as (select source, max(v) as hi, sum(size) as got from c{i} where cum <= rest group by source),
  t{i} as (select doc_id, source, v from c{i} where cum <= rest),
- s{i} as (select s.source, s.rest - coalesce(got, 0) as rest, coalesce(p.hi, s.hi) as hi from s{p} s left join p{i} p on s.source is not distinct from p.source)"""
+ s{i} as (select s.source, s.near, s.rest - coalesce(got, 0) as rest, coalesce(p.hi, s.hi) as hi from s{p} s left join p{i} p on s.source is not distinct from p.source)"""
+#: One document of each source comes in or goes, whichever brings it nearest. Tables: rows {h} with m (in the mix) and moved, sources {l} with what is left.
+EXCHANGE = """, {h}b{i} as (select h.source, v, size, rest, sum(size) as total, abs(abs(rest) - sum(size)) as off from {h}{p} h join {l}{p} l on h.source is not distinct from l.source
+  where size > 0 and v > 0 and v < 1 and not moved and abs(rest) > near and m = (rest < 0) and size < 2 * abs(rest) group by h.source, v, size, rest),
+ {h}n{i} as (select source, min({{'off': off, 'v': v, 'size': size, 'total': total}}) as b from {h}b{i} where off < abs(rest) group by source),
+ {h}{i} as (select h.* exclude (m, moved), m <> coalesce(n.b.v = h.v and n.b.size = h.size, false) as m, moved or coalesce(n.b.v = h.v and n.b.size = h.size, false) as moved from {h}{p} h left join {h}n{i} n on h.source is not distinct from n.source),
+ {l}{i} as (select l.source, near, rest - coalesce(sign(rest) * n.b.total, 0) as rest from {l}{p} l left join {h}n{i} n on l.source is not distinct from n.source)"""
+#: The last of the ranking go while their words fit what a source has too much.
+EMPTY = """, w{i} as (select h.*, -rest as over_, sum(size) over (partition by h.source order by v desc) as cum from g{p} h join k{p} l on h.source is not distinct from l.source where -rest > near and m and size > 0 and size <= -rest and v > 0 and v < hi and not moved),
+ q{i} as (select source, min(v) as lo, sum(size) as got from w{i} where cum <= over_ group by source),
+ g{i} as (select h.* exclude (m), m and not exists(select 1 from w{i} w where w.cum <= w.over_ and w.doc_id is not distinct from h.doc_id and w.source is not distinct from h.source and w.v = h.v) as m from g{p} h),
+ k{i} as (select l.source, near, rest + coalesce(got, 0) as rest, coalesce(q.lo, hi) as hi from k{p} l left join q{i} q on l.source is not distinct from q.source)"""
+PASSES, EXCHANGES, EMPTIED = 8, 8, 6
 MIX_SQL = f"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{SQL_WORD}')) as bigint) as size,
   (cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 13) as bigint) + 0.5::double) / pow(2.0, 52) as u from documents),
  g as (select source, cast(sum(size) as double) as ss, count(*) as n from d group by source),
@@ -73,12 +85,21 @@ MIX_SQL = f"""with d as (select doc_id, source, cast(len(regexp_extract_all(coal
  p as (select d.*, coalesce(f, 0) * (least(length(bin(size)), 11) + 9) as p from d left join lam on d.source is not distinct from lam.source),
  q as (select *, case when size > 0 and p > 0 and p < 1 then (u / (1 - u)) / (p / (1 - p)) end as q from p),
  dv as (select *, case when size <= 0 or p <= 0 then 1.0::double when p >= 1 then 0.0::double else q / (1 + q) end as v from q),
- s0 as (select source, target - floor(coalesce(target / nullif(ss, 0), 0)) * ss as rest, cast(-1 as double) as hi from tg)
- """ + "".join(ROUND.format(i=i, p=i - 1) for i in range(1, 5)) + """
- , tk as (select doc_id, source, v from t1 union all select * from t2 union all select * from t3 union all select * from t4)
- select d.doc_id, d.size, cast(tg.ss as bigint) as source_size, round(target, 6) as target,
-  cast(d.size * (floor(coalesce(target / nullif(ss, 0), 0)) + cast(exists(select 1 from tk where tk.doc_id is not distinct from d.doc_id and tk.source is not distinct from d.source) as int)) as bigint) as taken
- from d join tg on d.source is not distinct from tg.source"""
+ s0 as (select source, greatest(0.001 * target, 1) as near, target - floor(coalesce(target / nullif(ss, 0), 0)) * ss as rest, cast(-1 as double) as hi from tg)
+ """ + "".join(ROUND.format(i=i, p=i - 1) for i in range(1, PASSES + 1)) + f"""
+ , tk as ({" union all ".join(f"select doc_id, source, v from t{i}" for i in range(1, PASSES + 1))}),
+ h0 as (select dv.*, exists(select 1 from tk where tk.doc_id is not distinct from dv.doc_id and tk.source is not distinct from dv.source) as m, false as moved from dv),
+ l0 as (select source, near, rest from s{PASSES})""" + "".join(EXCHANGE.format(h="h", l="l", i=i, p=i - 1) for i in range(1, EXCHANGES + 1)) + f"""
+ , fu as (select h.source, v, size, sum(size) as total from h{EXCHANGES} h join l{EXCHANGES} l on h.source is not distinct from l.source where rest > near and size > rest and v > 0 and v < 1 and not m and not moved group by h.source, v, size),
+ ff as (select source, min({{'total': total, 'v': v, 'size': size}}) as b from fu group by source),
+ g0 as (select h.* exclude (m, moved), m or (ff.b.v = h.v and ff.b.size = h.size) as m, moved or (ff.b.v = h.v and ff.b.size = h.size) as moved from h{EXCHANGES} h join ff on h.source is not distinct from ff.source),
+ k0 as (select l.source, near, rest - ff.b.total as rest, 2.0::double as hi from l{EXCHANGES} l join ff on l.source is not distinct from ff.source)""" + "".join(EMPTY.format(i=i, p=i - 1) for i in range(1, EMPTIED + 1)) + f"""
+ , y0 as (select * from g{EMPTIED}), z0 as (select source, near, rest from k{EMPTIED})""" + "".join(EXCHANGE.format(h="y", l="z", i=i, p=i - 1) for i in range(1, EXCHANGES + 1)) + f"""
+ , nearer as (select z.source from z{EXCHANGES} z join l{EXCHANGES} l on z.source is not distinct from l.source where abs(z.rest) < abs(l.rest)),
+ h as (select * from y{EXCHANGES} y where exists(select 1 from nearer where nearer.source is not distinct from y.source) union all by name select * from h{EXCHANGES} h where not exists(select 1 from nearer where nearer.source is not distinct from h.source))
+ select h.doc_id, h.size, cast(tg.ss as bigint) as source_size, round(target, 6) as target,
+  cast(h.size * (floor(coalesce(target / nullif(ss, 0), 0)) + cast(m as int)) as bigint) as taken
+ from h join tg on h.source is not distinct from tg.source"""
 
 
 @query("op7_mixing", MIX_SQL)

@@ -9,8 +9,12 @@ ones (``favour_long=False``: g = 10 for all), and p = min(1, lambda g) is its
 inclusion probability, lambda being such that the expected words, p times n, sum to
 the source's remaining target. Documents with p = 1 take one more certain copy. The others are ranked by random
 odds over inclusion odds, (u/(1-u)) / (p/(1-p)), with u from the id's digest, and the leading documents
-whose words fit the remaining target are taken. Three more passes let smaller
-documents of the ranking fill what is left.
+whose words fit the remaining target are taken. Further passes let smaller
+documents of the ranking fill what is left, until none fits or the source is near its target (``near`` of it, or a word).
+A source that is still farther off, as documents of very unequal sizes leave it, is then mended: one document
+at a time, whichever brings it nearest, comes in or goes; and if it stays
+short, the smallest document larger than what lacks comes in, the last of the ranking go for it,
+and the nearer of both mixes stays. No document comes more often than ``cap`` times.
 
 The cut in a ranking is found by narrowing ranges of the key: each step sums
 words over 1,024 ranges of every source, so a source with any share of the
@@ -37,7 +41,8 @@ RANGES = 1024
 SMALL_RANGE = 4096
 #: Sources up to this number are broadcast (under 100 bytes each).
 SOURCES_BROADCAST = 100_000
-PASSES = 4
+#: A source is near its target within this share of it.
+NEAR = 0.001
 
 
 def source_key(source: str) -> Column:
@@ -108,7 +113,7 @@ def _narrow(rows: DataFrame, left: DataFrame) -> DataFrame:
     """(_k, _hi, _got): the largest key whose prefix of words fits ``_left``, over rows (_k, _v, _size, _left)."""
     state = rows.groupBy("_k").agg(F.first("_left").alias("_left"), F.min("_v").alias("_lo"), F.max("_v").alias("_up"), F.count(F.lit(1)).alias("_c"), F.sum("_size").alias("_sum"))
     state = state.withColumn("_base", F.lit(0).cast("bigint")).withColumn("_hi", F.lit(None).cast("double"))
-    for _ in range(12):
+    while True:  # a range of more than one key is cut in 1,024, so its width falls until it is small or one key
         state = Stored(state, "mix-ranges").df
         # sources that fit as a whole are settled, and so are small ranges
         big = state.filter((F.col("_base") + F.col("_sum") > F.col("_left")) & (F.col("_c") > SMALL_RANGE) & (F.col("_lo") < F.col("_up")))
@@ -135,7 +140,100 @@ def _narrow(rows: DataFrame, left: DataFrame) -> DataFrame:
     return settled.unionByName(cut)
 
 
-def decide(light: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, favour_long: bool = True) -> tuple[DataFrame, DataFrame, int, bool]:
+_RULE, _FLIP = "array<struct<lo:double,hi:double,most:double>>", "array<struct<v:double,size:bigint,comes:boolean>>"
+
+
+def chosen(v: Column, size: Column) -> Column:
+    """Whether a document takes one copy beyond the certain ones: ranges that filled, ranges that went again, single exchanges."""
+    took = F.exists("_rules", lambda r: (v > r["lo"]) & (v <= r["hi"]) & (size <= r["most"]))
+    went = F.exists("_cuts", lambda r: (v > 0) & (v >= r["lo"]) & (v < r["hi"]) & (size <= r["most"]))
+    comes = F.exists("_flips", lambda f: (f["v"] == v) & (f["size"] == size) & f["comes"])
+    return (size > 0) & F.when(_flipped(v, size), comes).otherwise(took & ~went)
+
+
+def _flipped(v: Column, size: Column) -> Column:
+    return F.exists("_flips", lambda f: (f["v"] == v) & (f["size"] == size))
+
+
+def _single() -> Column:
+    """Documents that may be exchanged one by one, each once: drawn by odds, neither certain nor impossible."""
+    return (F.col("_v") > 0) & (F.col("_v") < 1) & ~_flipped(F.col("_v"), F.col("_size"))
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """Rows of one place and size come and go together."""
+    return rows.groupBy("_k", "_v", "_size", "_left").agg(F.sum("_size").alias("_sum"))
+
+
+class _Mix:
+    """Keyed rows and the sources' state; every step is a job over the rows of sources that are not settled."""
+
+    def __init__(self, keyed: DataFrame, total: int, small: bool):
+        self.keyed, self.total, self.small = keyed, total, small
+
+    def rows(self, src: DataFrame, active: Column, *more: Column) -> DataFrame | None:
+        """Rows of active sources beside their state, or None if all are settled."""
+        now = src.filter(active).select("_k", "_docs", "_left", "_near", "_rules", "_cuts", "_flips", *more)
+        return _to_sources(self.keyed, now, self.total, self.small).filter("_size > 0") if now.limit(1).count() else None
+
+    def fill(self, src: DataFrame) -> DataFrame:
+        """Passes over the ranking until no document fits what is left of any source."""
+        lo = F.coalesce(F.try_element_at("_rules", F.lit(-1))["hi"], F.lit(-1.0))
+        src = src.withColumn("_open", F.lit(True))
+        while (rows := self.rows(src, F.col("_open") & (F.col("_left") > F.col("_near")), lo.alias("_from"))) is not None:
+            fits = rows.filter((F.col("_size") <= F.col("_left")) & (F.col("_v") > F.col("_from")) & ~_flipped(F.col("_v"), F.col("_size")))
+            got = _narrow(fits.select("_k", "_v", "_size", "_left"), src).filter(F.col("_hi").isNotNull() & (F.col("_got") > 0))
+            rule = F.struct(lo.alias("lo"), F.col("_hi").alias("hi"), F.col("_left").alias("most"))
+            nxt = src.join(got, "_k", "left").withColumn("_rules", F.when(F.col("_got").isNotNull(), F.array_append("_rules", rule)).otherwise(F.col("_rules")))
+            src = Stored(nxt.withColumn("_open", F.col("_got").isNotNull()).withColumn("_left", F.col("_left") - F.coalesce("_got", F.lit(0))).drop("_hi", "_got"), "mix-sources-n").df
+        return src.drop("_open")
+
+    def empty(self, src: DataFrame) -> DataFrame:
+        """The same from the end of the ranking, for sources that have too much."""
+        hi = F.coalesce(F.try_element_at("_cuts", F.lit(-1))["lo"], F.lit(2.0))
+        src = src.withColumn("_open", F.lit(True))
+        while (rows := self.rows(src, F.col("_open") & (-F.col("_left") > F.col("_near")), hi.alias("_from"))) is not None:
+            mine = chosen(F.col("_v"), F.col("_size")) & (F.col("_size") <= -F.col("_left")) & (F.col("_v") < F.col("_from")) & (F.col("_v") > 0) & ~_flipped(F.col("_v"), F.col("_size"))
+            got = _narrow(rows.filter(mine).select("_k", (-F.col("_v")).alias("_v"), "_size", (-F.col("_left")).alias("_left")), src).filter(F.col("_hi").isNotNull() & (F.col("_got") > 0))
+            rule = F.struct((-F.col("_hi")).alias("lo"), hi.alias("hi"), (-F.col("_left")).alias("most"))
+            nxt = src.join(got, "_k", "left").withColumn("_cuts", F.when(F.col("_got").isNotNull(), F.array_append("_cuts", rule)).otherwise(F.col("_cuts")))
+            src = Stored(nxt.withColumn("_open", F.col("_got").isNotNull()).withColumn("_left", F.col("_left") + F.coalesce("_got", F.lit(0))).drop("_hi", "_got"), "mix-sources-c").df
+        return src.drop("_open")
+
+    def _flip(self, src: DataFrame, units: DataFrame, rank: str) -> DataFrame:
+        """Exchanges the first unit of each source by ``rank``."""
+        first = units.groupBy("_k").agg(F.min(F.struct(F.col(rank).alias("_by"), "_v", "_size", "_sum")).alias("_b"))
+        joined = src.join(first, "_k", "left").withColumn("_open", F.col("_b").isNotNull())
+        flip = F.struct(F.col("_b._v").alias("v"), F.col("_b._size").alias("size"), (F.col("_left") > 0).alias("comes"))
+        moved = F.when(F.col("_left") > 0, F.col("_left") - F.col("_b._sum")).otherwise(F.col("_left") + F.col("_b._sum"))
+        return joined.withColumn("_flips", F.when(F.col("_open"), F.array_append("_flips", flip)).otherwise(F.col("_flips"))).withColumn("_left", F.when(F.col("_open"), moved).otherwise(F.col("_left"))).drop("_b")
+
+    def exchange(self, src: DataFrame) -> DataFrame:
+        """One document after another comes in or goes while that brings a source nearer."""
+        src = src.withColumn("_open", F.lit(True))
+        while (rows := self.rows(src, F.col("_open") & (F.abs("_left") > F.col("_near")))) is not None:
+            able = rows.filter(_single() & (F.col("_size") < 2 * F.abs("_left")) & (chosen(F.col("_v"), F.col("_size")) == (F.col("_left") < 0)))
+            off = F.abs(F.abs("_left") - F.col("_sum"))
+            better = _units(able).withColumn("_off", off).filter(F.col("_off") < F.abs("_left"))
+            src = Stored(self._flip(src, better, "_off"), "mix-exchange").df
+        return src.drop("_open")
+
+    def force(self, src: DataFrame) -> DataFrame:
+        """Sources still short try the smallest document larger than what they lack, in place of the last of the ranking."""
+        rows = self.rows(src, F.col("_left") > F.col("_near"))
+        if rows is None:
+            return src
+        large = _single() & (F.col("_size") > F.col("_left")) & ~chosen(F.col("_v"), F.col("_size"))
+        tried = Stored(self._flip(src.filter(F.col("_left") > F.col("_near")), _units(rows.filter(large)), "_sum"), "mix-forced").df.filter("_open").drop("_open")
+        tried = self.exchange(self.empty(tried))
+        state = ["_left", "_rules", "_cuts", "_flips"]
+        other = tried.select(F.col("_k").alias("_k2"), *[F.col(c).alias(f"_try{c}") for c in state])
+        nearer = F.coalesce(F.abs("_try_left") < F.abs("_left"), F.lit(False))
+        joined = src.join(other, F.col("_k") == F.col("_k2"), "left").withColumn("_nearer", nearer)
+        return Stored(joined.select(*[c for c in src.columns if c not in state], *[F.when(F.col("_nearer"), F.col(f"_try{c}")).otherwise(F.col(c)).alias(c) for c in state]), "mix-nearer").df
+
+
+def decide(light: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, favour_long: bool = True, near: float = NEAR) -> tuple[DataFrame, DataFrame, int, bool]:
     """Keyed rows (_id, _source, _k, _size, _v), the sources with their rules, rows, and whether sources are few."""
     stored = Stored(light, "mix-rows").df
     total = stored.count()
@@ -143,32 +241,22 @@ def decide(light: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
     ratio = F.coalesce(F.try_divide(F.col("_target"), F.col("_ssize").cast("double")), F.lit(0.0))
     src = src.withColumn("_copies", F.floor(ratio)).withColumn("_f", ratio - F.col("_copies")).withColumn("_left", F.col("_target") - F.col("_copies") * F.col("_ssize"))
     src = src.join(inclusion(stored, src, favour_long), "_k", "left").withColumn("_lambda", F.coalesce("_lambda", F.lit(0.0)))
-    src = Stored(src.withColumn("_rules", F.array().cast("array<struct<lo:double,hi:double,most:double>>")), "mix-sources-1").df
+    src = src.withColumn("_near", F.greatest(F.lit(near) * F.col("_target"), F.lit(1.0)))
+    src = Stored(src.withColumns({"_rules": F.array().cast(_RULE), "_cuts": F.array().cast(_RULE), "_flips": F.array().cast(_FLIP)}), "mix-sources-1").df
     small = src.count() <= SOURCES_BROADCAST
     keyed = Stored(_to_sources(stored, src.select("_k", "_lambda", "_docs"), total, small).select(*stored.columns, place(F.col("_id"), F.col("_size"), favour_long).alias("_v")), "mix-keys").df
-    for _ in range(PASSES):
-        lo = F.coalesce(F.try_element_at("_rules", F.lit(-1))["hi"], F.lit(-1.0))
-        now = src.filter("_left >= 1").select("_k", "_docs", "_left", lo.alias("_from"))
-        if not now.limit(1).count():
-            break
-        rows = _to_sources(keyed, now, total, small).filter((F.col("_size") > 0) & (F.col("_size") <= F.col("_left")) & (F.col("_v") > F.col("_from")))
-        got = _narrow(rows.select("_k", "_v", "_size", "_left"), now)
-        got = got.filter(F.col("_hi").isNotNull())
-        rule = F.struct(lo.alias("lo"), F.col("_hi").alias("hi"), F.col("_left").alias("most"))
-        nxt = src.join(got, "_k", "left").withColumn("_rules", F.when(F.col("_got") > 0, F.array_append("_rules", rule)).otherwise(F.col("_rules")))
-        src = Stored(nxt.withColumn("_left", F.col("_left") - F.coalesce("_got", F.lit(0))).drop("_hi", "_got"), "mix-sources-n").df
-    return keyed, src, total, small
+    steps = _Mix(keyed, total, small)
+    return keyed, steps.force(steps.exchange(steps.fill(src))), total, small
 
 
 def taken_copies(v: Column, size: Column) -> Column:
-    hit = F.exists("_rules", lambda r: (v > r["lo"]) & (v <= r["hi"]) & (size <= r["most"]) & (size > 0))
-    return F.col("_copies") + hit.cast("bigint")
+    return F.col("_copies") + chosen(v, size).cast("bigint")
 
 
 def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, favour_long: bool = True) -> DataFrame:
     """(key, size, source_size, target, taken) of every row."""
     keyed, src, total, small = decide(sizes(docs, key, source, text), weights, cap, favour_long)
-    out = _to_sources(keyed, src.select("_k", "_docs", "_ssize", "_target", "_copies", "_rules"), total, small)
+    out = _to_sources(keyed, src.select("_k", "_docs", "_ssize", "_target", "_copies", "_rules", "_cuts", "_flips"), total, small)
     return out.select(
         F.col("_id").alias(key), F.col("_size").alias("size"), F.col("_ssize").alias("source_size"), F.round("_target", 6).alias("target"),
         (F.col("_size") * taken_copies(F.col("_v"), F.col("_size"))).cast("bigint").alias("taken"),
@@ -181,6 +269,6 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     # rows travel as one column, so that no column of theirs can clash
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
     marked = docs.select(F.struct(*docs.columns).alias("_all"), F.col(key).alias("_id"), source_key(source).alias("_k"), size.alias("_size"))
-    joined = _to_sources(marked, src.select("_k", "_docs", "_lambda", "_copies", "_rules"), total, small)
+    joined = _to_sources(marked, src.select("_k", "_docs", "_lambda", "_copies", "_rules", "_cuts", "_flips"), total, small)
     n = taken_copies(place(F.col("_id"), F.col("_size"), favour_long), F.col("_size")).cast("int")
     return joined.withColumn("_n", n).filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_all.*")

@@ -88,6 +88,27 @@ def test_mixing_unequal_probabilities(spark):
     assert abs(even - one[1]) < 0.02 * one[1]
 
 
+def test_mixing_of_sources_with_heavy_tails(spark):
+    """Every source of few documents of very unequal sizes comes as near its target as whole documents allow, within a tenth of it."""
+    rng = random.Random(4)
+    rows = [(100 * k + i, "w " * max(1, int(20 * rng.paretovariate(0.8))), "en", f"s{k:02d}", "x", "y") for k in range(24) for i in range(20)]
+    by = {}
+    for r in mixing.plan(frame(spark, rows)).collect():
+        t = by.setdefault(r["doc_id"] // 100, [r["target"], 0, []])
+        t[1] += r["taken"]
+        t[2].append(r["size"])
+        assert r["taken"] % r["size"] == 0 and r["taken"] <= 3 * r["size"]
+    for target, taken, sizes in by.values():
+        # all sums of whole documents, as bits
+        copies = int(target / sum(sizes))
+        sums = 1
+        for n in sizes:
+            sums |= sums << n
+        due = target - copies * sum(sizes)
+        best = min(abs(due - x) for x in range(sum(sizes) + 1) if sums >> x & 1)
+        assert abs(taken - target) <= best + 0.1 * target
+
+
 def _words(rng, n):
     return [rng.choice("abcdefgh") + rng.choice("klmnop") + str(rng.randint(0, 60)) for _ in range(n)]
 
