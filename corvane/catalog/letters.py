@@ -9,7 +9,7 @@ from ..operators import joins as J
 from ..operators import statistics as T
 from ..plans import candidates as C
 from ..plans import letters as P
-from .roles import BACKGROUND, LETTERED, background, lettered, query, tidy
+from .roles import BACKGROUND, LETTERED, background, lettered, query, table, tidy
 
 CELL = "sample, unit, length, strand"
 RC = lambda s: f"reverse(translate({s}, 'ACGT', 'TGCA'))"
@@ -212,6 +212,15 @@ def cross_length_same_3p(spark, d):
     return _cross_df(spark, d, True)
 
 
+#: The binomial tail by log-gamma: groups of thousands of differences.
+@query("sign_test_large", """with n as (select l_returnflag, l_linestatus, count(*) filter (l_quantity > 25) as n_positive, count(*) filter (l_quantity < 25) as n_negative from lineitem group by all),
+ t as (select l_returnflag, l_linestatus, n_positive, n_negative, n_positive + n_negative as n, unnest(range(0, least(n_positive, n_negative) + 1)) as i from n)
+ select l_returnflag, l_linestatus, n_positive, n_negative, round(least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 7) as p from t group by all""")
+def sign_test_large(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_quantity") - 25).alias("difference"))
+    return T.sign_test(rows, ["l_returnflag", "l_linestatus"], "difference").drop("status").withColumn("p", F.round("p", 7))
+
+
 @query("sign_test", f"with {POSI} select {INT}, strand, cast(position as bigint) as position, letter, n_positive, n_negative, round(p, 8) as p from st")
 def sign_test(spark, d):
     return tidy(_found(spark, d).select("length", "strand", "position", "letter", "n_positive", "n_negative", "p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
-from ..operators import resampling as B
+from ..operators import shifts as S
 from ..operators import statistics as T
 from ..operators import windows as X
 from ..plans import tracks as K
@@ -121,18 +121,51 @@ def circular_shift(spark, d):
     return t.filter("view > 0").select("contig", F.col("bin").cast("bigint").alias("bin"), "view")
 
 
-@query("allowed_shifts", "select cast(n as bigint) as n, cast(s as bigint) as shift from (select unnest([120, 80, 5, 2]) as n), range(1, 120) t(s) where s < n and (least(s, n - s) > 50 or n <= 101)")
+@query("allowed_shifts", f"""with {TRACK}, n as (select contig, cast(count(*) as bigint) as n from track where view > 0 group by 1)
+ select contig, n, cast(s as bigint) as shift from n, range(1, 720) t(s) where s < n and (least(s, n - s) > 50 or n <= 101)""")
 def allowed_shifts(spark, d):
-    n = spark.createDataFrame([(120,), (80,), (5,), (2,)], "n int")
-    return tidy(n.select("n", F.explode(X.allowed_shifts(F.col("n"), 50)).alias("shift")))
+    n = _track(spark, d).filter("view > 0").groupBy("contig").agg(F.count(F.lit(1)).alias("n"))
+    return tidy(n.select("contig", "n", F.explode(X.allowed_shifts(F.col("n"), 50)).alias("shift")))
 
 
-@query("permutation_p")
+REPLICATES, EXCLUSION, SEED, FLANK = 5000, 20, 20260810, 10
+#: Digest draws, then window sums of the rolled track for every distinct shift.
+SHIFTED = f"""{ANCHOR}, dr as (select contig, r as replicate, {EXCLUSION + 1} + cast('0x' || substr(md5('{SEED}|' || contig || '|' || r), 1, 8) as bigint) % {N_BINS - 1 - 2 * EXCLUSION} as shift from (select distinct contig from track), range(0, {REPLICATES}) t(r)),
+ ws as (select s.contig, s.shift, o > 0 as down, sum(view) as view, sum(click) as click, count(*) as c from (select distinct contig, shift from dr) s join anc a using (contig), range(-{FLANK}, {FLANK + 1}) r(o) join track t
+  on t.contig = a.contig and t.bin = (a.bin + o - s.shift + {N_BINS}) % {N_BINS} where o <> 0 and a.bin + o between 0 and {N_BINS - 1} group by all),
+ ms as (select contig, shift, """ + ", ".join(f"sum({k}) filter ({n} down) / sum(c) filter ({n} down) as {k}_{side}" for k in ("view", "click") for side, n in (("up", "not"), ("down", ""))) + """ from ws group by all),
+ nu as (select contig, replicate, shift, """ + ", ".join(f"({k}_down - {k}_up) / nullif({k}_down + {k}_up, 0) as {k}" for k in ("view", "click")) + """ from dr join ms using (contig, shift)),
+ ob as (select contig, (view_down - view_up) / nullif(view_down + view_up, 0) as obs from fm),
+ ex as (select contig, obs, count(*) filter (view >= obs) as n_exceed, count(view) as n_null from ob left join nu using (contig) group by all),
+ pv as (select *, case when obs is not null and n_null > 0 then (n_exceed + 1) / (n_null + 1) end as p from ex)"""
+
+
+def _shift_null(spark, d):
+    return S.shift_null(_track(spark, d), KEYS, "bin", ["view", "click"], _anchors(spark, d), FLANK, REPLICATES, EXCLUSION, SEED)
+
+
+def _observed(spark, d):
+    m = K.flank_means(_track(spark, d), _anchors(spark, d), KEYS, KINDS, FLANK)
+    return K.endpoints(m, "view", "click", "purchase").select("contig", F.col("d_target").alias("view"))
+
+
+@query("shift_null", f"with recursive {SHIFTED} select contig, cast(replicate as int) as replicate, cast(shift as bigint) as shift, round(view, 8) as view, round(click, 8) as click from nu")
+def shift_null(spark, d):
+    return tidy(_shift_null(spark, d).select("contig", "replicate", "shift", "view", "click"))
+
+
+@query("permutation_p", f"with recursive {SHIFTED} select contig, round(obs, 8) as obs, n_exceed, n_null, round(p, 8) as p from pv")
 def permutation_p(spark, d):
-    track, anchors = _track(spark, d), _anchors(spark, d)
-    null = B.shift_null(track, KEYS, "bin", ["view", "click"], anchors, 10, 200, 20, 20260810)
-    obs = K.endpoints(K.flank_means(track, anchors, KEYS, KINDS, 10), "view", "click", "purchase").select("contig", F.col("d_target").alias("obs"))
-    return T.empirical_p(null.select("contig", F.col("view").alias("v")), obs, KEYS, "v", "obs")
+    obs = _observed(spark, d).withColumnRenamed("view", "obs")
+    return tidy(T.empirical_p(_shift_null(spark, d).select("contig", F.col("view").alias("v")), obs, KEYS, "v", "obs").select("contig", "obs", "n_exceed", "n_null", "p"))
+
+
+@query("null_chain", f"""with recursive {SHIFTED}, rk as (select *, row_number() over (order by p, contig) as i, count(*) over () as m from pv where obs is not null)
+ select contig, round(obs, 8) as estimate, cast(1 as bigint) as n_rows, n_exceed, n_null, round(p, 8) as p, round(least(1, min(p * m / i) over (order by i desc)), 8) as q from rk""")
+def null_chain(spark, d):
+    """Anchors, their shift null and the corrected results in one: every contig's balanced estimate against its own nulls."""
+    r = T.null_results(_observed(spark, d), _shift_null(spark, d), KEYS, "replicate", "view")
+    return tidy(r.select("contig", "estimate", "n_rows", "n_exceed", "n_null", "p", "q"))
 
 
 @query("event_windows", "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all")

@@ -1,4 +1,8 @@
-"""Grouped summaries. NULL and non-finite values never enter an aggregate."""
+"""Grouped summaries. NULL and non-finite values never enter an aggregate.
+
+Medians and percentiles of groups that one task should not gather are selected over range
+partitions (``operators.order``); by default the groups' sizes decide, ``spread`` decides for the caller.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.nulls import finite
+from .order import beside, has_large_group, percentiles
 
 
-def median_of(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+def median_of(df: DataFrame, keys: Sequence[str], values: dict[str, str], spread: bool | None = None) -> DataFrame:
     """Median (linear interpolation) of each ``column -> name`` by group."""
+    if has_large_group(df, keys) if spread is None else spread:
+        first, *others = [percentiles(df, keys, c, 0.5, n) for c, n in values.items()]
+        for one in others:
+            first = beside(first, one, keys)
+        return first
     return df.groupBy(*keys).agg(*[F.median(finite(c)).alias(n) for c, n in values.items()])
 
 
-def balanced_median(df: DataFrame, levels: Sequence[Sequence[str]], value: str, out: str | None = None) -> DataFrame:
+def balanced_median(df: DataFrame, levels: Sequence[Sequence[str]], value: str, out: str | None = None, spread: bool | None = None) -> DataFrame:
     """Median of medians: one grouping per level, each over the medians of the level before.
 
     Groups whose values are all missing drop out before the next level, so
@@ -27,15 +37,21 @@ def balanced_median(df: DataFrame, levels: Sequence[Sequence[str]], value: str,
     current, column = df, value
     for depth, keys in enumerate(levels):
         last = depth == len(levels) - 1
-        aggs = [F.median(finite(column)).alias("_m")]
-        if last:
-            aggs += [F.count(finite(column)).alias("n_members"), F.count_if(finite(column).isNull()).alias("n_undefined")]
-        current, column = current.groupBy(*keys).agg(*aggs), "_m"
+        counts = [F.count(finite(column)).alias("n_members"), F.count_if(finite(column).isNull()).alias("n_undefined")] if last else []
+        if has_large_group(current, keys) if spread is None else spread:
+            medians = percentiles(current, keys, column, 0.5, "_median")
+            current = beside(current.groupBy(*keys).agg(*counts), medians, keys) if last else medians
+            current = current.select(*keys, F.col("_median").alias("_m"), *(["n_members", "n_undefined"] if last else []))
+        else:
+            current = current.groupBy(*keys).agg(F.median(finite(column)).alias("_m"), *counts)
+        column = "_m"
     return current.withColumnRenamed("_m", out)
 
 
-def percentile_of(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str) -> DataFrame:
+def percentile_of(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str, spread: bool | None = None) -> DataFrame:
     """Exact percentile, linear interpolation between order statistics."""
+    if has_large_group(df, keys) if spread is None else spread:
+        return percentiles(df, keys, value, p, out)
     return df.groupBy(*keys).agg(F.percentile(finite(value), p).alias(out))
 
 

@@ -92,37 +92,17 @@ def hierarchical_bootstrap_ci(df: DataFrame, keys: Sequence[str], cluster: str,
     return df.select(*keys, cluster, value).groupBy(*keys).applyInPandas(run, f"{spec}, ci_low double, ci_high double, replicates int")
 
 
-def shift_null(df: DataFrame, keys: Sequence[str], bin_col: str, tracks: Sequence[str], anchors: DataFrame, width: int, replicates: int = 200, exclusion: int = 5, seed: int = 0) -> DataFrame:
-    """Circular-shift null of (down - up) / (down + up) of each track around fixed anchors.
+def generator_draws(lengths: DataFrame, keys: Sequence[str], n: str, replicates: int, exclusion: int, seed: int) -> DataFrame:
+    """(keys, replicate, shift) from NumPy's default generator, seeded per key: the draws of a run that used it, for ``shifts.shift_null``.
 
-    All tracks of a replicate share one shift. Results are kept per distinct
-    shift, as many replicates repeat one. A group is one dense numeric series.
+    A task holds one key's replicates, never its series.
     """
-    spec = ", ".join(f"{k} {t}" for k, t in df.dtypes if k in keys)
-    marked = df.join(anchors.select(*keys, bin_col).withColumn("_anchor", F.lit(1)), [*keys, bin_col], "left")
-    cols = [*keys, "replicate", "shift", *tracks]
+    spec = ", ".join(f"{k} {t}" for k, t in lengths.dtypes if k in keys)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(bin_col)
-        at = np.flatnonzero(pdf["_anchor"].notna().to_numpy())
-        n = len(pdf)
-        if not len(at) or n < 2:
-            return pd.DataFrame(columns=cols)
-        every = np.arange(1, n)
-        far = every[np.minimum(every, n - every) > exclusion]
-        shifts = far if len(far) else every
-        drawn = np.random.default_rng(stable_seed(seed, *key)).choice(shifts, replicates)
-        up = np.concatenate([np.arange(max(0, a - width), a) for a in at])
-        down = np.concatenate([np.arange(a + 1, min(n, a + width + 1)) for a in at])
-        memo: dict[int, list] = {}
-        for s in set(drawn.tolist()):
-            vals = []
-            for t in tracks:
-                x = np.roll(pdf[t].to_numpy(float), s)
-                u, d = (x[up].mean() if len(up) else np.nan), (x[down].mean() if len(down) else np.nan)
-                vals.append((d - u) / (d + u) if d + u else np.nan)
-            memo[s] = vals
-        return pd.DataFrame([(*key, i, int(s), *memo[int(s)]) for i, s in enumerate(drawn)], columns=cols)
-
-    out = ", ".join(f"{t} double" for t in tracks)
-    return marked.select(*keys, bin_col, "_anchor", *tracks).groupBy(*keys).applyInPandas(run, f"{spec}, replicate int, shift int, {out}")
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        size = int(pdf[n].iloc[0])
+        first, last = (exclusion + 1, size - exclusion - 1) if size - 1 > 2 * exclusion else (1, size - 1)
+        drawn = np.random.default_rng(stable_seed(seed, *key)).choice(np.arange(first, last + 1), replicates) if size > 1 else np.zeros(0, int)
+        return pd.DataFrame([(*key, i, int(x)) for i, x in enumerate(drawn)], columns=[*keys, "replicate", "shift"])
+
+    return lengths.groupBy(*keys).applyInPandas(run, f"{spec}, replicate int, shift long")

@@ -32,14 +32,14 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: s
 
 def running(stored: DataFrame, order: Sequence[Column], sums: dict[str, str], row: str = "_row") -> DataFrame:
     """Adds to ``ranged`` rows the row number within the key (from 1) and the running sums ``column -> name``, the row included."""
-    totals = stored.groupBy("_part", "_key").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{n}") for c, n in sums.items()])
+    totals = stored.groupBy("_part", "_key").agg(F.count(F.lit(1)).alias("_scan_rows"), *[F.sum(c).alias(f"_scan_{n}") for c, n in sums.items()])
     before = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shift = totals.select("_part", "_key", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in sums.values()])
+    shift = totals.select("_part", "_key", F.coalesce(F.sum("_scan_rows").over(before), F.lit(0)).alias("_scan_rows"), *[F.coalesce(F.sum(f"_scan_{n}").over(before), F.lit(0)).alias(f"_scan_{n}") for n in sums.values()])
     here = W.partitionBy("_part", "_key").orderBy(*order)
     upto = here.rowsBetween(W.unboundedPreceding, 0)
     local = stored.withColumns({row: F.row_number().over(here), **{n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for c, n in sums.items()}})
     joined = local.join(shift, ["_part", "_key"])
-    return joined.withColumns({row: F.col(row) + F.col("_n"), **{n: F.col(n) + F.col(f"_t_{n}") for n in sums.values()}}).drop("_n", *[f"_t_{n}" for n in sums.values()])
+    return joined.withColumns({row: F.col(row) + F.col("_scan_rows"), **{n: F.col(n) + F.col(f"_scan_{n}") for n in sums.values()}}).drop("_scan_rows", *[f"_scan_{n}" for n in sums.values()])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, str] | None = None, row: str = "_row", partitions: int | None = None) -> DataFrame:

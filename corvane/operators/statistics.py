@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .order import beside, group_sizes, has_large_group, suffix_minimum
 from .ranking import average_rank
 
+#: Differences up to which the binomial tail is folded from its first term, which does not underflow there.
+FOLD_MOST = 1000
+
 
 def guarded_corr(x: str, y: str, minimum: int = 2) -> Column:
     """Pearson correlation; NULL below ``minimum`` pairs or for a constant side."""
@@ -37,17 +42,42 @@ def lag_correlation(df: DataFrame, keys: Sequence[str], bin_col: str, x: str, y:
     return pearson(left.join(right, [*keys, "_b"]), [*keys, "lag"], "_x", "_y", "r", minimum)
 
 
+def _stirling_error(x: Column) -> Column:
+    """ln x! minus Stirling's formula, by its series (good to 1e-16 from 16 on)."""
+    x2 = x * x
+    return (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / x2) / x2) / x2) / x
+
+
+def _log_half_binomial(n: Column, k: Column) -> Column:
+    """ln of C(n, k) / 2^n for k <= n / 2, without the cancellation of log-factorials."""
+    x, m = k.cast("double"), n.cast("double")
+    d = 1 - 2 * x / m
+    deviance = m / 2 * ((1 - d) * F.log1p(-d) + (1 + d) * F.log1p(d))
+    saddle = _stirling_error(m) - _stirling_error(x) - _stirling_error(m - x) - deviance + 0.5 * F.log(m / (2 * F.lit(math.pi) * x * (m - x)))
+    few = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(k, F.lit(16)), F.lit(1))), F.lit(0.0), lambda s, i: s + F.when(i <= k, F.log((m - i + 1) / i)).otherwise(0.0))
+    return F.when(k < 16, few - m * F.lit(math.log(2))).otherwise(saddle)
+
+
 def sign_test_p(positives: Column, negatives: Column) -> Column:
     """Exact two-sided sign test, zeros left out; NULL without a non-zero difference.
 
-    The binomial tail is folded with the recurrence C(n,k) = C(n,k-1)(n-k+1)/k.
+    Up to ``FOLD_MOST`` differences the binomial tail is folded upwards with the
+    recurrence C(n,k) = C(n,k-1)(n-k+1)/k. Beyond, where 2^-n underflows, its last term is
+    taken in logs and the terms before it downwards, as far as they reach 1e-16 of it (7 square roots of n).
     """
     n = (positives + negatives).cast("int")
     tail = F.least(positives, negatives).cast("int")
     start = F.struct(F.pow(F.lit(0.5), n).alias("t"), F.pow(F.lit(0.5), n).alias("s"))
     step = lambda acc, k: F.struct((acc["t"] * (n - k + 1) / k).alias("t"), (acc["s"] + acc["t"] * (n - k + 1) / k).alias("s"))
-    steps = F.when(tail > 0, F.sequence(F.lit(1), F.greatest(tail, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.when(n > 0, F.least(F.lit(1.0), 2 * F.aggregate(steps, start, step)["s"]))
+    none = F.array().cast("array<int>")
+    up = F.when((tail > 0) & (n <= FOLD_MOST), F.sequence(F.lit(1), F.greatest(tail, F.lit(1)))).otherwise(none)
+    one = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    down = lambda acc, j: F.struct((acc["t"] * (tail - j + 1) / (n - tail + j)).alias("t"), (acc["s"] + acc["t"] * (tail - j + 1) / (n - tail + j)).alias("s"))
+    reach = F.least(tail, F.ceil(7 * F.sqrt(n)).cast("int") + 40)
+    before = F.when((tail > 0) & (n > FOLD_MOST), F.sequence(F.lit(1), F.greatest(reach, F.lit(1)))).otherwise(none)
+    large = F.exp(_log_half_binomial(n, tail)) * F.aggregate(before, one, down)["s"]
+    # both halves overlap in the middle term when the signs balance
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * F.when(n <= FOLD_MOST, F.aggregate(up, start, step)["s"]).otherwise(large)))
 
 
 def sign_test(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -56,15 +86,29 @@ def sign_test(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return agg.withColumn("p", sign_test_p(F.col("n_positive"), F.col("n_negative"))).withColumn("status", status)
 
 
-def adjust_p(df: DataFrame, family: Sequence[str], p: str, out: str, method: str = "BH", tie: Sequence[str] = ()) -> DataFrame:
-    """Step-up adjustment in a family (Benjamini-Hochberg, or Yekutieli with the harmonic factor); NULL p pass through."""
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n; by Euler's series from 100 on, which is exact to 1e-15 there."""
+    x = n.cast("double")
+    series = F.log(x) + F.lit(0.5772156649015329) + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4)))
+    summed = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n.cast("int"), F.lit(1)), F.lit(100))), F.lit(0.0), lambda acc, k: acc + F.lit(1.0) / k)
+    return F.when(n < 100, summed).otherwise(series)
+
+
+def adjust_p(df: DataFrame, family: Sequence[str], p: str, out: str, method: str = "BH", tie: Sequence[str] = (), spread: bool | None = None) -> DataFrame:
+    """Step-up adjustment in a family (Benjamini-Hochberg, or Yekutieli with the harmonic factor); NULL p pass through.
+
+    A family too large for one task is dealt by ranges of p (``operators.order``): equal p are one step.
+    """
+    factor = harmonic(F.col("_n")) if method == "BY" else F.lit(1.0)
+    if has_large_group(df, family) if spread is None else spread:
+        steps = df.filter(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("_c"))
+        sized = group_sizes(steps, family, F.sum("_c"), "_n")
+        least = suffix_minimum(sized, family, p, F.col(p) * F.col("_n") * factor / F.col("_upto"), "_c", "_least")
+        return beside(df, least, [*family, p]).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "_least"))).drop("_least")
     present = F.col(p).isNotNull()
     part = W.partitionBy(*family, present)
     n = F.count(F.lit(1)).over(part)
     ascending = F.row_number().over(part.orderBy(F.col(p), *tie))
-    factor = F.lit(1.0)
-    if method == "BY":
-        factor = F.aggregate(F.sequence(F.lit(1), F.col("_n").cast("int")), F.lit(0.0), lambda acc, k: acc + F.lit(1.0) / k)
     raw = df.withColumn("_n", n).withColumn("_i", ascending).withColumn("_raw", F.when(present, F.col(p) * F.col("_n") * factor / F.col("_i")))
     # the running minimum from the largest p down; equal p are one step by the RANGE frame
     down = W.partitionBy(*family, present).orderBy(F.col("_i").desc()).rowsBetween(W.unboundedPreceding, 0)
