@@ -262,7 +262,7 @@ def pareto_histogram(spark, d):
 
 @query("dominance_counts", f"with recursive {FRONT} select w as winner, count(*) as n from dom group by 1")
 def dominance_counts(spark, d):
-    return P.dominance_pairs(parts(spark, d), ["stratum"], "id", METRICS).groupBy("winner").agg(F.count(F.lit(1)).alias("n"))
+    return P.dominance_count(parts(spark, d), ["stratum"], "id", METRICS).select(F.col("id").alias("winner"), "n")
 
 
 REGION = f"""{LAY}, pos as (select *, row_number() over (partition by stratum order by id) as start from lay),
