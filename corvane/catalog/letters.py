@@ -212,6 +212,53 @@ def cross_length_same_3p(spark, d):
     return _cross_df(spark, d, True)
 
 
+AGG_REPS = 20
+#: Nine medians of three modes, the interval of the effect by digest draws, and the sign test of the difference.
+AGGREGATE = """, pr as (select sample, length, strand, position, letter, """ + ", ".join(f"round({c}, 9) as {c}" for c in ["expected", *P.POSITION_METRICS[4:], "abundance_ratio", "unique_ratio"]) + """ from posi),
+ pm as (select sample, length, strand, 'abundance' as mode, position, letter, abundance_fraction as observed, expected, abundance_ratio as enrichment, abundance_fraction - expected as delta,
+   null::double as unique_fraction, null::double as abundance_fraction, null::double as accumulation_ratio, null::double as accumulation_delta, null::double as accumulation_log2 from pr
+  union all select sample, length, strand, 'unique_sequence', position, letter, unique_fraction, expected, unique_ratio, unique_fraction - expected, null, null, null, null, null from pr
+  union all select sample, length, strand, 'accumulation', position, letter, null, null, null, null, unique_fraction, abundance_fraction, accumulation_ratio, accumulation_delta, accumulation_log2 from pr),
+ ps as (select length, strand, mode, position, letter, sample, """ + ", ".join(f"median({m}) as {m}" for m in P.POSITION_METRICS) + """ from pm group by all),
+ pd as (select *, case when mode = 'accumulation' then accumulation_delta else delta end as dd, case when mode = 'accumulation' then accumulation_ratio else enrichment end as ee from ps),
+ pa as (select length, strand, mode, position, letter, count(*) as n_samples_total, """ + ", ".join(f"median({m}) as {m}" for m in P.POSITION_METRICS) + """, count(ee) as n_samples, count(*) filter (dd > 0) as n_positive, count(*) filter (dd < 0) as n_negative,
+   list(ee order by sample) filter (ee is not null) as v from pd where dd is not null group by all),""" + f"""
+ pb as (select length, strand, mode, position, letter, b, median(v[1 + cast('0x' || substr(sha256(cast(b as varchar) || '|' || cast(i as varchar)), 1, 8) as bigint) % len(v)]) as e from pa, range(0, {AGG_REPS}) tb(b), range(0, 1000) ti(i) where i < len(v) group by all),
+ pc as (select length, strand, mode, position, letter, quantile_cont(e, 0.025) as ci_low, quantile_cont(e, 0.975) as ci_high from pb group by all),
+ pt as (select *, case when n_positive + n_negative > 0 then least(1.0, 2 * list_sum(list_transform(range(0, least(n_positive, n_negative) + 1),
+   lambda k: cast(factorial(cast(n_positive + n_negative as int)) / (factorial(cast(k as int)) * factorial(cast(n_positive + n_negative - k as int))) as double))) / pow(2.0, n_positive + n_negative)) end as p,
+   position between 3 and length - 2 as inner_position from pa left join pc using (length, strand, mode, position, letter))"""
+
+
+def _aggregate(spark, d):
+    pos = _posi(spark, d)
+    return P.positional_aggregate(pos.withColumns({c: F.round(c, 9) for c in ["expected", *P.POSITION_METRICS[4:], "abundance_ratio", "unique_ratio"]}), AGG_REPS)
+
+
+@query("positional_aggregate", f"""with {POSI}{AGGREGATE}, pf as (select *, case when inner_position then p end as pf from pt),
+ pk as (select *, count(*) over w as m, row_number() over (partition by length, mode, strand, pf is not null order by pf, position, letter) as i from pf window w as (partition by length, mode, strand, pf is not null)),
+ pq as (select *, case when pf is not null then least(1.0, min(pf * m / i) over w) end as q_bh, case when pf is not null then least(1.0, min(pf * m * list_sum(list_transform(range(1, m + 1), lambda k: 1.0::double / k)) / i) over w) end as q_by
+  from pk window w as (partition by length, mode, strand, pf is not null order by i desc rows between unbounded preceding and current row))
+ select {INT}, strand, mode, cast(position as bigint) as position, letter, n_samples_total, """ + ", ".join(f"round({m}, 8) as {m}" for m in P.POSITION_METRICS) + """, n_samples, n_positive, n_negative, round(ci_low, 8) as ci_low, round(ci_high, 8) as ci_high, round(p, 8) as p, round(q_bh, 8) as q_bh, round(q_by, 8) as q_by from pq""")
+def positional_aggregate(spark, d):
+    cols = ["length", "strand", "mode", "position", "letter", "n_samples_total", *P.POSITION_METRICS, "n_samples", "n_positive", "n_negative", "ci_low", "ci_high", "p", "q_bh", "q_by"]
+    return tidy(_aggregate(spark, d).select(*cols))
+
+
+FAMILIES = {"q_endpoint": "length, mode, strand", "q_length": "length", "q_strand": "strand", "q_letter": "letter", "q_all": ""}
+_PART = {n: (f"partition by {k}" if k else "") for n, k in FAMILIES.items()}
+
+
+@query("step_up_families", f"""with {POSI}{AGGREGATE}, pu as (select length, strand, mode, position, letter, p from pt where inner_position and p is not null),
+ pi as (select *, """ + ", ".join(f"count(*) over ({w}) as m_{n}, row_number() over ({w} order by p, length, strand, mode, position, letter) as i_{n}" for n, w in _PART.items()) + f""" from pu)
+ select {INT}, strand, mode, cast(position as bigint) as position, letter, round(p, 8) as p, """ + ", ".join(f"round(least(1.0, min(p * m_{n} / i_{n}) over ({w} order by i_{n} desc rows between unbounded preceding and current row)), 8) as {n}" for n, w in _PART.items()) + " from pi")
+def step_up_families(spark, d):
+    """Five families over the same tests, one of all of them, stepped up in one pass."""
+    inner = _aggregate(spark, d).filter(F.col("position").between(3, F.col("length") - 2) & F.col("p").isNotNull()).select("length", "strand", "mode", "position", "letter", "p")
+    families = {n: ([x for x in k.split(", ") if x], None) for n, k in FAMILIES.items()}
+    return tidy(T.adjust_families(inner, P.POSITION_KEYS, families, "p"))
+
+
 #: The binomial tail by log-gamma: groups of thousands of differences.
 @query("sign_test_large", """with n as (select l_returnflag, l_linestatus, count(*) filter (l_quantity > 25) as n_positive, count(*) filter (l_quantity < 25) as n_negative from lineitem group by all),
  t as (select l_returnflag, l_linestatus, n_positive, n_negative, n_positive + n_negative as n, unnest(range(0, least(n_positive, n_negative) + 1)) as i from n)

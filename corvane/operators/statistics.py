@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from .order import beside, group_sizes, has_large_group, suffix_minimum
 from .ranking import average_rank
+from .scan import key_text
 
 #: Differences up to which the binomial tail is folded from its first term, which does not underflow there.
 FOLD_MOST = 1000
@@ -115,6 +116,20 @@ def adjust_p(df: DataFrame, family: Sequence[str], p: str, out: str, method: str
     return raw.withColumn(out, F.when(present, F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_n", "_i", "_raw")
 
 
+def adjust_families(df: DataFrame, ids: Sequence[str], families: dict[str, tuple[Sequence[str], Column | None]], p: str, method: str = "BH") -> DataFrame:
+    """Adds one adjusted column per family (name -> keys, condition) in one pass; a row outside a family's condition gets NULL.
+
+    Every row stands once for each family it belongs to; all families are stepped up together, so one of them may
+    hold all rows. ``ids`` tell rows apart.
+    """
+    member = lambda name, keys, inside: F.when(F.lit(True) if inside is None else inside, F.struct(F.lit(name).alias("name"), key_text(keys).alias("key")))
+    members = F.filter(F.array(*[member(n, k, c) for n, (k, c) in families.items()]), lambda x: x.isNotNull())
+    long = df.filter(F.col(p).isNotNull()).select(*ids, F.col(p).alias("_p"), F.explode(members).alias("_f"))
+    stepped = adjust_p(long.select(*ids, "_p", F.col("_f.name").alias("_name"), F.col("_f.key").alias("_member")), ["_name", "_member"], "_p", "_q", method, ids)
+    wide = stepped.groupBy(*ids).agg(*[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in families])
+    return beside(df, wide, ids)
+
+
 def empirical_p(nulls: DataFrame, observed: DataFrame, keys: Sequence[str], value: str, obs: str) -> DataFrame:
     """((nulls >= observed) + 1) / (usable nulls + 1), missing nulls left out; NULL without an observation or a usable null."""
     usable = F.col(value).isNotNull() & ~F.isnan(value)

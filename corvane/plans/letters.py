@@ -11,6 +11,7 @@ from ..functions import nulls as N
 from ..functions import sequence as S
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import resampling as B
 from ..operators import statistics as T
 
 PAIR = ["sample", "unit"]
@@ -149,6 +150,51 @@ def discovery(pos: DataFrame, value: str) -> DataFrame:
     return T.adjust_p(T.adjust_p(marked, ["length", "strand"], "p_family", "q_bh", "BH", tie), ["length", "strand"], "p_family", "q_by", "BY", tie)
 
 
+#: Metrics of the positional aggregate; the inferred difference and the effect with its interval follow the mode.
+POSITION_METRICS = ["observed", "expected", "enrichment", "delta", "unique_fraction", "abundance_fraction", "accumulation_ratio", "accumulation_delta", "accumulation_log2"]
+POSITION_KEYS = ["length", "strand", "mode", "position", "letter"]
+
+
+def position_modes(pos: DataFrame) -> DataFrame:
+    """A row of ``positional`` as three: both representations against the expectation, and their accumulation, with nine metrics."""
+    none = F.lit(None).cast("double")
+
+    def row(mode: str, values: dict[str, Column]) -> Column:
+        return F.struct(F.lit(mode).alias("mode"), *[values.get(m, none).alias(m) for m in POSITION_METRICS])
+
+    def representation(mode: str, short: str) -> Column:
+        share = F.col(f"{short}_fraction")
+        return row(mode, {"observed": share, "expected": F.col("expected"), "enrichment": F.col(f"{short}_ratio"), "delta": share - F.col("expected")})
+
+    accumulation = row("accumulation", {m: F.col(m) for m in POSITION_METRICS[4:]})
+    rows = F.explode(F.array(representation("abundance", "abundance"), representation("unique_sequence", "unique"), accumulation)).alias("_r")
+    return pos.select(*CELL, "position", "letter", rows).select(*CELL, "position", "letter", "_r.*")
+
+
+def positional_aggregate(pos: DataFrame, replicates: int, level: float = 0.95) -> DataFrame:
+    """Nine sample-balanced medians of every feature and mode, the clustered interval of its effect, its sign test and both corrections.
+
+    A sample counts if its inferred difference is defined. Families are the inner
+    positions of (length, mode, strand). An effect without a sample has no interval, a
+    feature without a non-zero difference no p.
+    """
+    samples = position_modes(pos).groupBy(*POSITION_KEYS, "sample").agg(*[F.median(N.finite(m)).alias(m) for m in POSITION_METRICS])
+    mode = F.col("mode") == "accumulation"
+    samples = samples.withColumn("_d", F.when(mode, F.col("accumulation_delta")).otherwise(F.col("delta"))).withColumn("_e", F.when(mode, F.col("accumulation_ratio")).otherwise(F.col("enrichment")))
+    samples = samples.filter(F.col("_d").isNotNull())
+    summary = samples.groupBy(*POSITION_KEYS).agg(
+        F.count(F.lit(1)).alias("n_samples_total"), *[F.median(m).alias(m) for m in POSITION_METRICS], F.count("_e").alias("n_samples"),
+        F.count_if(F.col("_d") > 0).alias("n_positive"), F.count_if(F.col("_d") < 0).alias("n_negative"),
+    )
+    interval = B.bootstrap_median_ci_sql(samples, POSITION_KEYS, "_e", "sample", replicates, level)
+    p = T.sign_test_p(F.col("n_positive"), F.col("n_negative"))
+    tested = summary.join(interval, POSITION_KEYS, "left").withColumn("p", p).withColumn("estimable", F.col("n_positive") + F.col("n_negative") > 0)
+    inner = F.when(F.col("position").between(3, F.col("length") - 2), F.col("p"))
+    family, tie = ["length", "mode", "strand"], ["position", "letter"]
+    marked = tested.withColumn("_p", inner)
+    return T.adjust_p(T.adjust_p(marked, family, "_p", "q_bh", "BH", tie), family, "_p", "q_by", "BY", tie).drop("_p")
+
+
 def gc_windows(obs: DataFrame, width: int) -> DataFrame:
     """Mean share of G and C over ``width`` neighbouring positions; NULL if a member is missing."""
     gc = obs.filter(F.col("letter").isin("G", "C")).groupBy(*CELL, "mode", "position").agg(F.sum("fraction").alias("gc"))
