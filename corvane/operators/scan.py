@@ -45,3 +45,17 @@ def running(stored: DataFrame, order: Sequence[Column], sums: dict[str, str], ro
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, str] | None = None, row: str = "_row", partitions: int | None = None) -> DataFrame:
     """Row numbers and running sums within ``keys``; names beginning with an underscore are the operator's."""
     return running(ranged(df, keys, order, "scan", partitions).df, order, sums or {}, row).drop("_part", "_key")
+
+
+def with_halo(rows: DataFrame, row: str, block: int, ahead: int) -> DataFrame:
+    """Numbered rows in blocks of ``block`` of their key, each block with the first ``ahead`` rows behind it.
+
+    Adds ``_block`` and ``_own`` (whether the row is the block's own): a frame of up to ``ahead`` following rows lies in one block.
+    """
+    if ahead > block:
+        raise ValueError("a block is shorter than what a frame looks ahead")
+    place = F.col(row) - 1
+    own = F.floor(place / block)
+    lent = (place % block < ahead) & (own > 0)
+    blocks = F.when(lent, F.array(own, own - 1)).otherwise(F.array(own))
+    return rows.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == own)

@@ -8,12 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .order import has_large_group
+from .scan import key_text, numbered, with_halo
 
-def sliding_mean(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], width: int, suffix: str = "_mean") -> DataFrame:
-    """Mean of a row and the width-1 next ones; incomplete frames are dropped, a missing member gives NULL."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(0, width - 1)
-    out = df.withColumns({f"{v}{suffix}": F.when(F.count(v).over(w) == width, F.avg(v).over(w)) for v in values})
-    return out.withColumn("_n", F.count(F.lit(1)).over(w)).filter(F.col("_n") == width).drop("_n")
+
+#: Rows of a series that one task sorts at most.
+SERIES_BLOCK = 1 << 20
+
+
+def sliding_mean(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], width: int, suffix: str = "_mean", spread: bool | None = None, block: int = SERIES_BLOCK) -> DataFrame:
+    """Mean of a row and the width-1 next ones; incomplete frames are dropped, a missing member gives NULL.
+
+    A series too long for one task is numbered over range partitions and cut into blocks, each with
+    the rows that its last frames look ahead to; ``spread`` decides for the caller.
+    """
+    spread = has_large_group(df, keys) if spread is None else spread
+    if spread:
+        block = max(block, width)
+        rows = with_halo(numbered(df, keys, [F.col(order).asc()]), "_row", block, width - 1).withColumn("_series", key_text(keys))
+        w = W.partitionBy("_series", "_block").orderBy("_row").rowsBetween(0, width - 1)
+    else:
+        rows, w = df, W.partitionBy(*keys).orderBy(order).rowsBetween(0, width - 1)
+    out = rows.withColumns({f"{v}{suffix}": F.when(F.count(v).over(w) == width, F.avg(v).over(w)) for v in values})
+    whole = out.withColumn("_n", F.count(F.lit(1)).over(w)).filter(F.col("_n") == width).drop("_n")
+    return whole.filter("_own").drop("_own", "_block", "_row", "_series") if spread else whole
 
 
 def run_starts(df: DataFrame, keys: Sequence[str], order: str, label: str) -> DataFrame:

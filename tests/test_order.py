@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import aggregates, order, ranking, statistics
+from corvane.operators import aggregates, order, ranking, statistics, windows
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,11 @@ def test_sign_test_of_any_size(spark):
 def test_harmonic_numbers(spark):
     df = spark.createDataFrame([(n,) for n in (1, 2, 99, 100, 101, 5000)], "n long").withColumn("h", statistics.harmonic(F.col("n")))
     assert all(math.isclose(r["h"], float(np.sum(1 / np.arange(1, r["n"] + 1))), rel_tol=1e-13) for r in df.collect())
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 40])
+def test_sliding_means_of_a_series_in_blocks(values, width):
+    """Frames that begin in one block and end in the next."""
+    for keys in (["k"], []):
+        call = lambda s, keys=keys: windows.sliding_mean(values, keys, "id", ["v", "p"], width, spread=s, block=40)
+        _same(call(True), call(False))
