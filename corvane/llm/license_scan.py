@@ -5,8 +5,10 @@ comment marks, and where a line ends in a stop. A sentence is normalised (lower
 dashes, comment and list marks away, white space as one space, copyright holders and years as one mark, "licence" as "license")
 and looked up among the known sentences: as a whole, by its parts between semicolons, and by what begins at one of its lines, as
 texts run into each other. Reference sentences name a licence by a phrase
-("licensed under the ...", "distributed under the terms of ...") and a name from the list of public licences.
-SPDX expressions are parsed: identifiers, ``+``, WITH, AND, OR and brackets; "-only" counts as no suffix. Rules are tried in
+("licensed under the ...", "distributed under the terms of ...") and a name from the list of public licences, or several
+("either of A or B", "A and B"; under "dual" they are a choice); a phrase behind a negation names none.
+SPDX expressions are parsed into a tree: identifiers, ``+``, WITH, AND, OR and brackets; "-only" counts as no suffix, an
+exception stays with its licence, an unknown identifier keeps its case. Of OR the best branch counts for the verdict, of AND the worst. Rules are tried in
 order: each matches its identifiers in sequence, with at most ``gap`` characters
 of other text between two, and uses up the sentences it matched.
 
@@ -137,6 +139,10 @@ _END = re.compile(r"(?:(?<!\bv)(?<!\bno)[.!?]|(?<!identifier)(?<!license)(?<!lic
 _NOTICE = re.compile(r"^(?:copyright|\(c\)|©).{0,300}?(?=all rights reserved|$)")
 _SPDX = re.compile(r"spdx-license-identifier:\s*(.*)$")
 _SPDX_TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.\-]*\+?")
+_SPELT = re.compile(r"[A-Za-z0-9][A-Za-z0-9.\-]*\+?")
+_NEGATED = re.compile(r"(?:\b(?:not|never|neither|no longer)|n't)(?: (?:yet|currently|be|been))?\s*$")
+_CHOICE = re.compile(r"^(?:either (?:of )?|both (?:of )?|one of |your choice of |any of )?")
+_NEXT = re.compile(r"(?:\s*licen[sc]es?)?(?:\s*\([^)]{0,40}\))?\s*,?\s*(and/or|and|or)\s+(?:either\s+)?(?:the |a |an )?(?:terms of (?:the )?)?")
 _THE = re.compile(r"^(?:the |a |an )?(?:terms (?:and conditions )?of |conditions of )?(?:the |a |an )?")
 
 
@@ -249,41 +255,84 @@ class Scanner:
             return "spdx:" + _CLOSES.sub("", m.group(1)).strip()
         s = _TAIL.sub("", sentence)
         for m in self.phrase.finditer(s):
-            got = self._name(_THE.sub("", s[m.end() : m.end() + 240], count=1))
+            if _NEGATED.search(s[max(0, m.start() - 20) : m.start()]):
+                continue
+            got = self._names_in(s[m.end() : m.end() + 240], "dual" in s[max(0, m.start() - 20) : m.start()])
             if got:
                 return got
         return self.names.get(_THE.sub("", s, count=1)) if 8 < len(s) < 200 else None
 
-    def _name(self, rest: str) -> str | None:
-        """The longest licence name that begins a text, at a word's end."""
+    def _names_in(self, rest: str, dual: bool) -> str | None:
+        """The licence that a text begins with, or several as an expression."""
+        plain = _THE.sub("", rest, count=1)
+        chosen = _CHOICE.match(plain).end()
+        choice = dual or plain[:chosen].startswith(("either", "one", "your", "any"))
+        plain = _THE.sub("", plain[chosen:], count=1)
+        found, at, words = [], 0, []
+        while one := self._name(plain[at:]):
+            found.append(one[0])
+            at += one[1]
+            more = _NEXT.match(plain, at)
+            if not more:
+                break
+            words.append(more[1])
+            at = more.end()
+        if len(found) < 2:
+            return found[0] if found else None
+        return "spdx:" + (" or " if choice or any(w != "and" for w in words) else " and ").join(x[5:].lower() for x in found)
+
+    def _name(self, rest: str) -> tuple[str, int] | None:
+        """The longest licence name that begins a text, at a word's end, and where it ends."""
         ends = [m.end() for m in re.finditer(r"[^\s,;()]+[,;()]?", rest[:120])]
         for end in reversed(ends):
             for name in (rest[:end], rest[:end].rstrip(",;.)")):
                 got = self.names.get(name)
                 if got:
                     later = rest[end : end + 40]
-                    return got + ("-or-later" if got[5:].startswith(("GPL-", "LGPL-", "AGPL-")) and ("or later" in later or "any later" in later) else "")
+                    return got + ("-or-later" if got[5:].startswith(("GPL-", "LGPL-", "AGPL-")) and ("or later" in later or "any later" in later) else ""), len(name)
         return None
 
-    def expression(self, text: str) -> list[str]:
-        """Licences of an SPDX expression in order; an unknown identifier is kept as it stands."""
-        out: list[str] = []
-        skip = False
-        for token in _SPDX_TOKEN.findall(text):
-            if token in ("and", "or", "(", ")"):
-                continue
-            if token == "with":
-                skip = True
-                continue
-            if skip:
-                skip = False
-                continue
+    def expression(self, text: str, spelling: dict[str, str] | None = None) -> tuple[list[str], bool]:
+        """Licences of an SPDX expression in order, and whether it permits: any branch of OR, all of AND.
+
+        An unknown identifier keeps its spelling; what does not parse is read as a list.
+        """
+        tokens, at, out = _SPDX_TOKEN.findall(text), 0, []
+        spelling = spelling or {}
+
+        def licence(token: str) -> str:
             base, suffix = token, ""
             for mark, put in (("-or-later", "-or-later"), ("-only", ""), ("+", "-or-later")):
                 if token.endswith(mark):
                     base, suffix = token[: -len(mark)], put
-            out.append(self.spdx.get(base, base) + suffix)
-        return out
+            return self.spdx.get(base, spelling.get(token, token)[: len(base)]) + suffix
+
+        # brackets open and close a level: (operands of the whole OR, operands of the running AND)
+        levels: list[tuple[list[bool], list[bool]]] = [([], [])]
+        while at < len(tokens):
+            token = tokens[at]
+            at += 1
+            if token == "(":
+                levels.append(([], []))
+            elif token == ")" and len(levels) > 1:
+                some, every = levels.pop()
+                levels[-1][1].append(any([*some, *([all(every)] if every else [])]))
+            elif token == "or":
+                some, every = levels[-1]
+                some.append(all(every) if every else False)
+                every.clear()
+            elif token not in (")", "and", "with"):
+                name = licence(token)
+                good = permissive(name)
+                if at + 1 < len(tokens) and tokens[at] == "with":
+                    name += " WITH " + spelling.get(tokens[at + 1], tokens[at + 1])
+                    at += 2
+                out.append(name)
+                levels[-1][1].append(good)
+        result = True
+        for some, every in levels:
+            result = result and any([*some, *([all(every)] if every else [])]) if some or every else result
+        return out, result
 
     def sentences(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, identifier) of known sentences, in order."""
@@ -299,18 +348,32 @@ class Scanner:
 
     def scan(self, text: str | None) -> tuple[list[str], list[tuple[int, int, str]]]:
         """Licences in the order of their place, and the known sentences."""
+        hits, known = self._hits(text)
+        return [x[2] for x in hits], known
+
+    def judge(self, text: str | None) -> tuple[list[str], list[tuple[int, int, str]], str]:
+        """Licences, known sentences, and none, permissive or restricted."""
+        hits, known = self._hits(text)
+        verdict = "none" if not hits else "permissive" if all(x[3] for x in hits) else "restricted"
+        return [x[2] for x in hits], known, verdict
+
+    def _hits(self, text: str | None) -> tuple[list[tuple[int, int, str, bool]], list[tuple[int, int, str]]]:
+        """(place, number, licence, whether it or its expression permits) in order, and the known sentences."""
         if not text:
             return [], []
         known = self.sentences(text)
-        hits: list[tuple[int, int, str]] = []
+        hits: list[tuple[int, int, str, bool]] = []
+        lines = [x for x in text.split("\n") if "spdx" in x.lower()] if any(x[2].startswith("spdx:") for x in known) else []
+        spelling = {t.lower(): t for x in lines for t in _SPELT.findall(x)}
         left: dict[str, int] = {}
         for i, (a, _, name) in enumerate(known):
             if name.startswith("spdx:"):
-                hits += [(a, j, x) for j, x in enumerate(self.expression(name[5:]))]
+                found, good = self.expression(name[5:], spelling)
+                hits += [(a, j, x, good) for j, x in enumerate(found)]
             else:
                 left[name] = left.get(name, 0) + 1
                 if name.endswith("-or-later") and name.startswith("name:"):
-                    hits.append((a, i, name[5:]))
+                    hits.append((a, i, name[5:], permissive(name[5:])))
         free = [i for i, x in enumerate(known) if not x[2].startswith("spdx:") and not (x[2].startswith("name:") and x[2].endswith("-or-later"))]
         for licence, want in self.rules:
             if not all(left.get(w) for w in want):
@@ -319,13 +382,13 @@ class Scanner:
             for i in range(len(free)):
                 chain = self._chain(known, free, i, want, used) if i not in used else None
                 if chain is not None:
-                    hits.append((known[free[chain[0]]][0], free[chain[0]], licence))
+                    hits.append((known[free[chain[0]]][0], free[chain[0]], licence, permissive(licence)))
                     used.update(chain)
                     for w in want:
                         left[w] -= 1
             if used:
                 free = [x for i, x in enumerate(free) if i not in used]
-        return [x for _, _, x in sorted(hits)], known
+        return sorted(hits), known
 
     def _chain(self, known: list, free: list[int], i: int, want: list[str], used: set[int]) -> list[int] | None:
         """Indices in ``free`` of a rule's identifiers in sequence from i on, or None; looks no further than the gap allows."""
@@ -356,11 +419,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         for b in batches:
             lic, ids, n, verdict = [], [], [], []
             for t in b.column(1).to_pylist():
-                found, known = scanner.scan(t)
+                found, known, said = scanner.judge(t)
                 lic.append(found)
                 ids.append([x[2] for x in known])
                 n.append(len(known))
-                verdict.append("none" if not found else "permissive" if all(map(permissive, found)) else "restricted")
+                verdict.append(said)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lic, pa.list_(pa.string())), pa.array(ids, pa.list_(pa.string())), pa.array(n, pa.int64()), pa.array(verdict, pa.string())], names=[key, "licences", "sentences", "n_sentences", "verdict"])
 
     kind = dict(docs.dtypes)[key]

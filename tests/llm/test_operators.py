@@ -666,7 +666,7 @@ def test_licences(spark):
     [
         ("SPDX-License-Identifier: BSD-2-Clause", ["BSD-2-Clause"]),
         ("// SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0"]),
-        ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later WITH Classpath-exception-2.0 */", ["MIT", "Apache-2.0", "GPL-2.0-or-later"]),
+        ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later WITH Classpath-exception-2.0 */", ["MIT", "Apache-2.0", "GPL-2.0-or-later WITH Classpath-exception-2.0"]),
         ("Distributed under the MIT License", ["MIT"]),
         ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
         ("# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1-or-later"]),
@@ -683,6 +683,32 @@ def test_licence_notices(text, want):
     assert license_scan.Scanner().scan(text)[0] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want", "verdict"),
+    [
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"], "permissive"),
+        ("This crate is dual licensed under the MIT and Apache 2.0 licenses.", ["MIT", "Apache-2.0"], "permissive"),
+        ("Dual licensed under GPLv3 and the MIT license", ["GPL-3.0", "MIT"], "permissive"),
+        ("Released under the MIT license and the GPL-2.0", ["MIT", "GPL-2.0"], "restricted"),
+        ("This is not licensed under the MIT License.", [], "none"),
+        ("It isn't released under the MIT License. It is released under the ISC license.", ["ISC"], "permissive"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0 WITH Classpath-exception-2.0"], "restricted"),
+        ("// SPDX-License-Identifier: 0BSD", ["0BSD"], "restricted"),
+        ("SPDX-License-Identifier: GPL-2.0 OR MIT", ["GPL-2.0", "MIT"], "permissive"),
+        ("SPDX-License-Identifier: GPL-2.0 AND MIT", ["GPL-2.0", "MIT"], "restricted"),
+        ("SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) AND Apache-2.0", ["GPL-2.0-or-later", "MIT", "Apache-2.0"], "permissive"),
+        ("SPDX-License-Identifier: MIT AND (GPL-3.0+ OR (Zlib AND LGPL-2.1-only))", ["MIT", "GPL-3.0-or-later", "Zlib", "LGPL-2.1"], "restricted"),
+    ],
+)
+def test_licence_expressions_and_coordinated_names(text, want, verdict):
+    found, _, said = license_scan.Scanner().judge(text)
+    assert (found, said) == (want, verdict)
+
+
+def test_licence_scan_of_an_empty_table(spark):
+    assert license_scan.scan(frame(spark, [])).count() == 0
+
+
 def test_licence_rules_equal_brute_force():
     """Chains of random identifiers by the definition: rules in order, from the left, each sentence used once."""
     rng = random.Random(13)
