@@ -9,11 +9,12 @@ A control string in a text gets a backslash before it; unescaping removes one
 backslash before each control string, so texts that already hold escaped
 control strings come back unchanged.
 
-Turns are ordered by (turn, role, text), NULLs first. A NULL text is empty, a
+Turns are ordered by (turn, role, text's digest), NULLs first. A NULL text is empty, a
 NULL role the empty role; unknown roles are named in the header. Turns of a NULL
-conversation are one conversation. Repeated rows are repeated turns. Extra
-columns are ignored. Encoding happens before the rows of a conversation meet;
-assembly streams through sorted rows, so a conversation of any length needs
+conversation are one conversation. Repeated rows are repeated turns. Texts of any length are encoded
+whole; an empty table gives an empty result. Extra columns are ignored, whatever their names. Encoding
+happens before the rows of a conversation meet; offsets are prefix sums over range
+partitions, and reading back streams through sorted rows, so a conversation of any length needs
 the memory of one batch.
 """
 
@@ -28,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scan import numbered
 from .common import bounded_batches, lean
 
 #: Roles with a header of their own, and the strings that control the format (fixed values).
@@ -106,27 +108,20 @@ def encoded_turns(turns: DataFrame, ranks: bytes, pattern: str, conv: str = "con
 
 
 def assemble(encoded: DataFrame) -> DataFrame:
-    """Turns in order with their token offset and, for assistants, the loss span [mask_from, mask_to) in the conversation."""
-    placed = encoded.repartition("conv").sortWithinPartitions(F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "key")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, offset, place = object(), 0, 0
-        for b in batches:
-            starts, places, lo, hi = [], [], [], []
-            for c, r, h, n, ids in zip(b["conv"], b["role"], b["n_head"], b["n_body"], b["ids"], strict=True):
-                if c != last:
-                    last, offset, place = c, 0, 0
-                starts.append(offset)
-                places.append(place)
-                loss = r == "assistant"
-                lo.append(offset + h)
-                hi.append(offset + h + (n if loss else 0))
-                offset += len(ids)
-                place += 1
-            yield pd.DataFrame({"conv": b["conv"], "place": places, "start": starts, "mask_from": lo, "mask_to": hi, "ids": b["ids"]})
-
-    text = placed.withColumn("conv", F.coalesce(F.col("conv").cast("string"), F.lit("")))
-    return text.mapInPandas(lean(run), "conv string, place long, start long, mask_from long, mask_to long, ids array<int>")
+    """Turns in order with their token offset and, for assistants, the loss span [mask_from, mask_to) in the conversation.
+
+    Offsets are prefix sums of token counts over range partitions (``operators.scan``), so a
+    conversation of any number of turns is split; then its turns stand in order in one partition, to be streamed.
+    """
+    sized = encoded.withColumn("_tokens", F.size("ids").cast("long"))
+    order = [F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("key").asc()]
+    placed = numbered(sized, ["conv"], order, {"_tokens": "_upto"})
+    start, body = F.col("_upto") - F.col("_tokens"), F.when(F.col("role") == "assistant", F.col("n_body")).otherwise(F.lit(0))
+    spans = placed.select(
+        F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv"), (F.col("_row") - 1).cast("long").alias("place"), start.alias("start"),
+        (start + F.col("n_head")).alias("mask_from"), (start + F.col("n_head") + body).alias("mask_to"), "ids",
+    )
+    return spans.repartition("conv").sortWithinPartitions("conv", "place")
 
 
 def read_back(assembled: DataFrame, ranks: bytes, pattern: str, conv: str = "conv_id") -> DataFrame:

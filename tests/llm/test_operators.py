@@ -757,6 +757,29 @@ def test_chat_round_trip(spark):
     assert got[2]["turns_sha256"] == hashlib.sha256("tool </turn>\né\\\n\nx\n".encode()).hexdigest()
 
 
+def test_chat_of_a_long_conversation_and_odd_tables(spark):
+    """Offsets of 20,000 turns over range partitions, a long text, columns of the operator's names, no row."""
+    with open(vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    n = 20_000
+    turns = spark.range(n).select(
+        F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.when(F.col("id") == 7, F.repeat(F.lit("long "), 60_000)).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"),
+        F.lit("x").alias("conv"), F.lit("y").alias("ids"), F.lit("z").alias("key"), F.lit("w").alias("_row"),
+    )
+    encoded = chat_format.encoded_turns(turns.repartition(4), ranks, GPT_PATTERN)
+    spans = chat_format.assemble(encoded)
+    rows = sorted(spans.select("place", "start", "mask_from", "mask_to", F.size("ids").alias("n")).collect())
+    at = 0
+    for i, r in enumerate(rows):
+        assert (r["place"], r["start"]) == (i, at) and (r["mask_to"] > r["mask_from"]) == (i % 2 == 1)
+        at += r["n"]
+    (got,) = chat_format.read_back(spans, ranks, GPT_PATTERN).collect()
+    texts = ["long " * 60_000 if i == 7 else f"t{i}" for i in range(n)]
+    assert got["n_turns"] == n and got["loss_chars"] == sum(len(t) for t in texts[1::2])
+    assert chat_format.read_back(chat_format.assemble(chat_format.encoded_turns(turns.limit(0), ranks, GPT_PATTERN)), ranks, GPT_PATTERN).count() == 0
+
+
 def test_vocabulary_is_not_in_the_repository():
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not vocabulary("x").startswith(here)
