@@ -83,6 +83,15 @@ def number_points(points: list[tuple], fronts: list) -> list[int]:
     return out
 
 
+def front_numbers(points: list[tuple]) -> list[int]:
+    """Front of each of the distinct points, 1 the best, in their own order."""
+    order = sorted(range(len(points)), key=lambda i: points[i], reverse=True)
+    out = [0] * len(points)
+    for i, front in zip(order, number_points([points[i] for i in order], []), strict=True):
+        out[i] = front
+    return out
+
+
 def _padded(values: Sequence[str]) -> list[Column]:
     """Three values or more: missing ones are constant."""
     return [*[F.col(v).cast("double") for v in values], *[F.lit(0.0)] * (3 - len(values))]
