@@ -121,7 +121,7 @@ def window_identifier(target: ColumnLike, length: ColumnLike, start: ColumnLike,
 def cigar_span(cigar: ColumnLike) -> Column:
     """Reference letters that an alignment covers: the sum over M, D, N, = and X."""
     sizes = F.regexp_extract_all(_c(cigar), F.lit(r"(\d+)[MDN=X]"), F.lit(1))
-    return F.aggregate(sizes, F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long"))
+    return F.aggregate(sizes, F.lit(0).cast("long"), lambda acc, x: acc + x.try_cast("long"))
 
 
 def parse_int_list(x: ColumnLike, sep: str = ",", high: int | None = None) -> Column:

@@ -101,6 +101,25 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_sam_unchecked(spark: SparkSession, path: str) -> DataFrame:
+    """Every record line as it is, for ``plans.validation``: n_fields, flag, contig, position (1-based), cigar, tags.
+
+    Numbers that are none, and fields a line lacks, are NULL. Lines that begin with @ are header lines, as a read's name cannot.
+    """
+    cols = F.split("value", "\t")
+    rec = spark.read.text(path).filter(~F.col("value").startswith("@")).select(cols.alias("c"))
+    get = lambda i: F.get("c", F.lit(i))
+    return rec.select(
+        F.size("c").alias("n_fields"), get(1).try_cast("int").alias("flag"), get(2).alias("contig"), get(3).try_cast("long").alias("position"),
+        get(5).alias("cigar"), F.filter("c", lambda t, i: i >= 11).alias("tags"),
+    )
+
+
+def read_sam_programs(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of the @PG lines."""
+    return spark.read.text(path).filter(F.col("value").startswith("@PG\t")).select(F.col("value").alias("line"))
+
+
 def sam_loci(records: DataFrame, reads: DataFrame) -> DataFrame:
     """Distinct loci of known reads: mapped, primary, on a contig of the read's unit, on the read's strand.
 
