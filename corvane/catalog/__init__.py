@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import candidates, checks, geometry, lengths, letters, tracks, validation  # noqa: F401  (they register their queries)
+from . import candidates, checks, conditioning, geometry, lengths, letters, tracks, validation  # noqa: F401  (they register their queries)
 from .roles import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
