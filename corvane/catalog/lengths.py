@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bootstrap as Z
 from ..operators import resampling as B
 from ..operators import statistics as T
 from ..plans import landscape as L
@@ -84,6 +85,20 @@ def bootstrap_ci(spark, d):
     return tidy(B.bootstrap_median_ci_sql(s, ["length"], "fraction", "sample", REPS))
 
 
+@query("clustered_bootstrap", f"""with {PAIRS}, m as (select length, mode, sample, median(fraction) as m from lp group by all having median(fraction) is not null), v as (select length, mode, list(m order by sample) as v, median(m) as estimate from m group by all),
+ dr as (select length, mode, b, v[1 + cast('0x' || substr(sha256(cast(b as varchar) || '|' || cast(i as varchar)), 1, 8) as bigint) % len(v)] as x from v, range(0, {4 * REPS}) tb(b), range(0, 1000) ti(i) where i < len(v)),
+ e as (select length, mode, b, median(x) as e from dr group by all), c as (select length, mode, quantile_cont(e, 0.025) as lo, quantile_cont(e, 0.975) as hi, count(*) as replicates from e group by all)
+ select cast(length as bigint) as length, mode, round(estimate, 8) as estimate, round(lo, 8) as ci_low, round(hi, 8) as ci_high, replicates, cast(len(v) as bigint) as n_clusters from v join c using (length, mode)""")
+def clustered_bootstrap(spark, d):
+    return tidy(Z.clustered_median_ci(_pairs(spark, d), ["length", "mode"], "sample", "fraction", 4 * REPS))
+
+
+@query("hierarchical_bootstrap_spread")
+def hierarchical_bootstrap_spread(spark, d):
+    """Suppliers' orders within nations: rows of a cluster grow with the tables."""
+    return Z.hierarchical_median_ci(reads(spark, d), ["unit", "strand"], "sample", "discount", 200, 20260810)
+
+
 @query("bootstrap_mt19937")
 def bootstrap_mt19937(spark, d):
     s = _pairs(spark, d).filter(F.col("fraction").isNotNull())
