@@ -287,3 +287,23 @@ def region_sliding_mean(spark, d):
 def top_bottom_by_feature(spark, d):
     v = _regions(spark, d).select("stratum", "start", F.round("m2_pct_mean", 9).alias("score"))
     return tidy(R.top_bottom_padded(v, "stratum", "score", "start", 5).select("stratum", "side", "place", "start", "score"))
+
+
+SETS = [("local", 80, 40), ("wide", 300, 150)]
+#: p of a band, by set, end and length; lengths above 23 are missing.
+BAND = {"local": 1000.0, "wide": 2000.0}
+
+
+@query("accessibility", f"""with {WIN} select target, window_id, cast(length as bigint) as length, {", ".join(f"case when length <= 23 then round(e / {v} + length / 10000, 8) end as {n}_whole, round((e - 1) / {v} + 7 / 10000, 8) as {n}_seed" for n, v in BAND.items())} from win""")
+def accessibility(spark, d):
+    t = targets(spark, d).select("target", F.explode(F.sequence(F.lit(1), F.length("sequence"))).alias("end"))
+    band = t.withColumn("length", F.explode(F.sequence(F.lit(1), F.lit(23)))).withColumn("set", F.explode(F.array(*[F.lit(n) for n in BAND])))
+    band = band.withColumn("p", F.col("end") / F.when(F.col("set") == "local", BAND["local"]).otherwise(BAND["wide"]) + F.col("length") / 10000)
+    found = C.accessibility(_windows(spark, d), band, list(BAND))
+    return tidy(found.select("target", "window_id", "length", *[f"{n}_{part}" for n in BAND for part in ("whole", "seed")]))
+
+
+@query("fold_runs", f"""with {WIN}, t as (select target, 24 as interval, 256 as n from win group by 1), s as (select * from (values {", ".join(map(str, SETS))}) v("set", w, span))
+ select target, cast(interval as bigint) as interval, "set", cast(w as bigint) as window, cast(span as bigint) as span, cast(least(w, n) as bigint) as effective_window, cast(least(span, least(w, n) - 1) as bigint) as effective_span from t, s""")
+def fold_runs(spark, d):
+    return tidy(C.fold_runs(_windows(spark, d), targets(spark, d).withColumn("target_length", F.length("sequence")), SETS))

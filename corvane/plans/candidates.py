@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import nulls as N
 from ..functions import sequence as S
 from ..operators import joins as J
 from ..operators import pareto as P
@@ -90,3 +91,33 @@ def training_universe(background: DataFrame, observed: DataFrame, lengths: Seque
     w = S.explode_windows(sized, "sequence", F.col("length")).filter(S.is_plain("window"))
     opp = w.select("sample", "unit", "length", S.revcomp("window").alias("sequence")).distinct()
     return J.opportunity_match(opp, observed, ["sample", "unit", "length", "sequence"], "count")
+
+
+def accessibility(windows: DataFrame, bands: DataFrame, sets: Sequence[str], seed_first: int = 7, seed_last: int = 1) -> DataFrame:
+    """The windows with ``<set>_whole`` and ``<set>_seed`` for every parameter set: probability that all of an interval is unpaired.
+
+    ``bands``: target, set, end, length, p. The seed reaches from ``seed_first`` letters before a window's end to
+    ``seed_last`` before it; windows that do not hold it wholly behind their first letter, and intervals that
+    the band lacks, get NULL. All intervals of all sets meet the bands in one join.
+    """
+    whole = F.struct(F.lit("whole").alias("_part"), F.col("end").cast("int").alias("_end"), F.col("length").cast("int").alias("_len"))
+    seed = F.struct(F.lit("seed").alias("_part"), (F.col("end") - seed_last).cast("int").alias("_end"), F.lit(seed_first - seed_last + 1).alias("_len"))
+    parts = F.when(F.col("length") > seed_first, F.array(whole, seed)).otherwise(F.array(whole))
+    asked = windows.select("target", "window_id", F.inline(parts))
+    table = bands.filter(F.col("set").isin(*sets)).select("target", "set", F.col("end").cast("int").alias("_end"), F.col("length").cast("int").alias("_len"), "p")
+    cell = lambda s, part: F.max(F.when((F.col("set") == s) & (F.col("_part") == part), F.col("p"))).alias(f"{s}_{part}")
+    found = asked.join(table, ["target", "_end", "_len"], "left").groupBy("target", "window_id").agg(*[cell(s, part) for s in sets for part in ("whole", "seed")])
+    return windows.join(found, ["target", "window_id"], "left")
+
+
+def fold_runs(windows: DataFrame, targets: DataFrame, parameters: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """The folds that ``accessibility`` needs, one for each target with windows and parameter set (name, window, span).
+
+    ``targets``: target, target_length. ``interval`` is the longest interval asked for, 7 at least. A target
+    shorter than the window is folded whole, with pairs up to one letter less.
+    """
+    longest = windows.groupBy("target").agg(F.greatest(F.max("length").cast("long"), F.lit(7)).alias("interval"))
+    sets = F.array(*[F.struct(F.lit(n).alias("set"), F.lit(w).alias("window"), F.lit(k).alias("span")) for n, w, k in parameters])
+    runs = longest.join(targets.select("target", "target_length"), "target").select("target", "interval", "target_length", F.inline(sets))
+    width, span = N.clamp_window("window", "span", "target_length")
+    return runs.withColumns({"effective_window": width, "effective_span": span}).drop("target_length")
