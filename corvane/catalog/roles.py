@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import rounded_mean
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -108,7 +110,7 @@ def intervals(spark: SparkSession) -> DataFrame:
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
     """Candidates: stratum, id, and three metrics."""
-    disc = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.avg("l_discount"), 6).alias("m3"))
+    disc = table(spark, d, "lineitem").groupBy("l_partkey").agg(rounded_mean("l_discount", 6).alias("m3"))
     p = table(spark, d, "part").select(F.col("p_brand").alias("stratum"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("m1"), F.col("p_size").cast("double").alias("m2"))
     return p.join(disc, p.id == disc.l_partkey).drop("l_partkey")
 

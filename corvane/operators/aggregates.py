@@ -55,6 +55,17 @@ def percentile_of(df: DataFrame, keys: Sequence[str], value: str, p: float, out:
     return df.groupBy(*keys).agg(F.percentile(finite(value), p).alias(out))
 
 
+def rounded_mean(value: str, digits: int) -> Column:
+    """Mean of decimal figures held in doubles, rounded half up.
+
+    A sum of doubles hangs on the order of its rows, which decides means that lie halfway between
+    two figures. Decimals sum alike in every order; what they cannot hold is summed in doubles.
+    """
+    held = F.col(value).try_cast("decimal(24,10)")
+    exact = F.round(F.try_avg(held), digits).cast("double")
+    return F.when(F.count(held) == F.count(value), exact).otherwise(F.round(F.avg(value), digits))
+
+
 def pooled_ratio(df: DataFrame, keys: Sequence[str], observed: str, expected: str, total: str) -> DataFrame:
     """sum(observed)/sum(total), sum(total*expected)/sum(total) and their ratio, over rows with a total and an expectation."""
     usable = df.filter((F.col(total) > 0) & F.col(expected).isNotNull())
