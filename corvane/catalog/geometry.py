@@ -25,6 +25,10 @@ def _dup(spark, d):
     return r, G.pairings(r, 3)
 
 
+def _spectrum(spark, d):
+    return G.paired_spectrum(reads(spark, d), 3)
+
+
 @query("collapse_sequences", f"with {READS} select sample, unit, strand, identity, cast(sum(cnt) as bigint) as count from reads group by all")
 def collapse_sequences(spark, d):
     return tidy(A.collapse(reads(spark, d), ["sample", "unit", "strand"], "identity", "count"))
@@ -53,18 +57,18 @@ def recovery_fractions(spark, d):
 
 @query("joint_spectrum", f"with {DUP} select sample, unit, cast(d5 as bigint) as d5, cast(d3 as bigint) as d3, n, round(n / total, 8) as fraction, cast(total as bigint) as total from js")
 def joint_spectrum(spark, d):
-    return tidy(G.joint_spectrum(_dup(spark, d)[1]))
+    return tidy(_spectrum(spark, d))
 
 
 @query("joint_densified", f"with {DUP} select sample, unit, cast(d5 as bigint) as d5, cast(d3 as bigint) as d3, cast(total as bigint) as total, n, round(fraction, 8) as fraction from dj")
 def joint_densified(spark, d):
-    return tidy(G.densified(G.joint_spectrum(_dup(spark, d)[1]), [], G.PAIR, [(0, 0), FIXED]))
+    return tidy(G.densified(_spectrum(spark, d), [], G.PAIR, [(0, 0), FIXED]))
 
 
 @query("joint_spectrum_balanced", f"""with {DUP}, s as (select d5, d3, sample, median(fraction) as f from dj group by all), b as (select d5, d3, median(f) as fraction, count(f) as n_members from s group by all),
  p as (select d5, d3, sum(n) / sum(total) as pooled from dj group by all) select cast(d5 as bigint) as d5, cast(d3 as bigint) as d3, round(fraction, 8) as fraction, n_members, round(pooled, 8) as pooled from b join p using (d5, d3)""")
 def joint_spectrum_balanced(spark, d):
-    dense = G.densified(G.joint_spectrum(_dup(spark, d)[1]), [], G.PAIR, [(0, 0), FIXED])
+    dense = G.densified(_spectrum(spark, d), [], G.PAIR, [(0, 0), FIXED])
     bal = A.balanced_median(dense, [["d5", "d3", "sample"], ["d5", "d3"]], "fraction").drop("n_undefined")
     pool = dense.groupBy("d5", "d3").agg((F.sum("n") / F.sum("total")).alias("pooled"))
     return tidy(bal.join(pool, ["d5", "d3"]))
@@ -72,12 +76,12 @@ def joint_spectrum_balanced(spark, d):
 
 @query("joint_mode", f"""with {DUP}, m as (select *, max(n) over (partition by sample, unit) as top from js) select sample, unit, cast(min({{'a': d5, 'b': d3}}).a as bigint) as d5, cast(min({{'a': d5, 'b': d3}}).b as bigint) as d3, max(n) as n, count(*) as n_tied from m where n = top group by sample, unit""")
 def joint_mode(spark, d):
-    return tidy(A.mode_with_ties(G.joint_spectrum(_dup(spark, d)[1]), G.PAIR, ["d5", "d3"], "n"))
+    return tidy(A.mode_with_ties(_spectrum(spark, d), G.PAIR, ["d5", "d3"], "n"))
 
 
 @query("strongest_indicator", f"with {DUP} select sample, unit, cast(d5 as bigint) as d5, cast(d3 as bigint) as d3, n, cast(n = max(n) over (partition by sample, unit) as bigint) as strongest from js")
 def strongest_indicator(spark, d):
-    return tidy(R.arg_max_flag(G.joint_spectrum(_dup(spark, d)[1]), G.PAIR, "n", "strongest").drop("fraction", "total"))
+    return tidy(R.arg_max_flag(_spectrum(spark, d), G.PAIR, "n", "strongest").drop("fraction", "total"))
 
 
 @query("paired_delta", f"""with {READS}, a as (select sample, unit, length, avg(cnt) as v from reads where length in (23, 24) group by all),

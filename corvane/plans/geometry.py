@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import safe_log2_ratio, safe_ratio
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..session import Stored
 
 PAIR = ["sample", "unit"]
 
@@ -30,6 +31,17 @@ def pairings(rows: DataFrame, max_distance: int) -> DataFrame:
     return out.filter((F.abs("d5") <= max_distance) & (F.abs("d3") <= max_distance)).select(*PAIR, "focal_id", "passenger_id", "focal_count", "d5", "d3")
 
 
+def paired_places(rows: DataFrame, max_distance: int) -> DataFrame:
+    """(pair, contig, start, end, d5, d3, n_focal, n_passengers): the pairings of ``rows`` with equal intervals counted before they meet.
+
+    A place stands for all reads on it, so the join grows with the places that are taken and not
+    with the square of the reads on them; the pairs of two places are the product of both counts.
+    """
+    taken = rows.groupBy(*PAIR, "strand", "contig", "start", "end").agg(F.count(F.lit(1)).alias("count"))
+    met = pairings(taken.withColumn("id", F.struct("contig", "start", "end", "count")), max_distance)
+    return met.select(*PAIR, *[F.col(f"focal_id.{c}").alias(c) for c in ("contig", "start", "end")], "d5", "d3", F.col("focal_id.count").alias("n_focal"), F.col("passenger_id.count").alias("n_passengers"))
+
+
 def recovery(rows: DataFrame, duplexes: DataFrame, geometry: tuple[int, int]) -> DataFrame:
     """Shares of focal sequences with any duplex and with the given geometry, by number and by abundance."""
     focal = rows.filter(F.col("strand") == "sense").select(*PAIR, F.col("id").alias("focal_id"), F.col("count").alias("focal_count"))
@@ -51,6 +63,12 @@ def joint_spectrum(duplexes: DataFrame) -> DataFrame:
     return A.share_of_total(counts, PAIR, "n", "fraction", "total")
 
 
+def paired_spectrum(rows: DataFrame, max_distance: int) -> DataFrame:
+    """``joint_spectrum`` of the pairings of ``rows``, none of which is emitted; the counts are stored once."""
+    counts = paired_places(rows, max_distance).groupBy(*PAIR, "d5", "d3").agg(F.sum(F.col("n_focal") * F.col("n_passengers")).alias("n"))
+    return A.share_of_total(Stored(counts, "spectrum").df, PAIR, "n", "fraction", "total")
+
+
 def densified(spectrum: DataFrame, classes: Sequence[str], runs: Sequence[str], always: Sequence[tuple[int, int]]) -> DataFrame:
     """Every run of a class gets every geometry seen in the class, and the given ones; absent counts are 0."""
     seen = spectrum.select(*classes, "d5", "d3").distinct()
