@@ -76,8 +76,8 @@ def _exp(spark, d):
     return P.expected(background(spark, d), [23, 24])
 
 
-def _enr(spark, d):
-    obs, exp = _obs(spark, d), _exp(spark, d)
+def _enr(spark, d, exp=None):
+    obs, exp = _obs(spark, d), _exp(spark, d) if exp is None else exp
     # some of these backgrounds are masked throughout and expect nothing
     return P.enrichment(obs, exp, P.combined_expectation(obs, exp), required=False)
 

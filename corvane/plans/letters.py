@@ -13,6 +13,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import resampling as B
 from ..operators import statistics as T
+from ..session import Stored
 
 PAIR = ["sample", "unit"]
 LETTERS = ["A", "C", "G", "T"]
@@ -37,12 +38,14 @@ def observed(reads: DataFrame, terminal: bool = True) -> DataFrame:
     """Letter weights per pair, length, strand and position: summed counts, and distinct sequences each once.
 
     Sequences collapse before they are taken apart, so a letter row stands for
-    a distinct sequence and not for a read.
+    a distinct sequence and not for a read. The counts, a few for each cell, are
+    stored: what follows reads them many times, and the reads once.
     """
     distinct = reads.groupBy(*CELL, "sequence").agg(F.sum("count").alias("count"))
-    return _letters(distinct, "sequence", terminal).groupBy(*CELL, "position", "letter").agg(
+    counts = _letters(distinct, "sequence", terminal).groupBy(*CELL, "position", "letter").agg(
         F.sum("count").alias("abundance"), F.count(F.lit(1)).alias("unique_sequence")
     )
+    return Stored(counts, "letters").df
 
 
 def dense_letters(counts: DataFrame, positions: Sequence, keys: Sequence[str]) -> DataFrame:
@@ -65,10 +68,10 @@ def background_windows(background: DataFrame, lengths: Sequence[int]) -> DataFra
 
 
 def expected(background: DataFrame, lengths: Sequence[int], terminal: bool = True, positions: Sequence | None = None) -> DataFrame:
-    """Letter shares of the valid windows; the antisense strand reads their reverse complements."""
+    """Letter shares of the valid windows; the antisense strand reads their reverse complements. The counts are stored, as those observed."""
     valid = background_windows(background, lengths).filter("valid").select(*PAIR, "length", "window")
     stranded = J.parameter_grid(valid, "strand", ["sense", "antisense"]).withColumn("window", S.oriented("window", "strand"))
-    counts = _letters(stranded, "window", terminal).groupBy(*CELL, "position", "letter").agg(F.count(F.lit(1)).alias("n"))
+    counts = Stored(_letters(stranded, "window", terminal).groupBy(*CELL, "position", "letter").agg(F.count(F.lit(1)).alias("n")), "expected").df
     pos = positions or (list(S.TERMINALS) if terminal else list(range(1, max(lengths) + 1)))
     grid = A.dense_grid(counts, counts.select(*CELL).distinct(), {"position": pos, "letter": LETTERS}, {"n": 0})
     return A.share_of_total(grid, [*CELL, "position"], "n", "expected", "windows").filter(F.col("windows") > 0)
@@ -123,7 +126,7 @@ def enrichment_pooled(e: DataFrame) -> DataFrame:
 
 def length_agreement(dataset: DataFrame, low: int, high: int) -> DataFrame:
     """Spearman correlation of the two lengths' feature vectors."""
-    pairs = J.across_values(dataset, ["strand", "mode", "position", "letter"], "length", low, high, ["ratio"])
+    pairs = J.across_values(Stored(dataset, "lengths").df, ["strand", "mode", "position", "letter"], "length", low, high, ["ratio"])
     return T.spearman(pairs, ["strand", "mode"], "ratio_low", "ratio_high")
 
 
