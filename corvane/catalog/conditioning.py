@@ -94,14 +94,15 @@ COND = f"""{TERM}, dup as (select f.id as focal_id, p.s - f.s as d5 from lettere
 
 
 def _near(spark, d):
-    """Focal reads of 23 and 24 letters, and their pairs with both ends near."""
+    """Focal reads of 23 and 24 letters, and the largest 5' distance of those that have a pair with both ends near."""
     r = reads(spark, d).filter("strand = 'antisense' or length in (23, 24)")
-    return lettered(spark, d).filter("strand = 'sense'"), G.pairings(r, NEAR).withColumnRenamed("focal_id", "id")
+    return lettered(spark, d).filter("strand = 'sense'"), G.farthest(r, NEAR).withColumnRenamed("focal_id", "id")
 
 
 def _conditioned(spark, d):
     focals, dup = _near(spark, d)
-    return K.conditioned_letters(K.flag_focals(focals, dup, dup.filter("d5 >= 0"), ["id"]), _exp(spark, d), _enr(spark, d))
+    exp = _exp(spark, d)
+    return K.conditioned_letters(K.flag_focals(focals, dup, dup.filter("d5 >= 0"), ["id"]), exp, _enr(spark, d, exp))
 
 
 @query("conditioned_letters", f"""with {COND} select sample, unit, cast(length as bigint) as length, strand, position, letter, mode, n_focal, n_recovered, n_joint, cast(joint_total as bigint) as joint_total, cast(recovered_total as bigint) as recovered_total, has_expected, has_general,

@@ -11,6 +11,7 @@ from ..functions import nulls as N
 from ..functions import sequence as S
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..session import Stored
 from .letters import CELL, FEATURE, LETTERS, MODES
 from .validation import fault_rows
 
@@ -109,13 +110,16 @@ def conditioned_letters(focals: DataFrame, expected: DataFrame, general: DataFra
     a positive partner. ``has_expected`` and ``has_general`` tell a missing partner from a NULL one. Reads below
     two letters are left out.
     """
+    ends, flags = S.terminal_letters("sequence"), ["is_recovered", "is_joint"]
+    reads = focals.filter(F.length("sequence") >= 2).groupBy(*CELL, *flags, *[c.alias(f"_{k}") for k, c in ends.items()])
+    # a few rows for each run, stored: what follows reads them many times, and the focal reads once
+    reads = Stored(reads.agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("_reads")), "conditioned").df
     subsets = {"recovered": F.col("is_recovered"), "joint": F.col("is_joint")}
-    weight = {"abundance": F.col("count"), "unique_sequence": F.lit(1)}
-    reads = focals.filter(F.length("sequence") >= 2)
+    weight = {"abundance": F.col("count"), "unique_sequence": F.col("_reads")}
     sums = {f"_{s}_{m}": F.sum(F.when(c, w).otherwise(0)) for s, c in subsets.items() for m, w in weight.items()}
-    totals = reads.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_focal"), *[F.count_if(c).alias(f"n_{s}") for s, c in subsets.items()], *[v.alias(f"{k}_total") for k, v in sums.items()])
-    items = [F.struct(F.lit(k).alias("position"), v.alias("letter")) for k, v in S.terminal_letters("sequence").items()]
-    letters = reads.filter("is_recovered or is_joint").select(*CELL, "count", "is_recovered", "is_joint", F.inline(F.array(*items)))
+    totals = reads.groupBy(*CELL).agg(F.sum("_reads").alias("n_focal"), *[F.sum(F.when(c, F.col("_reads")).otherwise(0)).alias(f"n_{s}") for s, c in subsets.items()], *[v.alias(f"{k}_total") for k, v in sums.items()])
+    items = [F.struct(F.lit(k).alias("position"), F.col(f"_{k}").alias("letter")) for k in ends]
+    letters = reads.filter("is_recovered or is_joint").select(*CELL, "count", "_reads", *flags, F.inline(F.array(*items)))
     counts = letters.groupBy(*CELL, "position", "letter").agg(*[v.alias(k) for k, v in sums.items()])
     grid = J.parameter_grid(J.parameter_grid(totals, "position", list(S.TERMINALS)), "letter", LETTERS)
     wide = grid.join(counts, [*CELL, "position", "letter"], "left")

@@ -42,6 +42,13 @@ def paired_places(rows: DataFrame, max_distance: int) -> DataFrame:
     return met.select(*PAIR, *[F.col(f"focal_id.{c}").alias(c) for c in ("contig", "start", "end")], "d5", "d3", F.col("focal_id.count").alias("n_focal"), F.col("passenger_id.count").alias("n_passengers"))
 
 
+def farthest(rows: DataFrame, max_distance: int) -> DataFrame:
+    """(pair, focal_id, d5): the largest d5 of every focal read that has a pairing; found by places, whose reads share it."""
+    at = [*PAIR, "contig", "start", "end"]
+    best = paired_places(rows, max_distance).groupBy(*at).agg(F.max("d5").alias("d5"))
+    return rows.filter(F.col("strand") == "sense").join(best, at).select(*PAIR, F.col("id").alias("focal_id"), "d5")
+
+
 def recovery(rows: DataFrame, duplexes: DataFrame, geometry: tuple[int, int]) -> DataFrame:
     """Shares of focal sequences with any duplex and with the given geometry, by number and by abundance."""
     focal = rows.filter(F.col("strand") == "sense").select(*PAIR, F.col("id").alias("focal_id"), F.col("count").alias("focal_count"))

@@ -30,3 +30,9 @@ def test_reads_on_one_place_meet_once(spark):
     met = G.paired_places(df, 3).collect()
     assert [(r["d5"], r["d3"], r["n_focal"], r["n_passengers"]) for r in met] == [(0, 0, 300, 200)]
     assert [(r["n"], r["total"], r["fraction"]) for r in G.paired_spectrum(df, 3).collect()] == [(60000, 60000, 1.0)]
+
+
+def test_farthest_equals_the_largest_distance_of_all_pairs(reads):
+    pairs = G.pairings(reads, 4)
+    want = pairs.groupBy("sample", "unit", "focal_id").max("d5").withColumnRenamed("max(d5)", "d5")
+    assert _rows(G.farthest(reads, 4)) == _rows(want) and pairs.count() > want.count() > 0
