@@ -112,7 +112,8 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     """Candidates: stratum, id, and three metrics."""
     disc = table(spark, d, "lineitem").groupBy("l_partkey").agg(rounded_mean("l_discount", 6).alias("m3"))
     p = table(spark, d, "part").select(F.col("p_brand").alias("stratum"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("m1"), F.col("p_size").cast("double").alias("m2"))
-    return p.join(disc, p.id == disc.l_partkey).drop("l_partkey")
+    # neither side is collected for a broadcast: both grow with the input
+    return p.hint("merge").join(disc, p.id == disc.l_partkey).drop("l_partkey")
 
 
 PARTS = """parts as (select p_brand as stratum, p_partkey as id, p_retailprice as m1, cast(p_size as double) as m2, m3 from part

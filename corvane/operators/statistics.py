@@ -29,10 +29,10 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "r",
     return df.groupBy(*keys).agg(guarded_corr(x, y, minimum).alias(out), F.count_if(both).alias("n"))
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "rho") -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "rho", spread: bool | None = None) -> DataFrame:
     """Pearson correlation of average ranks over complete pairs."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(pairs, list(keys), x, "_rx"), list(keys), y, "_ry")
+    ranked = average_rank(average_rank(pairs, list(keys), x, "_rx", spread=spread), list(keys), y, "_ry", spread=spread)
     return pearson(ranked, keys, "_rx", "_ry", out)
 
 

@@ -14,6 +14,8 @@ from ..operators import pareto as P
 from ..operators import ranking as R
 from ..operators import statistics as T
 from ..operators import windows as X
+from ..operators.order import has_large_group
+from ..session import Stored
 
 
 def enumerate_windows(targets: DataFrame, lengths: Sequence[int]) -> DataFrame:
@@ -45,11 +47,12 @@ def stability(windows: DataFrame, ks: Sequence[int] = (4, 5)) -> DataFrame:
 
 
 def layer_scores(df: DataFrame, strata: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """Favourable percentile of every metric within its stratum."""
-    out = df
+    """Favourable percentile of every metric within its stratum; the rows and the result are stored once for all that read them."""
+    out = Stored(df, "layers").df
+    spread = has_large_group(out, strata)
     for m in metrics:
-        out = R.favourable_percentile(out, list(strata), m, f"{m}_pct")
-    return out
+        out = R.favourable_percentile(out, list(strata), m, f"{m}_pct", spread=spread)
+    return Stored(out, "layer-scores").df
 
 
 def weight_grid(df: DataFrame, a: str, b: str, steps: int = 10) -> DataFrame:
@@ -68,11 +71,11 @@ def integrate(df: DataFrame, strata: Sequence[str], key: str, layers: Sequence[s
 
 
 def layer_agreement(df: DataFrame, strata: Sequence[str], layers: Sequence[str]) -> DataFrame:
-    """Spearman correlation of every pair of layers."""
-    out = None
+    """Spearman correlation of every pair of layers; whether a stratum is large is asked once, as complete pairs are no more than its rows."""
+    out, spread = None, has_large_group(df, strata)
     for i, a in enumerate(layers):
         for b in layers[i + 1 :]:
-            rho = T.spearman(df, strata, a, b).withColumn("layer_a", F.lit(a)).withColumn("layer_b", F.lit(b))
+            rho = T.spearman(df, strata, a, b, spread=spread).withColumn("layer_a", F.lit(a)).withColumn("layer_b", F.lit(b))
             out = rho if out is None else out.unionByName(rho)
     return out
 

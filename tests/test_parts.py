@@ -1,7 +1,10 @@
 """Metrics of the candidates do not hang on the order of the rows that they sum."""
 
+from pyspark.sql import functions as F
+
 from corvane.catalog.roles import parts
 from corvane.operators.aggregates import rounded_mean
+from corvane.plans.candidates import layer_agreement, layer_scores
 
 
 def test_mean_halfway_between_two_figures_is_rounded_up_in_any_order(spark, tmp_path):
@@ -18,3 +21,25 @@ def test_values_that_no_decimal_holds_are_averaged_as_doubles(spark):
     df = spark.createDataFrame([("a", 1e30), ("a", 3e30), ("b", float("inf")), ("c", None), ("d", 0.25), ("d", None)], "k string, x double")
     got = {r["k"]: r["m"] for r in df.groupBy("k").agg(rounded_mean("x", 1).alias("m")).collect()}
     assert got == {"a": 2e30, "b": float("inf"), "c": None, "d": 0.3}
+
+
+def test_candidates_and_means_meet_without_a_broadcast(spark):
+    plan = parts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_layers_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    rows = [(k, i, float(i % 7), float(i * i % 11)) for k in "ab" for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, id long, x double, y double").withColumn("x", watched("x"))
+    layers = layer_scores(df, ["k"], ["x", "y"])
+    once = seen.value
+    found = layer_agreement(layers, ["k"], ["x_pct", "y_pct"]).collect()
+    assert {(r["k"], r["n"]) for r in found} == {("a", 30), ("b", 30)} and len({r["rho"] for r in found}) == 1
+    assert seen.value == once >= len(rows)
