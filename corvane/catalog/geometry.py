@@ -51,8 +51,8 @@ def opposite_strand_pairs(spark, d):
  select sample, unit, n_focal, cast(abundance as bigint) as abundance, n_recovered, cast(n_joint as bigint) as n_joint, cast(ar as bigint) as abundance_recovered, cast(aj as bigint) as abundance_joint,
  round(n_recovered / n_focal, 8) as recovered, round(n_joint / n_focal, 8) as joint, round(ar / abundance, 8) as recovered_weighted, round(aj / abundance, 8) as joint_weighted from a""")
 def recovery_fractions(spark, d):
-    r, dup = _dup(spark, d)
-    return tidy(G.recovery(r, dup, FIXED))
+    r = reads(spark, d)
+    return tidy(G.recovery(r, G.distances(r, 3), FIXED))
 
 
 @query("joint_spectrum", f"with {DUP} select sample, unit, cast(d5 as bigint) as d5, cast(d3 as bigint) as d3, n, round(n / total, 8) as fraction, cast(total as bigint) as total from js")

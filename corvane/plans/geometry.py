@@ -49,6 +49,14 @@ def farthest(rows: DataFrame, max_distance: int) -> DataFrame:
     return rows.filter(F.col("strand") == "sense").join(best, at).select(*PAIR, F.col("id").alias("focal_id"), "d5")
 
 
+def distances(rows: DataFrame, max_distance: int) -> DataFrame:
+    """(pair, focal_id, d5, d3, n): the distances at which every focal read has pairings, and how many; found by places, whose reads share them."""
+    at = [*PAIR, "contig", "start", "end"]
+    met = paired_places(rows, max_distance).select(*at, "d5", "d3", F.col("n_passengers").alias("n"))
+    # passengers on one place have one distance from a focal place, and other places another
+    return rows.filter(F.col("strand") == "sense").join(met, at).select(*PAIR, F.col("id").alias("focal_id"), "d5", "d3", "n")
+
+
 def recovery(rows: DataFrame, duplexes: DataFrame, geometry: tuple[int, int]) -> DataFrame:
     """Shares of focal sequences with any duplex and with the given geometry, by number and by abundance."""
     focal = rows.filter(F.col("strand") == "sense").select(*PAIR, F.col("id").alias("focal_id"), F.col("count").alias("focal_count"))

@@ -36,3 +36,11 @@ def test_farthest_equals_the_largest_distance_of_all_pairs(reads):
     pairs = G.pairings(reads, 4)
     want = pairs.groupBy("sample", "unit", "focal_id").max("d5").withColumnRenamed("max(d5)", "d5")
     assert _rows(G.farthest(reads, 4)) == _rows(want) and pairs.count() > want.count() > 0
+
+
+def test_distances_count_all_pairs(reads):
+    pairs = G.pairings(reads, 4)
+    want = pairs.groupBy("sample", "unit", "focal_id", "d5", "d3").count().withColumnRenamed("count", "n")
+    got = G.distances(reads, 4)
+    assert _rows(got) == _rows(want) and got.count() < pairs.count()
+    assert _rows(G.recovery(reads, got, (1, -1))) == _rows(G.recovery(reads, pairs, (1, -1)))
