@@ -1,11 +1,16 @@
 """Metrics of the candidates do not hang on the order of the rows that they sum."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from corvane.catalog import ORACLE, QUERIES
 from corvane.catalog.roles import parts
 from corvane.operators.aggregates import rounded_mean
 from corvane.plans.candidates import layer_agreement, layer_scores
 
+from .oracle import compare
+
 
 def test_mean_halfway_between_two_figures_is_rounded_up_in_any_order(spark, tmp_path):
     # 93 hundredths over 32 rows are 0.0290625; in this order their doubles sum to less
@@ -43,3 +48,16 @@ def test_layers_are_read_once(spark):
     found = layer_agreement(layers, ["k"], ["x_pct", "y_pct"]).collect()
     assert {(r["k"], r["n"]) for r in found} == {("a", 30), ("b", 30)} and len({r["rho"] for r in found}) == 1
     assert seen.value == once >= len(rows)
+
+
+@pytest.mark.parametrize("name", ["equal_layer_rank"])
+def test_query_equals_sql_on_many_threads_where_means_need_no_sum(spark, tmp_path, name):
+    # one row a part, its mean already rounded; three copies of every part, so that equal vectors meet
+    con, d = duckdb.connect(), "/root/testdata/sf0.01"
+    con.execute("set threads = 8")
+    con.execute(f"create table once as select l_partkey, round(sum(round(l_discount * 100)) / 100 / count(*), 6) as l_discount from '{d}/lineitem.parquet' group by 1")
+    for t, key, rows in (("lineitem", "l_partkey", "once"), ("part", "p_partkey", f"'{d}/part.parquet'")):
+        path = f"{tmp_path}/{t}.parquet"
+        con.execute(f"copy (select r.* replace ({key} + k * 1000000 as {key}) from range(3) c(k), {rows} r) to '{path}' (format parquet)")
+        con.execute(f"create view {t} as select * from '{path}'")
+    assert compare(spark, con, QUERIES[name], ORACLE[name], str(tmp_path)) == ""
