@@ -50,7 +50,7 @@ def test_layers_are_read_once(spark):
     assert seen.value == once >= len(rows)
 
 
-@pytest.mark.parametrize("name", ["equal_layer_rank"])
+@pytest.mark.parametrize("name", ["equal_layer_rank", "pareto_front"])
 def test_query_equals_sql_on_many_threads_where_means_need_no_sum(spark, tmp_path, name):
     # one row a part, its mean already rounded; three copies of every part, so that equal vectors meet
     con, d = duckdb.connect(), "/root/testdata/sf0.01"
